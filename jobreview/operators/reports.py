@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobreview.functions.templates import fill
+from jobreview.functions.templates import fill, shown
 from jobreview.functions.text import bullets_if_list
 from jobreview.operators.insights import shown_instances
 from jobreview.operators.summary import MARKDOWN_LINK, WIKI_LINK, summary_fields
@@ -65,28 +65,25 @@ RUNS_PER_CHUNK = 10_000
 PART_CHARS = 16_000_000
 
 
-def markdown_table(fields: Column) -> Column:
-    """Header, separator and value line of ``(name, value)`` pairs."""
-    return F.concat(
-        F.lit("| "),
-        F.array_join(F.transform(fields, lambda field: field["name"]), " | "),
-        F.lit(" |\n| "),
-        F.array_join(F.transform(fields, lambda _: F.lit("---")), " | "),
-        F.lit(" |\n| "),
-        F.array_join(F.transform(fields, lambda field: field["value"]), " | "),
-        F.lit(" |\n"),
-    )
+def markdown_table(fields: list[tuple[str, Column]]) -> Column:
+    """Header, separator and value line of ordered names and values.
 
+    The names are known while the plan is built, so the first two lines are one
+    literal and the values one concatenation.
+    """
+    header = "| " + " | ".join(name for name, _ in fields) + " |\n"
+    rule = "| " + " | ".join("---" for _ in fields) + " |\n"
+    return _value_line(header + rule, fields)
 
-def wiki_table(fields: Column) -> Column:
-    """Header and value line of ``(name, value)`` pairs."""
-    return F.concat(
-        F.lit("|| "),
-        F.array_join(F.transform(fields, lambda field: field["name"]), " || "),
-        F.lit(" |\n| "),
-        F.array_join(F.transform(fields, lambda field: field["value"]), " | "),
-        F.lit(" |\n"),
-    )
+
+def wiki_table(fields: list[tuple[str, Column]]) -> Column:
+    """Header and value line of ordered names and values."""
+    return _value_line("|| " + " || ".join(name for name, _ in fields) + " |\n", fields)
+
+
+def _value_line(head: str, fields: list[tuple[str, Column]]) -> Column:
+    values = F.concat_ws(" | ", *[shown(value) for _, value in fields])
+    return F.concat(F.lit(head + "| "), values, F.lit(" |\n"))
 
 
 def markdown_card(card: Column) -> Column:

@@ -95,8 +95,8 @@ def with_app_summary(
     )
 
 
-def summary_fields(link: str) -> Column:
-    """Ordered ``(name, value)`` pairs of the summary, links in the given form."""
+def summary_fields(link: str) -> list[tuple[str, Column]]:
+    """Ordered names and values of the summary, links in the given form."""
     values = (
         fill(link, text=F.col("sparkAppId"), url=F.col("app_page")),
         fill(link, text=F.col("clusterUid"), url=F.col("cluster_page")),
@@ -106,9 +106,4 @@ def summary_fields(link: str) -> Column:
         F.col("tags"),
         F.col("autoscale"),
     )
-    return F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), shown(value).alias("value"))
-            for name, value in zip(SUMMARY_HEADERS, values)
-        ]
-    )
+    return list(zip(SUMMARY_HEADERS, values))

@@ -20,6 +20,15 @@ def _text(name: str) -> Column:
     return F.col(name).cast("string")
 
 
+def landed(df: DataFrame) -> DataFrame:
+    """The same rows with every column computed once, as if read from a table.
+
+    Spark would otherwise repeat the expression behind a column wherever the
+    column is used. It does not look through a generator.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def as_payloads(events: DataFrame, ts: Column | None = None) -> DataFrame:
     """Event rows in the nested layout; works on a stream as well."""
     user, number = F.col("user_id"), F.col("event_id")
@@ -111,17 +120,19 @@ def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         second,
         F.lit("<br>"),
     )
-    return table(spark, sf_dir, "orders").select(
-        k.alias("pr_id"),
-        description.alias("description"),
-        F.array(first, F.concat(first, F.lit("/x")), F.concat(F.lit("see "), first), second).alias(
-            "runs"
-        ),
-        F.concat(F.lit("c"), k.cast("string")).alias("commit_id"),
-        F.concat(F.lit("base-"), F.col("o_orderstatus")).alias("base_branch"),
-        F.lit("main").alias("target_branch"),
-        F.concat(F.lit("https://git.example.com/pr/"), k.cast("string")).alias("pr_url"),
-        F.concat(F.lit("https://tickets.example.com/"), k.cast("string")).alias("ticket_url"),
+    return landed(
+        table(spark, sf_dir, "orders").select(
+            k.alias("pr_id"),
+            description.alias("description"),
+            F.array(first, F.concat(first, F.lit("/x")), F.concat(F.lit("see "), first), second).alias(
+                "runs"
+            ),
+            F.concat(F.lit("c"), k.cast("string")).alias("commit_id"),
+            F.concat(F.lit("base-"), F.col("o_orderstatus")).alias("base_branch"),
+            F.lit("main").alias("target_branch"),
+            F.concat(F.lit("https://git.example.com/pr/"), k.cast("string")).alias("pr_url"),
+            F.concat(F.lit("https://tickets.example.com/"), k.cast("string")).alias("ticket_url"),
+        )
     )
 
 
@@ -194,10 +205,12 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 19 == 0, '{"message": "INVALID_TOKEN"}')
         .otherwise(good)
     )
-    return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("cl-"), k.cast("string")).alias("clusterUid"),
-        F.concat(F.lit("app-"), k.cast("string")).alias("sparkAppId"),
-        body.alias("body"),
+    return landed(
+        table(spark, sf_dir, "orders").select(
+            F.concat(F.lit("cl-"), k.cast("string")).alias("clusterUid"),
+            F.concat(F.lit("app-"), k.cast("string")).alias("sparkAppId"),
+            body.alias("body"),
+        )
     )
 
 
@@ -238,10 +251,12 @@ def app_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").cast("double").alias("dbuCost"),
         F.when(k % 31 == 0, '{"node_type_id"').otherwise(F.to_json(info)).alias("runInfo"),
     )
-    return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("cl-"), k.cast("string")).alias("clusterUid"),
-        F.concat(F.lit("app-"), k.cast("string")).alias("sparkAppId"),
-        F.to_json(F.struct(annotation.alias("annotation"))).alias("body"),
+    return landed(
+        table(spark, sf_dir, "orders").select(
+            F.concat(F.lit("cl-"), k.cast("string")).alias("clusterUid"),
+            F.concat(F.lit("app-"), k.cast("string")).alias("sparkAppId"),
+            F.to_json(F.struct(annotation.alias("annotation"))).alias("body"),
+        )
     )
 
 
@@ -257,10 +272,12 @@ def line_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "N", listed).otherwise("plain").alias("actions"),
     )
     insight = _categories((F.col("l_returnflag"), F.array(instance)))
-    return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        "l_linenumber",
-        F.to_json(F.struct(F.array(insight).alias("insightsV2"))).alias("body"),
+    return landed(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey",
+            "l_linenumber",
+            F.to_json(F.struct(F.array(insight).alias("insightsV2"))).alias("body"),
+        )
     )
 
 

@@ -22,8 +22,14 @@ def read_landed(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def is_error_payload(body: Column) -> Column:
-    """True for a body whose top-level ``message`` is the bad-token message."""
-    return F.coalesce(F.get_json_object(body, "$.message") == F.lit(INVALID_TOKEN), F.lit(False))
+    """True for a body whose top-level ``message`` is the bad-token message.
+
+    Only a body that holds the word, or escapes it might be spelled with, is
+    parsed.
+    """
+    worth_parsing = body.contains(INVALID_TOKEN) | body.contains("\\u")
+    message = F.get_json_object(body, "$.message")
+    return F.coalesce(worth_parsing & (message == F.lit(INVALID_TOKEN)), F.lit(False))
 
 
 def accepted(responses: DataFrame, body: str = "body") -> DataFrame:
