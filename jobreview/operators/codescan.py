@@ -120,7 +120,12 @@ def route_comments(comments: DataFrame, status: str = "status") -> DataFrame:
     )
 
 
-def gate_by_runs(comments: DataFrame, resolved_runs: DataFrame) -> DataFrame:
-    """Comments of pull requests with at least one resolved run."""
+def gate_by_runs(rows: DataFrame, resolved_runs: DataFrame) -> DataFrame:
+    """Rows of pull requests with at least one resolved run.
+
+    An inner join to distinct keys does what a semi join does, but stays above
+    the scan: Spark pushes a semi join below it and would shuffle whole file
+    texts instead of the hits.
+    """
     reviewed = resolved_runs.select("pr_id").distinct()
-    return comments.join(reviewed, "pr_id", "left_semi")
+    return rows.join(reviewed, "pr_id").select(*rows.columns)

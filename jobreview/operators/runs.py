@@ -32,8 +32,9 @@ def run_refs_from_text(
 
     Repeats stay unless ``dedupe``, which keeps the first position of each run.
     """
-    urls = F.regexp_extract_all(clean_description(F.col(text)), F.lit(RUN_URL), F.lit(0))
-    found = pull_requests.select("pr_id", F.posexplode(urls).alias("pos", "_url"))
+    cleaned = pull_requests.select("pr_id", clean_description(F.col(text)).alias("_text"))
+    urls = F.regexp_extract_all("_text", F.lit(RUN_URL), F.lit(0))
+    found = cleaned.select("pr_id", F.posexplode(urls).alias("pos", "_url"))
     refs = found.select("pr_id", "pos", *_ids("_url"))
     if dedupe:
         refs = refs.groupBy("pr_id", *ID_GROUPS).agg(F.min("pos").alias("pos"))
@@ -107,7 +108,9 @@ def resolve_runs(
 
     Each lookup table has one row per key. All joins are equi-joins with the
     runs on the left, so AQE can split the partitions of runs named very often.
-    The last two share one partitioning by application.
+    The last two share one partitioning by application; with
+    ``forceOptimizeSkewedJoin`` (see ``session``) AQE gives that up, and shuffles
+    once more, only where it finds a skewed application.
     """
     runs = runs_with_task(with_run_key(refs), summaries)
     return with_annotation(with_analysis(runs, analyses), app_summaries)

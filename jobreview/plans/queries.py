@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,7 @@ from jobreview.operators.versions import close_versions, with_audit_columns
 from jobreview.plans import inputs
 from jobreview.plans.enrichment import EnrichmentOptions, enrich
 from jobreview.plans.review import missing_runs
-from jobreview.session import scratch_dir
+from jobreview.session import apply_adaptive_conf, scratch_dir
 from jobreview.sources import responses
 from jobreview.sources.tables import current_profiles, read_event_stream
 from jobreview.streaming.enrichment import append_stream
@@ -451,7 +453,19 @@ def q_code_comments_gated(spark, sf_dir):
     )
 
 
+def _tuned(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        apply_adaptive_conf(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def registry() -> dict:
+    """Queries by name, run under the adaptive settings the joins count on."""
     return {
-        name.removeprefix("q_"): query for name, query in globals().items() if name.startswith("q_")
+        name.removeprefix("q_"): _tuned(query)
+        for name, query in globals().items()
+        if name.startswith("q_")
     }

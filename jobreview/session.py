@@ -7,24 +7,20 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Skew-join and coalescing are on by default in Spark 4; they are named here
-# because the lookup joins rely on them when one key holds much of the input.
-DEFAULT_CONF = {
+# The lookup joins rely on AQE when one key holds much of the input. It splits
+# such partitions by itself unless that costs a shuffle further up; the last of
+# these settings lets it split then as well.
+ADAPTIVE_CONF = {
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+DEFAULT_CONF = {**ADAPTIVE_CONF, "spark.sql.session.timeZone": "UTC"}
 
 
 def build_session(app_name: str = "jobreview", master: str | None = None, **conf) -> SparkSession:
-    """A session with the defaults above; keyword ``conf`` entries win.
-
-    Keys may be written with underscores for dots' sake only through ``**{}``:
-    ``build_session(**{"spark.sql.shuffle.partitions": "2000"})``.
-    """
+    """A session with the defaults above; ``conf`` entries win, as in
+    ``build_session(**{"spark.sql.shuffle.partitions": "2000"})``."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -33,6 +29,12 @@ def build_session(app_name: str = "jobreview", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def apply_adaptive_conf(spark: SparkSession) -> None:
+    """Sets the adaptive settings on a session made elsewhere."""
+    for key, value in ADAPTIVE_CONF.items():
+        spark.conf.set(key, value)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name below the shared folder the cluster names.
 

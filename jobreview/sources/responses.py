@@ -50,9 +50,20 @@ def checked(responses: DataFrame, body: str = "body") -> DataFrame:
     return responses.withColumn(body, guarded)
 
 
+def _parsed_once(responses: DataFrame, body: str, schema: T.DataType, name: str) -> DataFrame:
+    """Body replaced by its parsed value.
+
+    The generator of one element keeps Spark from repeating the parse in every
+    expression and pushed-down filter that uses the value.
+    """
+    others = [column for column in responses.columns if column != body]
+    parsed = F.explode(F.array(F.from_json(body, schema)))
+    return responses.select(*others, parsed.alias(name))
+
+
 def parse_task_summaries(responses: DataFrame, body: str = "body") -> DataFrame:
     """``summaries`` array from a landed task-summary body."""
-    return responses.withColumn("summaries", F.from_json(body, schemas.TASK_SUMMARIES)).drop(body)
+    return _parsed_once(responses, body, schemas.TASK_SUMMARIES, "summaries")
 
 
 def parse_analysis(responses: DataFrame, body: str = "body") -> DataFrame:
@@ -76,8 +87,5 @@ def unusable_analyses(responses: DataFrame, body: str = "body") -> DataFrame:
 
 def parse_app_summary(responses: DataFrame, body: str = "body") -> DataFrame:
     """``annotation`` struct from a landed app-summary body."""
-    parsed = responses.withColumn("_summary", F.from_json(body, schemas.APP_SUMMARY))
-    return parsed.select(
-        *[c for c in responses.columns if c != body],
-        F.col("_summary.annotation").alias("annotation"),
-    )
+    parsed = _parsed_once(responses, body, schemas.APP_SUMMARY, "_summary")
+    return parsed.withColumn("annotation", F.col("_summary.annotation")).drop("_summary")

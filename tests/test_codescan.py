@@ -67,3 +67,6 @@ def test_gate(spark):
     comments = review_comments(code_hits(files(spark, "df.collect()", "df.collect()")))
     resolved = spark.createDataFrame([(1,), (1,)], "pr_id int")
     assert [row.pr_id for row in gate_by_runs(comments, resolved).collect()] == [1]
+    plan = plan_of(gate_by_runs(comments, resolved))
+    # The join sits above the generator that emits the hits.
+    assert plan.index("Join") < plan.index("Generate")

@@ -305,3 +305,48 @@ def test_reviewers_and_notification(spark):
         "link for further details p, alos a jira has been raised please find the jira link t @ann @bo"
     )
     assert messages[1].endswith("link t ")
+
+
+def test_hot_run_is_split_by_adaptive_execution(spark):
+    """A third of all mentions name one run: its partition is split in both joins."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        n = F.col("id")
+        run = F.when(n % 3 == 0, F.lit(0)).otherwise(n).cast("string")
+        refs = spark.range(0, 60_000, numPartitions=8).select(
+            n.alias("pr_id"),
+            F.lit(0).alias("pos"),
+            F.lit("1").alias("workspace_id"),
+            F.lit("2").alias("job_id"),
+            run.alias("run_id"),
+            # Text that does not compress: AQE goes by the bytes on disk.
+            F.sha2(n.cast("string"), 512).alias("note"),
+        )
+        keys = spark.range(60_000).select(F.col("id").cast("string").alias("r"))
+        cluster, app = F.concat(F.lit("cl"), "r"), F.concat(F.lit("app"), "r")
+        summaries = keys.select(
+            F.concat_ws("_", F.lit("1"), F.lit("2"), "r").alias("run_key"),
+            F.array(F.struct(cluster.alias("clusterUid"), app.alias("sparkAppId"))).alias("summaries"),
+        )
+        apps = keys.select(cluster.alias("clusterUid"), app.alias("sparkAppId"))
+        analyses = apps.withColumn("body", F.lit('{"insightsV2": [], "recommendation": "r"}'))
+        annotations = apps.withColumn("annotation", F.struct(F.lit(1.0).alias("cents")))
+        resolved = runs.resolve_runs(refs, summaries, analyses, annotations)
+        assert resolved.count() == 60_000
+        counted = resolved.agg(F.count("annotation"), F.count("insights"), F.max("note"))
+        assert tuple(counted.collect()[0])[:2] == (60_000, 60_000)
+        assert plan_of(counted).count("SortMergeJoin(skew=true)") >= 3
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
