@@ -70,6 +70,12 @@ def within_lookback(df: DataFrame, ts: str, as_of: Column, days: int = LOOKBACK_
     return df.filter(F.col(ts).between(start, end))
 
 
+def _shuffled(responses: DataFrame) -> DataFrame:
+    """Response tables grow with the runs, and their parsed rows outgrow Spark's
+    estimate of them, so they are merged after a shuffle, never broadcast."""
+    return responses.hint("merge")
+
+
 def first_tasks(summaries: DataFrame) -> DataFrame:
     """Per run key the first task's cluster and application; empty lists go."""
     task = F.get("summaries", F.lit(0))
@@ -80,12 +86,12 @@ def first_tasks(summaries: DataFrame) -> DataFrame:
 
 def runs_with_task(runs: DataFrame, summaries: DataFrame) -> DataFrame:
     """Runs joined to their first task; runs without one are left out."""
-    return runs.join(first_tasks(summaries), "run_key")
+    return runs.join(_shuffled(first_tasks(summaries)), "run_key")
 
 
 def runs_not_found(runs: DataFrame, summaries: DataFrame) -> DataFrame:
     """Runs without a usable task summary."""
-    return runs.join(first_tasks(summaries).select("run_key"), "run_key", "left_anti")
+    return runs.join(_shuffled(first_tasks(summaries).select("run_key")), "run_key", "left_anti")
 
 
 def with_analysis(runs: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -93,12 +99,12 @@ def with_analysis(runs: DataFrame, analyses: DataFrame) -> DataFrame:
 
     Bodies are parsed before the shuffle, which then moves only the fields used.
     """
-    return runs.join(parse_analysis(analyses), APP_KEY)
+    return runs.join(_shuffled(parse_analysis(analyses)), APP_KEY)
 
 
 def with_annotation(runs: DataFrame, app_summaries: DataFrame) -> DataFrame:
     """Runs joined to the annotation of their application."""
-    return runs.join(app_summaries.select(*APP_KEY, "annotation"), APP_KEY)
+    return runs.join(_shuffled(app_summaries.select(*APP_KEY, "annotation")), APP_KEY)
 
 
 def resolve_runs(

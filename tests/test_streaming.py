@@ -63,6 +63,29 @@ def test_job_appends_to_a_table_and_resumes(spark, tables, tmp_path):
     assert spark.table("crm.enriched").count() == rows
 
 
+def test_job_options_reach_the_stream(spark, tables, tmp_path):
+    """Watermark, byte cap, salt and path target give the rows of the plain job."""
+    base = {**tables, "target_table": None}
+    plain, tuned = str(tmp_path / "plain"), str(tmp_path / "tuned")
+    run_enrichment(spark, {**base, "target_path": plain}, as_of=F.lit("2024-06-30"))
+    query = run_enrichment(
+        spark,
+        {
+            **base,
+            "target_path": tuned,
+            "dedupe_delay": "60 days",
+            "max_bytes_per_trigger": 1024,
+            "salt_buckets": 3,
+            "checkpoint_path": str(tmp_path / "checkpoint"),
+        },
+        as_of=F.lit("2024-06-30"),
+    )
+    assert len(state_rows(query)) > 1 and late_rows(query) == 0
+    first, second = spark.read.parquet(plain), spark.read.parquet(tuned)
+    assert first.count() == second.count() > 0
+    assert first.exceptAll(second).count() == 0
+
+
 def test_default_checkpoint_is_shared_and_stable(spark):
     options = EnrichmentOptions(target_table="a.b")
     path = default_checkpoint(spark, options)
