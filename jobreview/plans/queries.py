@@ -17,7 +17,7 @@ from jobreview.operators.versions import close_versions, with_audit_columns
 from jobreview.plans import inputs
 from jobreview.plans.enrichment import EnrichmentOptions, enrich
 from jobreview.plans.review import missing_runs
-from jobreview.session import apply_adaptive_conf, scratch_dir
+from jobreview.session import apply_conf, scratch_dir
 from jobreview.sources import responses
 from jobreview.sources.tables import current_profiles, read_event_stream
 from jobreview.streaming.enrichment import append_stream
@@ -456,7 +456,7 @@ def q_code_comments_gated(spark, sf_dir):
 def _tuned(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        apply_adaptive_conf(spark)
+        apply_conf(spark)
         return query(spark, sf_dir)
 
     return run

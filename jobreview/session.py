@@ -15,7 +15,15 @@ ADAPTIVE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
-DEFAULT_CONF = {**ADAPTIVE_CONF, "spark.sql.session.timeZone": "UTC"}
+# Deduplication without a watermark keeps every key: its state must live on the
+# executors' disks, not in their memory, and checkpoint only its changes.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+DEFAULT_CONF = {**ADAPTIVE_CONF, **STATE_CONF, "spark.sql.session.timeZone": "UTC"}
 
 
 def build_session(app_name: str = "jobreview", master: str | None = None, **conf) -> SparkSession:
@@ -29,9 +37,9 @@ def build_session(app_name: str = "jobreview", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def apply_adaptive_conf(spark: SparkSession) -> None:
-    """Sets the adaptive settings on a session made elsewhere."""
-    for key, value in ADAPTIVE_CONF.items():
+def apply_conf(spark: SparkSession) -> None:
+    """Sets the adaptive and the state settings on a session made elsewhere."""
+    for key, value in {**ADAPTIVE_CONF, **STATE_CONF}.items():
         spark.conf.set(key, value)
 
 

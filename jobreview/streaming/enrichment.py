@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from jobreview.plans.enrichment import EnrichmentOptions, enrich
-from jobreview.session import scratch_dir
+from jobreview.session import build_session, scratch_dir
 from jobreview.sources.tables import read_event_stream
 
 
@@ -40,6 +40,8 @@ def start_enrichment(
 
     Without a ``checkpoint_path`` the checkpoint goes to a folder named after
     the target below the cluster's shared folder, so that the next run resumes.
+    The first start fixes the number of state partitions: set
+    ``spark.sql.shuffle.partitions`` for the state to come, not for one batch.
     """
     options = EnrichmentOptions().with_overrides(overrides)
     events = read_event_stream(
@@ -92,3 +94,7 @@ def state_rows(query: StreamingQuery) -> list[int]:
         sum(operator["numRowsTotal"] for operator in progress["stateOperators"])
         for progress in query.recentProgress
     ]
+
+
+if __name__ == "__main__":
+    run_enrichment(build_session("enrichment"))
