@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # What counts as a line end, a tag and white space. ``(?d)`` makes
 # the dot stop at "\n" only. A pair of carriage return and line feed is one line
@@ -147,3 +147,24 @@ def list_bullets(html: Column, *, any_html: bool = False) -> Column:
 def bullets_if_list(text: Column, *, any_html: bool = False) -> Column:
     """Bullet lines if the text holds a plain ``<li>``, else the text itself."""
     return F.when(text.contains("<li>"), list_bullets(text, any_html=any_html)).otherwise(text)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _parsed_texts(texts: pd.Series) -> pd.Series:
+    def each(items):
+        return [_bullets(text) if text and "<li>" in text else text for text in items]
+
+    return texts.map(lambda items: None if items is None else each(items))
+
+
+def bullets_if_lists(texts: Column, *, any_html: bool = False) -> Column:
+    """``bullets_if_list`` of each element of an array of texts.
+
+    With ``any_html`` an array goes through the parser if one of its texts needs
+    it; the others pass as NULL.
+    """
+    native = F.transform(texts, lambda text: bullets_if_list(text))
+    if not any_html:
+        return native
+    hard = F.exists(texts, lambda text: text.contains("<li>") & ~is_flat_list(text))
+    return F.coalesce(_parsed_texts(F.when(hard, texts)), native)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobreview.functions.templates import fill, shown
-from jobreview.functions.text import bullets_if_list
+from jobreview.functions.text import bullets_if_lists
 from jobreview.operators.insights import shown_instances
 from jobreview.operators.summary import MARKDOWN_LINK, WIKI_LINK, summary_fields
 
@@ -91,23 +90,16 @@ def markdown_card(card: Column) -> Column:
     return fill(MARKDOWN_CARD, **{name: card[name] for name in names})
 
 
-def wiki_card(card: Column) -> Column:
+def wiki_card(card: Column, actions: Column) -> Column:
     names = ("key", "label", "title", "events")
-    return fill(
-        WIKI_CARD,
-        **{name: card[name] for name in names},
-        actions=bullets_if_list(card["actions"]),
-    )
+    return fill(WIKI_CARD, **{name: card[name] for name in names}, actions=actions)
 
 
-def insight_section(
-    brand: Brand, card: Callable[[Column], Column], *, strict: bool = False
-) -> Column:
+def insight_section(brand: Brand, cards: Column) -> Column:
     """Heading and cards; the heading stands even if every card is filtered out."""
-    insights = F.col("insights")
-    cards = F.array_join(F.transform(shown_instances(insights, strict=strict), card), "")
     heading = F.lit(INSIGHTS_HEADING.format(brand=brand.name))
-    return F.when(F.size(insights) > 0, F.concat(heading, cards)).otherwise(F.lit(""))
+    texts = F.concat(heading, F.array_join(cards, ""))
+    return F.when(F.size("insights") > 0, texts).otherwise(F.lit(""))
 
 
 def _run_columns() -> dict[str, Column]:
@@ -116,23 +108,32 @@ def _run_columns() -> dict[str, Column]:
 
 def markdown_block(brand: Brand, *, strict: bool = False) -> Column:
     """Report text of one run, from columns of ``with_app_summary``."""
+    cards = F.transform(shown_instances(F.col("insights"), strict=strict), markdown_card)
     return F.concat(
         fill(MARKDOWN_HEAD, logo=brand.logo_url, brand=brand.name, **_run_columns()),
         fill(MARKDOWN_SUMMARY, table=markdown_table(summary_fields(MARKDOWN_LINK))),
-        insight_section(brand, markdown_card, strict=strict),
+        insight_section(brand, cards),
         F.lit(MARKDOWN_TAIL),
     )
 
 
-def wiki_block(brand: Brand, *, strict: bool = False) -> Column:
-    """The same in wiki markup."""
+def wiki_block(brand: Brand) -> Column:
+    """The same in wiki markup, from columns of ``with_wiki_cards``."""
     return F.concat(
         fill(WIKI_HEAD, brand=brand.name, **_run_columns()),
         fill(WIKI_SUMMARY, table=wiki_table(summary_fields(WIKI_LINK))),
-        insight_section(brand, wiki_card, strict=strict),
+        insight_section(brand, F.zip_with("_cards", "_actions", wiki_card)),
     )
 
 
+def with_wiki_cards(runs: DataFrame, *, strict: bool = False, any_html: bool = True) -> DataFrame:
+    """Adds a run's shown instances and, in their order, the action texts with
+    HTML lists turned into bullets. Both stay in the run's row."""
+    shown_cards = runs.withColumn("_cards", shown_instances(F.col("insights"), strict=strict))
+    actions = bullets_if_lists(F.col("_cards.actions"), any_html=any_html)
+    return shown_cards.withColumn("_actions", actions)
+
+
 def assemble_reports(
     blocks: DataFrame,
     *,
@@ -143,7 +144,8 @@ def assemble_reports(
 
     A report is one row unless it outgrows ``part_chars`` or a multiple of
     ``runs_per_chunk`` positions; then it continues in further rows, whose
-    texts in ``from_pos`` order are the report. No task ever holds more of one
+    texts in ``from_pos`` order are the report. A position occurs once per pull
+    request, as one description row gives it. No task ever holds more of one
     pull request than a chunk, and the text is shuffled once: parts are
     subgroups of the chunks the window is partitioned by.
     """
@@ -189,10 +191,16 @@ def wiki_reports(
     brand: Brand = Brand(),
     *,
     strict: bool = False,
+    any_html: bool = True,
     **parts,
 ) -> DataFrame:
-    """Wiki report per given pull request: preamble, then the run blocks."""
-    blocks = runs.select("pr_id", "pos", wiki_block(brand, strict=strict).alias("block"))
+    """Wiki report per given pull request: preamble, then the run blocks.
+
+    ``any_html=False`` keeps the job inside the JVM where all action lists are
+    flat and without entities.
+    """
+    carded = with_wiki_cards(runs, strict=strict, any_html=any_html)
+    blocks = carded.select("pr_id", "pos", wiki_block(brand).alias("block"))
     return assemble_reports(wiki_preambles(pull_requests, brand).unionByName(blocks), **parts)
 
 

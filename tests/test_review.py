@@ -240,6 +240,23 @@ def test_wiki_golden(spark):
     assert review.wiki.first().report == expected
 
 
+@pytest.mark.parametrize("any_html", [True, False])
+def test_wiki_action_lists(spark, any_html):
+    flat = instance("SLA", actions="<ul><li> a <b>b</b></li></ul>")
+    hard = instance("SLA", actions="<li>x &amp; y<ul><li>z</li></ul></li>")
+    plain = instance("SLA", actions="a &amp; b")
+    insight_list = [{"categories": {"c": {"instances": [flat, hard, plain]}}}]
+    if not any_html:
+        insight_list[0]["categories"]["c"]["instances"].remove(hard)
+    tables = landed(spark, json.dumps(RUN_INFO), insight_list)
+    resolved = runs.resolve_runs(runs.run_refs_from_text(single_run(spark)), *tables)
+    summarised = summary.with_app_summary(resolved, BASE)
+    row = reports.wiki_reports(summarised, single_run(spark), BRAND, any_html=any_html).first()
+    found = [part.split("\t|")[0] for part in row.report.split("*Actions*\n")[1:]]
+    expected = ["- ab", "- x & yz\n- z", "a &amp; b"]
+    assert found == (expected if any_html else [expected[0], expected[2]])
+
+
 @pytest.mark.parametrize(
     "insight_list,heading", [([], False), ([{"categories": None}], True)]
 )
