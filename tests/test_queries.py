@@ -4,9 +4,11 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from jobreview.plans import oracles
+from jobreview.plans import queries as registered
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = registered.registry()
+SQL = oracles.registry()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +18,7 @@ def con(sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", QUERIES)
