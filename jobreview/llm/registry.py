@@ -16,7 +16,15 @@ def q_secrets(spark, sf_dir):
     )
 
 
+def q_pieces(spark, sf_dir):
+    """Pieces with merge-dropout (one candidate in ten is skipped), decoded and compared."""
+    from jobreview.llm.sentencepieces import encode_table
+
+    return encode_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_sentencepiece": q_pieces,
     "op9_secret_scan": q_secrets,
 }
 
