@@ -106,7 +106,7 @@ class PieceModel:
                 decoded[i] = bytes([int(p.piece[1:-1], 16)])
             elif p.type in (1, 4):
                 decoded[i] = p.piece.replace(MARK, " ").encode()
-        symbol_of = -1 - np.arange(0x110000, dtype=np.int64)
+        symbol_of = -1 - np.arange(0x110000, dtype=np.int32)
         for piece, i in normal.items():
             if len(piece) == 1:
                 symbol_of[ord(piece)] = i

@@ -23,7 +23,22 @@ def q_pieces(spark, sf_dir):
     return encode_table(table(spark, sf_dir, "documents"))
 
 
+def q_toxicity(spark, sf_dir):
+    from jobreview.llm import toxicity as tox
+
+    docs = table(spark, sf_dir, "documents")
+    model = tox.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = tox.score_toxicity(docs, model)
+    return scored.select(
+        "doc_id",
+        tox.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= tox.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
+    "op7_toxicity": q_toxicity,
     "op2_sentencepiece": q_pieces,
     "op9_secret_scan": q_secrets,
 }

@@ -52,7 +52,7 @@ def encode_table(
 
     spark = docs.sparkSession
     small_batches(spark)
-    model = spark.sparkContext.broadcast(PieceModel.load(model_path))
+    model = PieceModel.load(model_path)  # travels with the function below
     slim = docs.select(
         *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
         F.col(f"`{id_col}`").cast("string").alias("id"),
@@ -67,8 +67,8 @@ def encode_table(
         for batch in batches:
             texts = batch.column("text").to_pylist()
             doc_keys = [document_key(i) for i in batch.column("id").to_pylist()]
-            ids, counts = encode_texts(model.value, texts, doc_keys, dropout, seed, variants, cache)
-            decoded = decode_ids(model.value, ids, counts)
+            ids, counts = encode_texts(model, texts, doc_keys, dropout, seed, variants, cache)
+            decoded = decode_ids(model, ids, counts)
             raw = [(text or "").encode() for text in texts]
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             absent = pa.array([text is None for text in texts])
@@ -100,14 +100,14 @@ def decode_table(
     Ids that end within a character decode to the replacement character."""
     spark = pieces.sparkSession
     small_batches(spark)
-    model = spark.sparkContext.broadcast(PieceModel.load(model_path))
+    model = PieceModel.load(model_path)  # travels with the function below
 
     @F.pandas_udf("string")
     def texts(column):
         lists = [[] if v is None else v for v in column]
         counts = np.array([len(v) for v in lists], np.int64)
         ids = np.concatenate([np.asarray(v, np.int64) for v in lists]) if lists else np.zeros(0, np.int64)
-        decoded = [b.decode("utf-8", "replace") for b in decode_ids(model.value, ids, counts)]
+        decoded = [b.decode("utf-8", "replace") for b in decode_ids(model, ids, counts)]
         return column.__class__([None if v is None else t for v, t in zip(column, decoded, strict=True)], dtype=object)
 
     return pieces.withColumn(text_col, texts(F.col(f"`{ids_col}`")))
