@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from jobreview.llm import decontaminate
 from jobreview.llm.common import table
 
 
@@ -37,13 +38,20 @@ def q_toxicity(spark, sf_dir):
     )
 
 
+def q_decontaminate(spark, sf_dir):
+    return decontaminate.mark_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op3_decontaminate": q_decontaminate,
     "op7_toxicity": q_toxicity,
     "op2_sentencepiece": q_pieces,
     "op9_secret_scan": q_secrets,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_decontaminate": decontaminate.ORACLE,
+}
 
 
 def registry() -> dict:
