@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobreview.llm import decontaminate
+from jobreview.llm import decontaminate, line_dedup
 from jobreview.llm.common import table
 
 
@@ -42,7 +42,13 @@ def q_decontaminate(spark, sf_dir):
     return decontaminate.mark_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def q_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 QUERIES = {
+    "op5_line_dedup": q_line_dedup,
     "op3_decontaminate": q_decontaminate,
     "op7_toxicity": q_toxicity,
     "op2_sentencepiece": q_pieces,
@@ -51,6 +57,7 @@ QUERIES = {
 
 SQL = {
     "op3_decontaminate": decontaminate.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
 }
 
 
