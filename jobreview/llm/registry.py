@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobreview.llm import decontaminate, line_dedup
+from jobreview.llm import decontaminate, line_dedup, near_dups
 from jobreview.llm.common import table
 
 
@@ -47,7 +47,12 @@ def q_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(docs)
 
 
+def q_near_dups(spark, sf_dir):
+    return near_dups.mark_near_duplicates(table(spark, sf_dir, "documents"), n_words=2)
+
+
 QUERIES = {
+    "op8_minhash_near_dedup": q_near_dups,
     "op5_line_dedup": q_line_dedup,
     "op3_decontaminate": q_decontaminate,
     "op7_toxicity": q_toxicity,
@@ -58,6 +63,7 @@ QUERIES = {
 SQL = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
+    "op8_minhash_near_dedup": near_dups.ORACLE,
 }
 
 
