@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobreview.llm import decontaminate, line_dedup, near_dups
+from jobreview.llm import decontaminate, line_dedup, near_dups, topk
 from jobreview.llm.common import table
 
 
@@ -51,7 +51,12 @@ def q_near_dups(spark, sf_dir):
     return near_dups.mark_near_duplicates(table(spark, sf_dir, "documents"), n_words=2)
 
 
+def q_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
+    "op1_kdtree_top_k": q_top_k,
     "op8_minhash_near_dedup": q_near_dups,
     "op5_line_dedup": q_line_dedup,
     "op3_decontaminate": q_decontaminate,
@@ -64,6 +69,7 @@ SQL = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op8_minhash_near_dedup": near_dups.ORACLE,
+    "op1_kdtree_top_k": topk.ORACLE,
 }
 
 
