@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobreview.llm import decontaminate, line_dedup, near_dups, topk
+from jobreview.llm import decontaminate, line_dedup, near_dups, topk, warc
 from jobreview.llm.common import table
+from jobreview.session import scratch_dir
 
 
 def q_secrets(spark, sf_dir):
@@ -55,7 +56,15 @@ def q_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def q_warc(spark, sf_dir):
+    """Archives written to the shared folder, read back and assembled."""
+    path = scratch_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.page_digests(warc.assemble(warc.landed_records(spark, path, payloads=False)))
+
+
 QUERIES = {
+    "op4_warc": q_warc,
     "op1_kdtree_top_k": q_top_k,
     "op8_minhash_near_dedup": q_near_dups,
     "op5_line_dedup": q_line_dedup,
@@ -70,6 +79,7 @@ SQL = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op8_minhash_near_dedup": near_dups.ORACLE,
     "op1_kdtree_top_k": topk.ORACLE,
+    "op4_warc": warc.ORACLE,
 }
 
 
