@@ -40,18 +40,19 @@ def word_hashes(text: Column) -> Column:
 
 
 def _places(rows: DataFrame, hashes: str, *keep: str) -> DataFrame:
-    """One row for each place and mask that fits: ``keep``, at, seed."""
-    n = F.size(hashes)
-    count = len(MASKS)
+    """One row for each place and mask that fits: ``keep``, at, seed. The
+    expressions are small: Java compiles no method as long as a case for each
+    mask would make it."""
+    count, n = len(MASKS), F.size(hashes)
     steps = F.when(n >= WEIGHT, F.sequence(F.lit(0), n * count - 1))
     rows = rows.select(*keep, hashes, F.explode(steps).alias("step"))
-    at, mask = F.floor(F.col("step") / count).cast("int"), F.col("step") % count
-    seed = None
-    for m, offsets in enumerate(MASKS):
-        fits = at + offsets[-1] < F.size(hashes)
-        value = F.when(fits, F.xxhash64(F.lit(m), *[F.get(hashes, at + o) for o in offsets]))
-        seed = F.when(mask == m, value) if seed is None else seed.when(mask == m, value)
-    return rows.select(*dict.fromkeys([*keep, hashes]), at.alias("at"), seed.alias("seed")).filter("seed IS NOT NULL")
+    at, mask = F.expr(f"cast(step div {count} as int)"), F.expr(f"step % {count}")
+    rows = rows.select(*keep, hashes, at.alias("at"), mask.alias("mask"))
+    kept = [F.array(*[F.lit(m[k]) for m in MASKS]) for k in range(WEIGHT)]
+    places = [F.col("at") + F.get(offsets, F.col("mask")) for offsets in kept]
+    fitting = rows.filter(places[-1] < n)
+    seed = F.xxhash64("mask", *[F.get(hashes, place) for place in places])
+    return fitting.select(*dict.fromkeys([*keep, hashes]), "at", seed.alias("seed"))
 
 
 def _similarity(doc: str, item: str, offset: Column) -> Column:
