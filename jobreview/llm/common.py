@@ -48,3 +48,29 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows: texts are long, and a Python worker holds
     one batch at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+# A filter of 2**23 bits is a table of at most 2**17 rows, whatever it is made of.
+FILTER_BITS = 1 << 23
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(key, F.lit(FILTER_BITS))
+
+
+def bit_filter(keys: DataFrame, key: str, purpose: str) -> DataFrame:
+    """(word, bits): one bit for each value of the long column ``key``. The
+    table is bounded by ``FILTER_BITS``, and combined before the shuffle."""
+    slots = keys.select(_slot(F.col(key)).alias("slot"))
+    rows = slots.select(
+        F.expr("shiftright(slot, 6)").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit")
+    )
+    return written(rows.groupBy("word").agg(F.bit_or("bit").alias("bits")), purpose)
+
+
+def may_hold(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is in the filter, and some others: all of them if
+    the filter is full. The filter is broadcast; its size is bounded."""
+    found = rows.join(F.broadcast(bits), F.shiftright(_slot(F.col(key)), 6) == bits["word"])
+    bit = F.expr(f"shiftright(bits, cast(pmod({key}, {FILTER_BITS}) % 64 as int)) & 1L")
+    return found.filter(bit == 1).drop("word", "bits")

@@ -20,6 +20,10 @@ ranges that two lines share are narrowed further, and at the end every variant
 within them is emitted. Nothing is lost: lines that share a variant share every
 range around it.
 
+No line's text is shuffled for this. Each round is a scan that emits hashes; the
+shared ones go into a bit filter of fixed size, which the next scan looks up. A
+filter only passes too much, so that hash collisions cost work, not results.
+
 Defined results: lines are cut at line feeds; lines shorter than ``min_chars``
 stay, as do all empty ones; null and empty texts have no lines to remove and
 stay as they are; places equal in id and line number (rows with one id) are
@@ -32,104 +36,103 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobreview.llm.common import fresh, written
+from jobreview.llm.common import bit_filter, fresh, may_hold, written
 
 MIN_CHARS = 20
 # Parts into which each round cuts a range.
 ROUNDS = (2, 8)
 
 
-def _hash(*parts: Column) -> Column:
-    """Two independent 64-bit hashes: corpora hold more lines than one could tell apart."""
-    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
-
-
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, no, line) of every line that may go; ``docs``: doc, text."""
+    """(doc, no, line, id_a, id_b) of every line that may go; ``docs``: doc,
+    text. Two hashes are the line's id: corpora hold more lines than one could
+    tell apart."""
     places = docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    return places.filter(F.length("line") >= min_chars)
+    places = places.filter(F.length("line") >= min_chars)
+    return places.select("*", F.xxhash64("line").alias("id_a"), F.xxhash64(F.lit(1), "line").alias("id_b"))
 
 
-def _ranges(lines: DataFrame) -> DataFrame:
-    """Both roles of each line: with one character deleted, and whole. ``left``
-    is the length of what is left, positions go from 0 to ``left``."""
-    n = F.length("line")
-    roles = F.array(F.struct((n - 1).alias("left"), F.lit(1).alias("gone")), F.struct(n.alias("left"), F.lit(0).alias("gone")))
-    return lines.select("id", "line", F.explode(roles).alias("role")).select(
-        "id", "line", "role.*", F.lit(0).alias("lo"), F.col("role.left").alias("hi")
-    )
+def _roles(lines: DataFrame) -> DataFrame:
+    """Each line with one character ``gone``, and whole. ``left`` is the length
+    of what is left, positions go from 0 to ``left``."""
+    rows = lines.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("gone"))
+    left = F.length("line") - F.col("gone")
+    return rows.select("*", left.alias("left"), F.lit(0).alias("lo"), left.alias("hi"))
 
 
-def _rest(lo: Column, hi: Column) -> Column:
+def _rest(salt: int) -> Column:
     """Hash of what every variant with a position in [lo, hi] has in common."""
-    before = F.substring("line", F.lit(1), lo)
-    after = F.substring("line", hi + F.col("gone") + 1, F.length("line"))
-    return _hash(F.col("left"), lo, hi, before, after)
-
-
-def _narrow(ranges: DataFrame, parts: int, name: str) -> DataFrame:
-    """Each range in ``parts``; those that two lines share."""
-    size = F.col("hi") - F.col("lo") + 1
-    k = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k")
-    lo = F.col("lo") + F.floor(size * F.col("k") / parts).cast("int")
-    hi = F.col("lo") + F.floor(size * (F.col("k") + 1) / parts).cast("int") - 1
-    cut = (
-        ranges.select("*", k)
-        .select("id", "line", "left", "gone", lo.alias("lo"), hi.alias("hi"))
-        .filter("lo <= hi")
-        .withColumn("key", _rest(F.col("lo"), F.col("hi")))
+    before, after = F.expr("substring(line, 1, lo)"), F.expr("substring(line, hi + gone + 1)")
+    return F.xxhash64(F.lit(salt), "left", "lo", "hi", before, after)
+
+
+def _cut(ranges: DataFrame, parts: int) -> DataFrame:
+    """Each range in ``parts``, with ``key``, the hash of what it fixes."""
+    rows = ranges.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k"))
+    rows = rows.withColumns(
+        {
+            "lo": F.expr(f"lo + cast((hi - lo + 1) * k div {parts} as int)"),
+            "hi": F.expr(f"lo + cast((hi - lo + 1) * (k + 1) div {parts} as int) - 1"),
+        }
     )
-    slim = cut.select("id", "left", "gone", "lo", "hi", "key")
-    shared = slim.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x != y").select("key")
-    return slim.join(shared, "key").drop("key")
+    return rows.drop("k").filter("lo <= hi").withColumn("key", _rest(0))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` two different lines have, and few others."""
+    keys = rows.groupBy("key").agg(F.min("id_a").alias("x"), F.max("id_a").alias("y")).filter("x != y")
+    return may_hold(rows, "key", bit_filter(keys, "key", "line-filter")).drop("key")
 
 
 def neighbours(lines: DataFrame) -> DataFrame:
-    """(id, first, first_id) of the lines one edit from an earlier one: the
-    place and the id of the earliest. ``lines``: id, line, first (its earliest
-    place), one row per distinct line."""
-    texts = lines.select("id", "line")
-    ranges = _ranges(texts)
-    for i, parts in enumerate(ROUNDS):
-        found = written(_narrow(ranges, parts, f"round{i}"), "line-ranges")
-        ranges = found.join(texts, "id")
-    at = F.explode(F.sequence("lo", "hi")).alias("at")
-    variants = ranges.join(lines.select("id", "first"), "id").select("id", "first", "line", "left", "gone", at)
-    variants = variants.select("id", "first", _rest(F.col("at"), F.col("at")).alias("variant"))
-    variants = written(variants, "line-variants")
-    earliest = variants.groupBy("variant").agg(
-        F.min(F.struct("first", "id")).alias("best"), F.max(F.struct("first", "id")).alias("last")
+    """(id_a, id_b) of the lines one edit from an earlier one. ``lines``: as
+    from ``_lines``, every place of every line."""
+    ranges = _roles(lines)
+    for parts in ROUNDS:
+        ranges = _shared(_cut(ranges, parts))
+    at = ranges.select("doc", "no", "line", "id_a", "id_b", "left", "gone", F.explode(F.sequence("lo", "hi")).alias("lo"))
+    at = at.withColumn("hi", F.col("lo"))
+    variants = at.select("doc", "no", "id_a", "id_b", _rest(0).alias("key"), _rest(1).alias("key_b"))
+    place = F.struct("doc", "no", "id_a", "id_b")
+    earliest = variants.groupBy("key", "key_b").agg(
+        F.min(place).alias("best"), F.min("id_a").alias("x"), F.max("id_a").alias("y")
     )
-    earliest = earliest.filter("best.id != last.id").select("variant", "best")
-    found = (
-        variants.join(earliest, "variant")
-        .filter("best.first < first")
-        .groupBy("id")
-        .agg(F.min("best").alias("best"))
-        .select("id", F.col("best.first").alias("first"), F.col("best.id").alias("first_id"))
+    earliest = written(earliest.filter("x != y").select("key", "key_b", "best"), "line-variants")
+    near = may_hold(variants, "key", bit_filter(earliest, "key", "line-filter"))
+    later = F.struct("best.doc", "best.no") < F.struct("doc", "no")
+    pairs = (
+        near.join(earliest, ["key", "key_b"])
+        .filter((F.col("id_a") != F.col("best.id_a")) & later)
+        .select("id_a", "id_b", F.col("best.id_a").alias("best_a"), F.col("best.id_b").alias("best_b"))
+        .distinct()
     )
-    a = texts.select("id", F.col("line").alias("line_a"))
-    b = texts.select(F.col("id").alias("first_id"), F.col("line").alias("line_b"))
-    pairs = found.join(a, "id").join(b, "first_id")
-    return pairs.filter(F.levenshtein("line_a", "line_b", 1) == 1).select("id", "first", "first_id")
+    pairs = written(pairs, "line-pairs")
+    return _verified(pairs, lines).select("id_a", "id_b").distinct()
+
+
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs whose texts are one edit apart."""
+    named = pairs.select("id_a").unionByName(pairs.select(F.col("best_a").alias("id_a")))
+    texts = may_hold(lines.select("id_a", "id_b", "line"), "id_a", bit_filter(named, "id_a", "line-filter"))
+    texts = texts.distinct()
+    best = texts.select(F.col("id_a").alias("best_a"), F.col("id_b").alias("best_b"), F.col("line").alias("best_line"))
+    both = pairs.join(texts, ["id_a", "id_b"]).join(best, ["best_a", "best_b"])
+    return both.filter(F.levenshtein("line", "best_line", 1) == 1)
 
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, no, near) of every line that goes. ``docs``: doc, text."""
-    places = _lines(docs, min_chars).withColumn("id", _hash(F.col("line")))
-    place = F.struct("doc", "no")
-    distinct = written(
-        places.groupBy("id").agg(F.min(place).alias("first"), F.first("line").alias("line"), F.count("*").alias("n")),
-        "lines",
-    )
-    near = written(neighbours(distinct).select("id", F.lit(True).alias("near")), "line-neighbours")
-    judged = distinct.join(near, "id", "left").filter("n > 1 OR near").select("id", "first", "near")
-    # Hot lines: the judged side has one row a line, so AQE may split the other.
-    rows = places.select("doc", "no", "id").join(judged, "id")
-    first = F.struct("doc", "no") == F.col("first")
-    same_place = F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.no") == F.col("no"))
+    lines = _lines(docs, min_chars)
+    places = lines.select("doc", "no", "id_a", "id_b")
+    near = written(neighbours(lines).withColumn("near", F.lit(True)), "line-neighbours")
+    distinct = places.groupBy("id_a", "id_b").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("n"))
+    # One row a line that goes somewhere, so AQE may split a hot line's places.
+    judged = distinct.join(near, ["id_a", "id_b"], "left").filter("n > 1 OR near").select("id_a", "id_b", "first", "near")
+    judged = written(judged, "line-judged")
+    rows = may_hold(places, "id_a", bit_filter(judged, "id_a", "line-filter")).join(judged, ["id_a", "id_b"])
+    first = F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.no") == F.col("no"))
     is_near = F.coalesce("near", F.lit(False))
-    return rows.filter(is_near | ~F.coalesce(first, same_place)).select("doc", "no", is_near.alias("near"))
+    return rows.filter(is_near | ~first).select("doc", "no", is_near.alias("near"))
 
 
 def dedup_lines(
