@@ -63,7 +63,14 @@ def q_warc(spark, sf_dir):
     return warc.page_digests(warc.assemble(warc.landed_records(spark, path, payloads=False)))
 
 
+def q_pii(spark, sf_dir):
+    from jobreview.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op10_pii_pseudonyms": q_pii,
     "op4_warc": q_warc,
     "op1_kdtree_top_k": q_top_k,
     "op8_minhash_near_dedup": q_near_dups,

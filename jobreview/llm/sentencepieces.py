@@ -3,7 +3,7 @@
 Defined results: a null text has null pieces, an empty one none, both count as
 lossless; equal rows get equal pieces; a null id counts as the text ``null`` in
 the key of the draws; empty tables give empty results. ``keep`` names columns
-of the input that go along.
+of the input that go along; a new column whose name they take gets an underscore.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobreview.llm.common import small_batches
+from jobreview.llm.common import fresh, small_batches
 from jobreview.llm.pieces import PieceModel, SegmentCache, decode_ids, encode_texts
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -86,7 +86,8 @@ def encode_table(
 
     pieces = slim.mapInArrow(run, out)
     return pieces.select(
-        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[field.name for field in OUTPUT]
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
+        *[F.col(field.name).alias(fresh(docs.select(*keep), field.name)) for field in OUTPUT],
     )
 
 
