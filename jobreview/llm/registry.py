@@ -69,7 +69,14 @@ def q_pii(spark, sf_dir):
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def q_repeats(spark, sf_dir):
+    from jobreview.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
+    "op6_suffix_array_dedup": q_repeats,
     "op10_pii_pseudonyms": q_pii,
     "op4_warc": q_warc,
     "op1_kdtree_top_k": q_top_k,
