@@ -15,11 +15,13 @@ class from here on. Then:
   union sketch estimates the similarity, the full sets confirm it. Confirmed
   links give components.
 * The rest. Members of one list that are not in one component by then are
-  compared pair by pair, the estimate being part of the join, and confirmed in
-  the same way. Pairs within a component are never formed: a large group of
-  copies costs a star, and yet no link between different groups is lost.
+  compared, long lists in pairs of blocks; a pair counts in the first of its
+  lists only, and only pairs that the union sketch allows leave the task, to be
+  confirmed in the same way. Pairs within a component are not compared: a large
+  group of copies costs a star, and yet no link between groups is lost.
 
-The estimate discards below ``MIN_ESTIMATE``, six standard deviations under 0.8.
+A sketch holds the upper halves of the hashes. The estimate discards what lies
+more than six standard deviations under the asked similarity.
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing; texts of fewer words than a shingle have one shingle, all words;
@@ -35,11 +37,9 @@ from pyspark.sql.window import Window
 
 from jobreview.llm.common import ascii_lower, words, written
 from jobreview.llm.components import components
+from jobreview.llm.sketch_pairs import RUN, RUN_SKETCH, SKETCH, SMALL_SET, compared
 
-SKETCH = 64
-RUN = 3
-SMALL_SET = 6
-MIN_ESTIMATE = 0.5
+BLOCK = 512
 
 
 def shingle_set(text: Column, n_words: int) -> Column:
@@ -69,19 +69,21 @@ def described(docs: DataFrame, n_words: int) -> DataFrame:
         "text_hash",
         F.size("s").cast("long").alias("n"),
         F.when(F.size("s") > 0, F.struct(F.xxhash64("s").alias("a"), F.xxhash64(F.lit(1), "s").alias("b"))).alias("node"),
-        F.slice("s", 1, SKETCH).alias("sketch"),
+        F.transform(F.slice("s", 1, SKETCH), lambda h: F.shiftright(h, 32).cast("int")).alias("sketch"),
     )
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """(key, node, n): the lists each class is in."""
-    n = F.size("sketch")
+    """(key, at, node, n): the lists each class is in; ``at`` is the value that
+    the key begins with."""
+    n = F.least(F.size("sketch"), F.lit(RUN_SKETCH))
     steps = F.explode(F.sequence(F.lit(0), F.when(F.col("n") <= SMALL_SET, n - 1).otherwise(n - RUN))).alias("i")
     rows = classes.select("node", "n", "sketch", steps)
+    at = F.get("sketch", F.col("i"))
     run = F.xxhash64(F.lit(RUN), *[F.get("sketch", F.col("i") + j) for j in range(RUN)])
     # Sets of up to five can be 0.8 like sets of up to six only.
-    single = F.xxhash64(F.lit(1), F.get("sketch", F.col("i")))
-    return rows.select(F.when(F.col("n") <= SMALL_SET, single).otherwise(run).alias("key"), "node", "n")
+    key = F.when(F.col("n") <= SMALL_SET, F.xxhash64(F.lit(1), at)).otherwise(run)
+    return rows.select(key.alias("key"), at.alias("at"), "node", "n")
 
 
 def _fits(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -95,13 +97,21 @@ def _estimate(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _least(n_a: Column, n_b: Column, percent: int) -> Column:
+    """The estimate below which the similarity is out of the question. Drawing
+    without return narrows it for sets not much larger than a sketch."""
+    share = percent / 100
+    drawn = F.greatest(1 - SKETCH / (n_a + n_b), F.lit(0.0))
+    return share - 6 * F.sqrt(share * (1 - share) / SKETCH * drawn) - 0.01
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose union sketch allows the similarity, with the estimate."""
-    a = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
-    b = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    rows = pairs.join(a, "a").join(b, "b")
-    rows = rows.select("a", "b", _estimate(F.col("sketch_a"), F.col("sketch_b")).alias("estimate"))
-    return rows.filter(F.col("estimate") >= MIN_ESTIMATE)
+    a, b = (
+        classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"
+    )
+    rows = pairs.join(a, "a").join(b, "b").withColumn("estimate", _estimate(F.col("sketch_a"), F.col("sketch_b")))
+    return rows.filter(F.col("estimate") >= _least(F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "estimate")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -128,7 +138,6 @@ def _rooted(nodes: DataFrame, roots: DataFrame, name: str, out: str) -> DataFram
 def near_groups(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     """(doc, text_hash, n, component) of each row of ``docs`` (doc, text):
     ``component`` is the smallest id of its group."""
-    spark = docs.sparkSession
     rows = written(described(docs, n_words), "sketches")
     classes = written(
         rows.filter("n > 0")
@@ -140,7 +149,7 @@ def near_groups(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFra
     keys = written(_keys(classes), "sketch-keys")
     lists = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last"))
     members = written(
-        keys.join(lists.filter("first.node != last").select("key", "first"), "key").select("key", "node", "n", "first"),
+        keys.join(lists.filter("first.node != last").select("key", "first"), "key").select("key", "at", "node", "n", "first"),
         "sketch-lists",
     )
     stars = (
@@ -148,7 +157,7 @@ def near_groups(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFra
         .select(F.col("node").alias("a"), F.col("first.node").alias("b"))
         .distinct()
     )
-    stars = written(_estimated(stars, classes), "sketch-stars")
+    stars = written(_estimated(stars, classes, percent), "sketch-stars")
     best = Window.partitionBy("a").orderBy(F.col("estimate").desc(), "b")
     likeliest = stars.withColumn("r", F.row_number().over(best)).filter("r = 1").select("a", "b")
     links = written(_confirmed(likeliest, classes, docs, n_words, percent), "sketch-links")
@@ -175,20 +184,21 @@ def near_groups(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFra
 
 def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of one list and different components that the union sketch allows."""
-    rooted = _rooted(members.select("key", "node", "n"), roots, "node", "root")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
+    rooted = _rooted(members.select("key", "at", "node", "n"), roots, "node", "root")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"))
+    mixed = mixed.filter("x != y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     rooted = rooted.join(mixed, "key").join(classes.select("node", "sketch"), "node")
-    rooted = written(rooted, "sketch-mixed")
-    a = rooted.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "root", "sketch")])
-    b = rooted.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "sketch")])
-    like = (
-        (a["key"] == b["key"])
-        & (F.col("node_a") < F.col("node_b"))
-        & (F.col("root_a") != F.col("root_b"))
-        & _fits(F.col("n_a"), F.col("n_b"), percent)
-        & (_estimate(F.col("sketch_a"), F.col("sketch_b")) >= MIN_ESTIMATE)
-    )
-    return a.join(b, like).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rooted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "at", "n",
+        F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.xxhash64("root").alias("root"), "sketch",
+    )
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "a", "b")
+    schema = "a_a long, a_b long, b_a long, b_b long"
+    found = rows.mapInArrow(lambda batches: compared(batches, percent), schema).distinct()
+    node = [F.struct(F.col(f"{x}_a").alias("a"), F.col(f"{x}_b").alias("b")).alias(x) for x in "ab"]
+    return found.select(*node)
 
 
 def mark_near_duplicates(
