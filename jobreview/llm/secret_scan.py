@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and a battery of randomness tests for the rest.
 
 Patterns give the base spans. Other tokens get an encoding inferred from their
-characters and three tests of "symbols are drawn evenly and independently from
-that alphabet": chi-squared evenness, runs about the middle symbol, lag-one
+characters and tests of "symbols are drawn evenly and independently from
+that alphabet": chi-squared evenness (of symbols and of their classes), runs about the middle symbol, lag-one
 serial correlation. The combined p-values of all tokens of a length class pass
 one false-discovery procedure, which discards tokens that are *not* random
 (words, paths, numbers in sequence); what it cannot discard is a secret. Longer
@@ -55,6 +55,7 @@ ALPHABETS = {
     "base64": _UPPER + _LOWER + _DIGITS + "+/",
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
 }
+_CLASSES = (str.isupper, str.islower, str.isdigit, lambda c: not c.isalnum())
 P_BINS = 400
 FDR = 0.01
 
@@ -106,13 +107,26 @@ def _normal_tail(z: float) -> float:
     return math.erfc(z / math.sqrt(2)) / 2
 
 
+def _chi2_tail(chi2: float, df: int) -> float:
+    """Upper tail (Wilson-Hilferty)."""
+    if chi2 <= 0:
+        return 1.0
+    return _normal_tail(((chi2 / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+
+
 def evenness_p(values: list[int], size: int) -> float:
-    """Upper tail of the chi-squared statistic (Wilson-Hilferty)."""
+    """Whether all symbols of the alphabet are drawn evenly."""
     n = len(values)
-    chi2 = sum(c * c for c in Counter(values).values()) * size / n - n
-    df = size - 1
-    z = ((chi2 / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)) if chi2 > 0 else -9.0
-    return _normal_tail(z)
+    return _chi2_tail(sum(c * c for c in Counter(values).values()) * size / n - n, size - 1)
+
+
+def classes_p(token: str, alphabet: str) -> float:
+    """The same for upper case, lower case, digits and marks: few counts, so
+    that short tokens tell words from random letters."""
+    counts, sizes = ([sum(kind(c) for c in s) for kind in _CLASSES] for s in (token, alphabet))
+    expected = [len(token) * size / len(alphabet) for size in sizes]
+    terms = [(c - e) ** 2 / e for c, e in zip(counts, expected, strict=True) if e]
+    return _chi2_tail(sum(terms), len(terms) - 1) if len(terms) > 1 else 1.0
 
 
 def runs_p(values: list[int], size: int) -> float:
@@ -141,7 +155,7 @@ def serial_p(values: list[int]) -> float:
 
 
 def battery(token: str) -> float | None:
-    """The combined p-value (the least of three, times three), None without an
+    """The combined p-value (the least of four, times four), None without an
     inferred encoding."""
     body = token.rstrip("=")
     name = infer_encoding(body)
@@ -150,7 +164,8 @@ def battery(token: str) -> float | None:
     alphabet = ALPHABETS[name]
     values = [alphabet.index(c) for c in body]
     size = len(alphabet)
-    return min(1.0, 3 * min(evenness_p(values, size), runs_p(values, size), serial_p(values)))
+    tests = (evenness_p(values, size), classes_p(body, alphabet), runs_p(values, size), serial_p(values))
+    return min(1.0, 4 * min(tests))
 
 
 def length_class(n: int) -> int:
