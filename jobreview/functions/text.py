@@ -20,7 +20,7 @@ SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 LIST_ITEM_OPEN = r"(?i)<li(?=[\s/>])"
 LIST_ITEM = r"(?is)<li(?:\s[^>]*)?>(.*?)</li\s*>"
 # What an item must not hold if pattern matching is to read it exactly.
-NEEDS_PARSER = r"(?is)&|<!|<script|<style"
+NEEDS_PARSER = r"(?is)&|<!|<(?:script|style|template|rt|rp)(?=[\s/>])"
 
 
 def flatten_lines(text: Column) -> Column:
@@ -76,6 +76,9 @@ class _ListItems(HTMLParser):
         "area base br col embed hr img input link meta param source track wbr".split()
     )
 
+    # Elements whose text is no text of an item.
+    UNREAD = frozenset("script style template rt rp".split())
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open_tags: list[tuple[str, int | None]] = []
@@ -85,7 +88,7 @@ class _ListItems(HTMLParser):
     def _close_piece(self):
         piece = "".join(self.pending).strip()
         self.pending.clear()
-        if piece and not any(tag in ("script", "style") for tag, _ in self.open_tags):
+        if piece and not any(tag in self.UNREAD for tag, _ in self.open_tags):
             for _, item in self.open_tags:
                 if item is not None:
                     self.items[item].append(piece)
@@ -96,6 +99,12 @@ class _ListItems(HTMLParser):
     def handle_comment(self, data):
         self._close_piece()
 
+    def unknown_decl(self, data):
+        self._close_piece()
+        if data.startswith("CDATA["):
+            self.pending.append(data.removeprefix("CDATA["))
+            self._close_piece()
+
     def handle_starttag(self, tag, attrs):
         self._close_piece()
         item = None
@@ -129,12 +138,13 @@ def _parsed_list_bullets(html: pd.Series) -> pd.Series:
     return html.map(_bullets, na_action="ignore")
 
 
-def list_bullets(html: Column, *, any_html: bool = False) -> Column:
+def list_bullets(html: Column, *, any_html: bool = True) -> Column:
     """Bullet lines of all list items.
 
-    The default covers flat lists without entities and stays inside the JVM.
-    ``any_html`` sends the other texts, and only those, through a small parser
-    in Arrow batches; flat ones pass as NULL and are never moved.
+    Flat lists without entities are read by native expressions; the other
+    texts, and only those, go through a small parser in Arrow batches, where
+    flat ones pass as NULL. ``any_html=False`` is for texts known to be flat: it
+    leaves the parser out, and loses nested items.
     """
     if not any_html:
         return flat_list_bullets(html)
@@ -144,7 +154,7 @@ def list_bullets(html: Column, *, any_html: bool = False) -> Column:
     )
 
 
-def bullets_if_list(text: Column, *, any_html: bool = False) -> Column:
+def bullets_if_list(text: Column, *, any_html: bool = True) -> Column:
     """Bullet lines if the text holds a plain ``<li>``, else the text itself."""
     return F.when(text.contains("<li>"), list_bullets(text, any_html=any_html)).otherwise(text)
 
@@ -157,13 +167,13 @@ def _parsed_texts(texts: pd.Series) -> pd.Series:
     return texts.map(lambda items: None if items is None else each(items))
 
 
-def bullets_if_lists(texts: Column, *, any_html: bool = False) -> Column:
+def bullets_if_lists(texts: Column, *, any_html: bool = True) -> Column:
     """``bullets_if_list`` of each element of an array of texts.
 
-    With ``any_html`` an array goes through the parser if one of its texts needs
+    An array goes through the parser if one of its texts needs
     it; the others pass as NULL.
     """
-    native = F.transform(texts, lambda text: bullets_if_list(text))
+    native = F.transform(texts, lambda text: bullets_if_list(text, any_html=False))
     if not any_html:
         return native
     hard = F.exists(texts, lambda text: text.contains("<li>") & ~is_flat_list(text))

@@ -77,6 +77,11 @@ def rule_conditions(prefix: str = "") -> dict[str, Column]:
     def ran(names: tuple[str, ...]) -> Column:
         return has_any(names, f"{prefix}operators")
 
+    def above(value: Column, limit: float) -> Column:
+        # NaN sorts above every number here, but is above no limit.
+        return (value > limit) & ~F.isnan(value)
+
+    # Cheap comparisons stand before array tests; the conditions are the same.
     seconds = F.col(f"{prefix}total_duration_seconds")
     written_rows = F.col(f"{prefix}rows_written")
     written_mb = F.col(f"{prefix}bytes_written_mb")
@@ -85,10 +90,10 @@ def rule_conditions(prefix: str = "") -> dict[str, Column]:
     return {
         "heavy_exchange": ran(HEAVY_EXCHANGE),
         "python_eval": ran(PYTHON_EVAL),
-        "large_write": (written_rows > MANY_ROWS_WRITTEN) | (written_mb > MANY_MB_WRITTEN),
-        "long_run": seconds > LONG_SECONDS,
-        "read_heavy": (seconds > READ_HEAVY_SECONDS)
-        & (read_mb > READ_HEAVY_MB)
+        "large_write": (written_rows > MANY_ROWS_WRITTEN) | above(written_mb, MANY_MB_WRITTEN),
+        "long_run": above(seconds, LONG_SECONDS),
+        "read_heavy": above(seconds, READ_HEAVY_SECONDS)
+        & above(read_mb, READ_HEAVY_MB)
         & ran(READ_OPERATORS),
         "short_native_write": (written_rows < SHORT_WRITE_ROWS)
         & (seconds < SHORT_WRITE_SECONDS)

@@ -24,8 +24,8 @@ def label_of(key: Column) -> Column:
 
 
 def is_shown(key: Column) -> Column:
-    """True unless the key, in any case, is the report key."""
-    return F.upper(key) != REPORT_KEY
+    """True unless the key, in any case, is the report key; also for no key."""
+    return F.coalesce(F.upper(key) != REPORT_KEY, F.lit(True))
 
 
 def insight_rows(runs: DataFrame, insights: str = "insights") -> DataFrame:
@@ -59,7 +59,7 @@ def insight_rows(runs: DataFrame, insights: str = "insights") -> DataFrame:
 
 
 def unlabelled_insights(runs: DataFrame, insights: str = "insights") -> DataFrame:
-    """Instances with an unknown key, for a reject table."""
+    """Instances with an unknown key or none, for a reject table."""
     return insight_rows(runs, insights).filter(F.col("label").isNull())
 
 
@@ -78,7 +78,8 @@ def shown_instances(insights: Column, *, strict: bool = False) -> Column:
     def labelled(instance: Column) -> Column:
         label = label_of(instance["key"])
         if strict:
-            unknown = F.concat(F.lit("unknown insight key: "), instance["key"])
+            key = F.coalesce(instance["key"], F.lit("none"))
+            unknown = F.concat(F.lit("unknown insight key: "), key)
             label = F.coalesce(label, F.raise_error(unknown))
         return F.struct(
             F.upper(instance["key"]).alias("key"),

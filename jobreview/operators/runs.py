@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobreview.functions.text import clean_description
+from jobreview.operators.summary import usable_annotation
 from jobreview.sources.responses import parse_analysis
 
 # Fixed value: the form of a run URL. Its dots are unescaped, so each of them
@@ -77,11 +78,13 @@ def _shuffled(responses: DataFrame) -> DataFrame:
 
 
 def first_tasks(summaries: DataFrame) -> DataFrame:
-    """Per run key the first task's cluster and application; empty lists go."""
+    """Per run key the first task's cluster and application. Empty lists go, and
+    so does a first task without both ids: an error payload parses to one."""
     task = F.get("summaries", F.lit(0))
-    return summaries.filter(F.size("summaries") > 0).select(
+    tasks = summaries.filter(F.size("summaries") > 0).select(
         "run_key", task["clusterUid"].alias("clusterUid"), task["sparkAppId"].alias("sparkAppId")
     )
+    return tasks.dropna(subset=APP_KEY)
 
 
 def runs_with_task(runs: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -120,3 +123,32 @@ def resolve_runs(
     """
     runs = runs_with_task(with_run_key(refs), summaries)
     return with_annotation(with_analysis(runs, analyses), app_summaries)
+
+
+def latest_responses(responses: DataFrame, key: list[str], landed_at: str, body: str = "body") -> DataFrame:
+    """One response per key where landed tables are appended to: the last by
+    ``landed_at``, then by body. A maximum, combined before the shuffle. Without
+    such a column call it on the body alone (``landed_at=body``), which keeps one
+    of several, always the same."""
+    last = F.max(F.struct(landed_at, body)).alias("_last")
+    return responses.groupBy(*key).agg(last).select(*key, f"_last.{landed_at}", *([f"_last.{body}"] if body != landed_at else []))
+
+
+def run_rejects(
+    refs: DataFrame, summaries: DataFrame, analyses: DataFrame, app_summaries: DataFrame
+) -> DataFrame:
+    """Every reference that ``resolve_runs`` or the app summary loses, with the
+    first ``reason``: resolved and rejected references together are all found."""
+    runs = with_run_key(refs).join(_shuffled(first_tasks(summaries)), "run_key", "left")
+    analysed = parse_analysis(analyses).select(*APP_KEY, F.lit(True).alias("_analysed"))
+    runs = runs.join(_shuffled(analysed), APP_KEY, "left")
+    known = app_summaries.select(*APP_KEY, usable_annotation(F.col("annotation")).alias("_usable"))
+    runs = runs.join(_shuffled(known), APP_KEY, "left")
+    reason = (
+        F.when(F.col("clusterUid").isNull(), "no task summary")
+        .when(F.col("_analysed").isNull(), "no analysis")
+        .when(F.col("_usable").isNull(), "no app summary")
+        .when(~F.col("_usable"), "unusable app summary")
+    )
+    lost = runs.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    return lost.select("pr_id", "pos", "run_key", "reason")

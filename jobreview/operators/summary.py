@@ -58,22 +58,33 @@ def autoscale_text(run_info: Column) -> Column:
     return F.when(scale.isNotNull(), F.to_json(bounds)).otherwise(F.lit(NO_AUTOSCALE))
 
 
+def usable_annotation(annotation: Column) -> Column:
+    """True if the run info parses and both cost fields are there."""
+    parsed = F.from_json(annotation["runInfo"], RUN_INFO)
+    return (
+        parsed["node_type_id"].isNotNull()
+        & annotation["cents"].isNotNull()
+        & annotation["dbuCost"].isNotNull()
+    )
+
+
 def with_run_info(runs: DataFrame) -> DataFrame:
-    """Adds the parsed ``run_info``; rows whose text does not parse go.
+    """Adds the parsed ``run_info``; rows whose text does not parse go, and so
+    do rows without both cost fields.
 
     Malformed text parses to a struct of NULLs; the node type, always there in
     a good one, tells. Testing inside the generator parses each text once: a
     plain filter would be pushed below the parse and repeat it.
     """
     parsed = F.from_json(F.col("annotation.runInfo"), RUN_INFO)
-    usable = F.filter(F.array(parsed), lambda info: info["node_type_id"].isNotNull())
+    cost = F.col("annotation.cents").isNotNull() & F.col("annotation.dbuCost").isNotNull()
+    usable = F.filter(F.array(parsed), lambda info: info["node_type_id"].isNotNull() & cost)
     return runs.select("*", F.explode(usable).alias("run_info"))
 
 
 def bad_run_info(runs: DataFrame) -> DataFrame:
     """The rows ``with_run_info`` leaves out, for a reject table."""
-    parsed = F.from_json(F.col("annotation.runInfo"), RUN_INFO)
-    return runs.filter(parsed["node_type_id"].isNull())
+    return runs.filter(~F.coalesce(usable_annotation(F.col("annotation")), F.lit(False)))
 
 
 def with_app_summary(

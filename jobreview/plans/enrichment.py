@@ -22,12 +22,13 @@ HASH_EXCLUDED = ("row_eff_start_tms", "row_eff_end_tms")
 class EnrichmentOptions:
     """Settings of the enrichment job; ``with_overrides`` replaces some.
 
-    Keys that are no setting are accepted and kept in ``extra``.
+    Tables have no defaults: a run with a forgotten setting must not write to a
+    guessed table. Keys that are no setting are accepted and kept in ``extra``.
     """
 
-    source_table: str = "crm_dev_brz.customer_event_stream"
-    profile_dim_table: str = "crm_dev_slv.customer_profile_dim"
-    target_table: str | None = "crm_dev_gld.customer_profile_enriched"
+    source_table: str | None = None
+    profile_dim_table: str | None = None
+    target_table: str | None = None
     target_path: str | None = None
     checkpoint_path: str | None = None
     source_format: str | None = None
@@ -39,7 +40,7 @@ class EnrichmentOptions:
     enable_profile_join: bool = True
     broadcast_profile: bool = False
     salt_buckets: int = 1
-    on_duplicate_profile: str = "any"
+    on_duplicate_profile: str = "latest"
     strict_casts: bool = True
     null_safe_hash: bool = False
     extra: dict = field(default_factory=dict)
@@ -51,6 +52,17 @@ class EnrichmentOptions:
         chosen = {name: value for name, value in given.items() if name in known}
         return replace(self, **chosen, extra={**self.extra, **extra})
 
+    def checked(self) -> EnrichmentOptions:
+        """Itself, if the tables that the job needs are named."""
+        missing = [] if self.source_table else ["source_table"]
+        if self.enable_profile_join and not self.profile_dim_table:
+            missing.append("profile_dim_table")
+        if not (self.target_table or self.target_path):
+            missing.append("target_table or target_path")
+        if missing:
+            raise ValueError(f"the enrichment job needs {', '.join(missing)}")
+        return self
+
     def admission_caps(self) -> dict[str, int | None]:
         """Caps of the stream source: files by default, bytes if they are given."""
         files, size = self.max_files_per_trigger, self.max_bytes_per_trigger

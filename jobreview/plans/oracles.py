@@ -431,6 +431,12 @@ def registry() -> dict[str, str]:
             FROM ({RESOLVED})""",
         "run_not_found": f"""
             SELECT k AS pr_id, pos, {RUN_KEY} AS run_key FROM ({RUNS}) WHERE NOT has_summary""",
+        "run_rejects": f"""
+            SELECT k AS pr_id, pos, {RUN_KEY} AS run_key,
+                   CASE WHEN NOT has_summary THEN 'no task summary'
+                        WHEN NOT has_analysis THEN 'no analysis'
+                        ELSE 'unusable app summary' END AS reason
+            FROM ({RUNS}) WHERE NOT (has_summary AND has_analysis AND has_info)""",
         "refused_responses": """
             SELECT 'cl-' || o_orderkey AS clusterUid, '{"message": "INVALID_TOKEN"}' AS body
             FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 = 0""",

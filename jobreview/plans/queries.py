@@ -265,9 +265,13 @@ def q_lookback(spark, sf_dir):
 
 def _tables(spark, sf_dir):
     return {
-        "summaries": responses.parse_task_summaries(inputs.task_summaries(spark, sf_dir)),
+        "summaries": responses.parse_task_summaries(
+            responses.accepted(inputs.task_summaries(spark, sf_dir))
+        ),
         "analyses": responses.accepted(inputs.analyses(spark, sf_dir)),
-        "app_summaries": responses.parse_app_summary(inputs.app_summaries(spark, sf_dir)),
+        "app_summaries": responses.parse_app_summary(
+            responses.accepted(inputs.app_summaries(spark, sf_dir))
+        ),
     }
 
 
@@ -299,6 +303,11 @@ def q_run_not_found(spark, sf_dir):
     )
 
 
+def q_run_rejects(spark, sf_dir):
+    refs = runs.run_refs_from_text(inputs.pull_requests(spark, sf_dir))
+    return runs.run_rejects(refs, **_tables(spark, sf_dir))
+
+
 def q_refused_responses(spark, sf_dir):
     return responses.rejected(inputs.analyses(spark, sf_dir)).select("clusterUid", "body")
 

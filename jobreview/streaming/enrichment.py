@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from jobreview.plans.enrichment import EnrichmentOptions, enrich
-from jobreview.session import build_session, scratch_dir
+from jobreview.session import build_session
 from jobreview.sources.tables import read_event_stream
 
 
@@ -43,7 +45,7 @@ def start_enrichment(
     The first start fixes the number of state partitions: set
     ``spark.sql.shuffle.partitions`` for the state to come, not for one batch.
     """
-    options = EnrichmentOptions().with_overrides(overrides)
+    options = EnrichmentOptions().with_overrides(overrides).checked()
     events = read_event_stream(
         spark,
         table=options.source_table,
@@ -62,9 +64,10 @@ def start_enrichment(
 
 
 def default_checkpoint(spark: SparkSession, options: EnrichmentOptions) -> str:
+    """Never a new folder: a second run would append every row again."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        return scratch_dir(spark, "enrichment-checkpoint")
+        raise ValueError("set checkpoint_path or spark.checkpoint.dir")
     target = (options.target_path or options.target_table or "enriched").strip("/")
     return f"{shared.rstrip('/')}/enrichment-checkpoint/{target.replace('/', '_').replace(':', '_')}"
 
@@ -78,9 +81,46 @@ def run_enrichment(
     return query
 
 
+class LateRows(StreamingQueryListener):
+    """Counts the rows that watermarks drop, over all batches of all runs.
+
+    Add it before a query starts (``spark.streams.addListener``). A query keeps
+    only its latest progress reports; the listener hears each one.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event):
+        self.dropped.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event):
+        run = str(event.progress.runId)
+        late = sum(operator.numRowsDroppedByWatermark for operator in event.progress.stateOperators)
+        self.dropped[run] = self.dropped.get(run, 0) + late
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended.add(str(event.runId))
+
+    def of(self, query: StreamingQuery, timeout: float = 60.0) -> int:
+        """Rows dropped in this run of an ended query: reports arrive on their
+        own thread, its end last."""
+        run, until = str(query.runId), time.monotonic() + timeout
+        while run not in self.ended:
+            if time.monotonic() > until:
+                raise TimeoutError("no end of the query was reported")
+            time.sleep(0.05)
+        return self.dropped.get(run, 0)
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows a watermark dropped, over the progress reports the session keeps
-    (``spark.sql.streaming.numRecentProgressUpdates`` of them)."""
+    (``spark.sql.streaming.numRecentProgressUpdates`` of them); ``LateRows``
+    counts all."""
     return sum(
         operator["numRowsDroppedByWatermark"]
         for progress in query.recentProgress
