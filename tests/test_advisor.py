@@ -76,3 +76,11 @@ def test_no_shuffle(spark, columns):
     fields = {f.name: f.dataType.simpleString() for f in KPI.fields}
     schema = ", ".join(f"{name} {fields[name]}" for name in columns)
     assert "Exchange" not in plan_of(recommend(spark.createDataFrame([], schema)))
+
+
+def test_nan_is_above_no_limit(spark):
+    nan = float("nan")
+    rows = [(1, nan, nan, nan, ["scan"])]
+    schema = "query_id int, bytes_read_mb double, bytes_written_mb double, total_duration_seconds double, operator_names array<string>"
+    advice = recommend(spark.createDataFrame(rows, schema)).first().recommendation
+    assert advice == NEUTRAL_RESULT

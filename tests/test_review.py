@@ -367,3 +367,53 @@ def test_hot_run_is_split_by_adaptive_execution(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_every_reference_is_resolved_or_rejected(spark):
+    prs = descriptions(spark, " ".join(URL.format(n, n) for n in range(7)))
+    refs = runs.run_refs_from_text(prs)
+    keys = [f"12_{n}_{n}" for n in range(7)]
+    task = '[{"clusterUid": "c%d", "sparkAppId": "a"}]'
+    bodies = [task % 0, '{"message": "INVALID_TOKEN"}', '[{"clusterUid": null, "sparkAppId": "a"}]', "[]", task % 4, task % 5, task % 6]
+    tasks = spark.createDataFrame(list(zip(keys, bodies)), "run_key string, body string")
+    analyses = spark.createDataFrame(
+        [(f"c{n}", "a", '{"insightsV2": []}') for n in (0, 5, 6)], "clusterUid string, sparkAppId string, body string"
+    )
+    info = '{"node_type_id": "n", "driver_node_type_id": "d", "default_tags": {}}'
+    full = json.dumps({"annotation": {"cents": 1.0, "dbuCost": 2.0, "runInfo": info}})
+    no_cost = json.dumps({"annotation": {"cents": 1.0, "runInfo": info}})
+    apps = spark.createDataFrame(
+        [("c0", "a", full), ("c6", "a", no_cost)], "clusterUid string, sparkAppId string, body string"
+    )
+    landed_tables = (
+        responses.parse_task_summaries(tasks), responses.accepted(analyses), responses.parse_app_summary(apps)
+    )
+    rejects = {row.pos: row.reason for row in runs.run_rejects(refs, *landed_tables).collect()}
+    assert rejects == {
+        1: "no task summary",
+        2: "no task summary",
+        3: "no task summary",
+        4: "no analysis",
+        5: "no app summary",
+        6: "unusable app summary",
+    }
+    resolved = runs.resolve_runs(refs, *landed_tables)
+    shown = summary.with_app_summary(resolved, BASE)
+    assert [row.pos for row in shown.collect()] == [0]
+    assert [row.pos for row in summary.bad_run_info(resolved).collect()] == [6]
+    assert shown.count() + len(rejects) == refs.count()
+
+
+def test_instances_without_key_are_not_lost(spark):
+    body = json.dumps({"insightsV2": [{"categories": {"x": {"instances": [instance("efficiency"), instance(None)]}}}]})
+    usable = responses.parse_analysis(analysis_frame(spark, body))
+    assert [row.key for row in insights.unlabelled_insights(usable).collect()] == [None]
+    with pytest.raises(PySparkException, match="unknown insight key: none"):
+        usable.select(insights.shown_instances(F.col("insights"), strict=True)).collect()
+
+
+def test_latest_response_per_key(spark):
+    rows = [("k", "2024-01-01", "old"), ("k", "2024-01-02", "b"), ("k", "2024-01-02", "c"), ("l", None, "d")]
+    landed_twice = spark.createDataFrame(rows, "run_key string, landed_at string, body string")
+    kept = runs.latest_responses(landed_twice, ["run_key"], "landed_at").orderBy("run_key").collect()
+    assert [(row.run_key, row.body) for row in kept] == [("k", "c"), ("l", "d")]

@@ -10,6 +10,7 @@ from jobreview.plans import inputs
 from jobreview.session import scratch_dir
 from jobreview.sources.tables import profile_dimension, read_event_stream
 from jobreview.streaming.enrichment import (
+    LateRows,
     append_stream,
     default_checkpoint,
     late_rows,
@@ -139,11 +140,28 @@ def test_bounded_dedupe_reports_late_rows(spark, staged, tmp_path):
     ts, low, high = F.col("payload.event_ts"), F.lit(cuts[0]), F.lit(cuts[1])
     for part in (ts >= high, (ts >= low) & (ts < high), ts < low):
         ordered.filter(part).coalesce(1).write.mode("append").parquet(source)
-    query = run_to_path(dedupe_within(event_stream(spark, source), "1 hour"), tmp_path)
+    counter = LateRows()
+    spark.streams.addListener(counter)
+    # The session keeps fewer reports than there are batches; the listener hears all.
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    try:
+        query = run_to_path(dedupe_within(event_stream(spark, source), "1 hour"), tmp_path)
+        late = counter.of(query)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+        spark.streams.removeListener(counter)
     kept = spark.read.parquet(str(tmp_path / "rows")).count()
-    total = normalize_events(ordered).count()
-    assert late_rows(query) > 0
-    assert kept + late_rows(query) == total
+    assert len(query.recentProgress) < 3  # batches
+    assert late > 0
+    assert kept + late == normalize_events(ordered).count()
+
+
+def test_settings_are_required(spark):
+    for given in ({}, {"source_table": "a"}, {"source_table": "a", "profile_dim_table": "b"}):
+        with pytest.raises(ValueError):
+            run_enrichment(spark, given)
+    complete = {"source_table": "a", "enable_profile_join": False, "target_path": "c"}
+    assert EnrichmentOptions().with_overrides(complete).checked().source_table == "a"
 
 
 def test_latest_runs_on_a_stream(spark, staged):

@@ -88,3 +88,12 @@ def test_bullets_only_for_plain_items(spark, text, expected):
 def test_fill_shows_null_as_none(spark):
     filled = fill("{a}-{b}!", a=F.col("t"), b="x{y}")
     assert column_values(spark, ["1", None], filled) == ["1-x{y}!", "None-x{y}!"]
+
+
+def test_elements_without_item_text_and_cdata(spark):
+    html = {
+        "<ul><li>a<![CDATA[ x ]]>b</li></ul>": "- axb",
+        "<li><ruby>k<rt>no</rt><rp>(</rp></ruby><template>z</template> y&amp;</li>": "- ky&",
+        "<li>o<ul><li>i</li></ul></li>": "- oi\n- i",
+    }
+    assert column_values(spark, list(html), X.list_bullets(F.col("t"))) == list(html.values())
