@@ -92,17 +92,22 @@ def _fits(n_a: Column, n_b: Column, percent: int) -> Column:
 
 
 def _estimate(a: Column, b: Column) -> Column:
-    """Share of the union's sketch that both sketches hold."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
+    """Share of the union's sketch that both sketches hold; of the whole union
+    where no sketch is full."""
+    union = F.sort_array(F.array_union(a, b))
+    whole = (F.size(a) < SKETCH) & (F.size(b) < SKETCH)
+    union = F.when(whole, union).otherwise(F.slice(union, 1, SKETCH))
     return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
 
 
 def _least(n_a: Column, n_b: Column, percent: int) -> Column:
     """The estimate below which the similarity is out of the question. Drawing
-    without return narrows it for sets not much larger than a sketch."""
+    without return narrows it for sets not much larger than a sketch, and next
+    to nothing is left for whole sets."""
     share = percent / 100
     drawn = F.greatest(1 - SKETCH / (n_a + n_b), F.lit(0.0))
-    return share - 6 * F.sqrt(share * (1 - share) / SKETCH * drawn) - 0.01
+    drawn = F.when(F.greatest(n_a, n_b) < SKETCH, F.lit(0.0)).otherwise(drawn)
+    return share - 6 * F.sqrt(share * (1 - share) / SKETCH * drawn) - 0.005
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SKETCH = 128
+SKETCH = 256
 RUN_SKETCH = 64
 RUN = 3
 SMALL_SET = 6
@@ -16,19 +16,23 @@ END = np.int64(1) << np.int64(40)
 
 def estimates(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Share of the union's sketch that both hold, for ``one`` against each row
-    of ``others``; sketches are sorted and padded with ``END``."""
+    of ``others``; of the whole union where no sketch is full. Sketches are
+    sorted and padded with ``END``."""
     both = np.concatenate([np.broadcast_to(one, others.shape), others], axis=1)
     both.sort(axis=1)
     same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] < END)
     rank = np.cumsum(np.concatenate([both[:, :1] < END, ~same & (both[:, 1:] < END)], axis=1), axis=1)
-    shared = (same & (rank[:, 1:] <= SKETCH)).sum(axis=1)
-    return shared / np.minimum(rank[:, -1], SKETCH)
+    whole = (one[-1] == END) & (others[:, -1] == END)
+    most = np.where(whole, rank[:, -1], np.minimum(rank[:, -1], SKETCH))
+    return (same & (rank[:, 1:] <= most[:, None])).sum(axis=1) / most
 
 
 def least_estimates(n: float, others: np.ndarray, percent: int) -> np.ndarray:
+    """The estimate below which the similarity is out of the question: six
+    standard deviations under it, next to none for whole sets."""
     share = percent / 100
-    drawn = np.maximum(1 - SKETCH / (n + others), 0.0)
-    return share - 6 * np.sqrt(share * (1 - share) / SKETCH * drawn) - 0.01
+    drawn = np.where(np.maximum(n, others) < SKETCH, 0.0, np.maximum(1 - SKETCH / (n + others), 0.0))
+    return share - 6 * np.sqrt(share * (1 - share) / SKETCH * drawn) - 0.005
 
 
 def _runs(sketches: np.ndarray) -> np.ndarray:
@@ -51,11 +55,12 @@ def list_pairs(at: np.ndarray, n: np.ndarray, root: np.ndarray, sketches: np.nda
         for part in np.split(js, range(4096, len(js), 4096)):
             if not len(part):
                 continue
-            part = part[estimates(sketches[i], sketches[part]) >= least_estimates(n[i], n[part], percent)]
-            if n[i] > SMALL_SET and len(part):
+            if n[i] > SMALL_SET:
                 # Runs that begin before this list's are other, earlier lists.
                 earlier = runs[i][(sketches[i, : runs.shape[1]] < at[i]) & (runs[i] != 0)]
-                part = part[~np.isin(runs[part], earlier).any(axis=1)]
+                if len(earlier):
+                    part = part[~np.isin(runs[part], earlier).any(axis=1)]
+            part = part[estimates(sketches[i], sketches[part]) >= least_estimates(n[i], n[part], percent)]
             out += [(i, int(j)) for j in part]
     return out
 
