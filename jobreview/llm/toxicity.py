@@ -209,7 +209,9 @@ def fit_toxicity(
     ids = written(training_ids(labels, max_rows), "toxic-ids")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sample = texts.join(F.broadcast(ids), "id").select("text", "toxic", "fold")
-    folds = {(r["fold"], r["toxic"]): r["count"] for r in ids.groupBy("fold", "toxic").count().collect()}
+    # Labels count where their document is there.
+    found = texts.select("id").join(F.broadcast(ids), "id").groupBy("fold", "toxic").count().collect()
+    folds = {(r["fold"], r["toxic"]): r["count"] for r in found}
     rows = sum(folds.values())
     base_rate = sum(n for (_, toxic), n in folds.items() if toxic) / rows if rows else 0.0
     model = ToxicityModel(Lexicon(), base_rate)
