@@ -7,10 +7,11 @@ class from here on. Then:
 * Inverted lists. A key is a run of three neighbouring retained values. Sets
   with a similarity of 0.8 miss at most one value in five, so that some run
   survives: in whole sets always (at most a fifth of the union is not shared,
-  so the rest has runs of four on average), and in sketches of 64 but for about
-  one pair in 10^9. A run is rarer than a value: one very common shingle, or
-  a passage that many documents share, makes no long list. Sets of up to six
-  shingles, where runs may break, use single values.
+  so the rest has runs of four on average; four shared values of five alone may
+  be parted two and two), and in sketches of 64 but for about one pair in 10^9. A run is rarer than a value: one very common shingle, or
+  a passage that many documents share, makes no long list. Sets of up to five
+  shingles, where runs may break, use single values; sets of five use both, so
+  that they meet smaller and larger ones.
 * Stars. Each member of a list is compared with the list's first member: the
   union sketch estimates the similarity, the full sets confirm it. Confirmed
   links give components.
@@ -37,7 +38,7 @@ from pyspark.sql.window import Window
 
 from jobreview.llm.common import ascii_lower, words, written
 from jobreview.llm.components import components
-from jobreview.llm.sketch_pairs import RUN, RUN_SKETCH, SKETCH, SMALL_SET, compared
+from jobreview.llm.sketch_pairs import RUN, RUN_SET, RUN_SKETCH, SKETCH, SMALL_SET, compared
 
 BLOCK = 512
 
@@ -77,12 +78,18 @@ def _keys(classes: DataFrame) -> DataFrame:
     """(key, at, node, n): the lists each class is in; ``at`` is the value that
     the key begins with."""
     n = F.least(F.size("sketch"), F.lit(RUN_SKETCH))
-    steps = F.explode(F.sequence(F.lit(0), F.when(F.col("n") <= SMALL_SET, n - 1).otherwise(n - RUN))).alias("i")
-    rows = classes.select("node", "n", "sketch", steps)
+
+    def steps(width: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - width), lambda i: F.struct(F.lit(width).alias("width"), i.alias("i")))
+
+    # Sets of four and five can be alike without a common run, sets of five and
+    # more always have one with larger sets: sets of five are in both lists.
+    single = F.when(F.col("n") <= SMALL_SET, steps(1)).otherwise(F.array().cast("array<struct<width:int,i:int>>"))
+    both = F.when(F.col("n") >= RUN_SET, F.concat(single, steps(RUN))).otherwise(single)
+    rows = classes.select("node", "n", "sketch", F.explode(both).alias("step")).select("node", "n", "sketch", "step.*")
     at = F.get("sketch", F.col("i"))
     run = F.xxhash64(F.lit(RUN), *[F.get("sketch", F.col("i") + j) for j in range(RUN)])
-    # Sets of up to five can be 0.8 like sets of up to six only.
-    key = F.when(F.col("n") <= SMALL_SET, F.xxhash64(F.lit(1), at)).otherwise(run)
+    key = F.when(F.col("width") == 1, F.xxhash64(F.lit(1), at)).otherwise(run)
     return rows.select(key.alias("key"), at.alias("at"), "node", "n")
 
 

@@ -10,7 +10,8 @@ import pyarrow as pa
 SKETCH = 256
 RUN_SKETCH = 64
 RUN = 3
-SMALL_SET = 6
+SMALL_SET = 5  # the largest sets in lists of single values
+RUN_SET = 5  # the smallest sets in lists of runs
 END = np.int64(1) << np.int64(40)
 
 

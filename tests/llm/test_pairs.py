@@ -51,6 +51,28 @@ def test_groups_equal_brute_force(frame, n_words):
     assert [r["kept"] for r in rows] == [i == r for i, r in enumerate(root)]
 
 
+def test_small_sets_at_the_border(frame):
+    """Sets of 1 to 12, the fewest shared values for a link and one fewer, in
+    several orders of the hashes; texts of the next length by shingles."""
+    texts, draw = [], 0
+    for a in range(1, 13):
+        for b in range(a, 13):
+            least = next((s for s in range(1, a + 1) if 100 * s >= 80 * (a + b - s)), a)
+            for shared in {least, least - 1}:
+                for _ in range(5):
+                    draw += 1
+                    common = [f"c{draw}_{i}" for i in range(shared)]
+                    texts += [" ".join(common + [f"{x}{draw}_{i}" for i in range(n - shared)]) for x, n in (("a", a), ("b", b))]
+    root, _ = brute_groups(texts, 1)
+    rows = near_dups.mark_near_duplicates(frame(texts), n_words=1).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in rows] == root
+    for n_words in (2, 5):
+        texts = [" ".join(f"v{k}_{i}" for i in range(n + n_words - 1 + more)) for k, n in enumerate(range(1, 12)) for more in (0, 1)]
+        root, _ = brute_groups(texts, n_words)
+        rows = near_dups.mark_near_duplicates(frame(texts), n_words=n_words).orderBy("doc_id").collect()
+        assert [r["component_id"] for r in rows] == root
+
+
 def test_blocks_of_long_lists(frame, monkeypatch):
     monkeypatch.setattr(near_dups, "BLOCK", 3)
     rng = random.Random(9)
