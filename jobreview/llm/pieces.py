@@ -4,12 +4,11 @@ A text becomes words (white-space runs with what follows them); no piece of the
 model crosses a word start, so words are segmented one by one, each from an
 agenda of candidate merges: the best-scored, then leftmost candidate merges
 first. A candidate is the pair (start, middle, end) of one word. With dropout
-``p`` it is skipped for good if a keyed hash of (seed, word, variant, start,
-middle, end) falls below ``p``: the same seed gives the same pieces on any
-cluster, and no state is shared. ``variant`` is one of ``variants`` numbers that
-a keyed hash deals to each place of a word in a document. So a word has up to
-``variants`` segmentations within a seed, and equal ones are made once for a
-batch of texts.
+``p`` it is skipped for good if a keyed hash of (seed, word, document, place of
+the word, start, middle, end) falls below ``p``: each occurrence has draws of
+its own, the same seed gives the same pieces on any cluster, and no state is
+shared. Only without dropout are equal words segmented once. If ``variants`` is
+a number, each place is dealt one of so many draws of its word instead.
 
 Agendas of all words of a batch run in step, as arrays; one much longer word
 takes a heap of its own (``segment_word``, the definition).
@@ -311,7 +310,7 @@ def cut(text: str) -> list[str]:
 
 
 def encode_parts(
-    model: PieceModel, parts: list[tuple[str, int, int]], limit: int, seed: int, variants: int,
+    model: PieceModel, parts: list[tuple[str, int, int]], limit: int, seed: int, variants: int | None,
     cache: SegmentCache | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``parts``: (text with its leading space, document key, words before it).
@@ -336,7 +335,11 @@ def encode_parts(
     word_hash = np.add.reduceat(letters, heads) if len(heads) else np.zeros(0, np.uint64)
     if limit:
         dealt = mix_array(doc ^ mix_array(place.astype(np.uint64) + np.uint64(mix(seed & MASK))))
-        word_hash = mix_array(word_hash + (dealt % np.uint64(variants)) * np.uint64(_PLACE))
+        if variants:
+            dealt = (dealt % np.uint64(variants)) * np.uint64(_PLACE)
+        else:
+            cache = None  # no two occurrences have the same draws
+        word_hash = mix_array(word_hash + dealt)
     word_hash = mix_array(word_hash ^ np.uint64(mix(seed & MASK)))
     keys, first, inverse = np.unique(word_hash, return_index=True, return_inverse=True)
 
@@ -373,7 +376,7 @@ def encode_texts(
     doc_keys: list[int],
     dropout: float = 0.0,
     seed: int = 0,
-    variants: int = 16,
+    variants: int | None = None,
     cache: SegmentCache | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """All ids, and their number by text; a null or empty text has none."""

@@ -42,7 +42,7 @@ def encode_table(
     keep: Sequence[str] = ("doc_id",),
     dropout: float = 0.1,
     seed: int = 0,
-    variants: int = 16,
+    variants: int | None = None,
     model_path: str = MODEL_PATH,
 ) -> DataFrame:
     """The columns ``keep``, then ``piece_ids``, their number, the text's bytes,

@@ -46,6 +46,14 @@ def test_seed_and_document_vary_the_pieces(model):
     assert len(made) > 5
 
 
+def test_each_occurrence_is_drawn_on_its_own(model):
+    """A word of one candidate is split where that is skipped: one time in ten."""
+    for seed in range(4):
+        for docs, words in ((1, 8000), (8000, 1)):
+            ids, _ = P.encode_texts(model, [" ".join(["a"] * words)] * docs, list(range(docs)), 0.1, seed, cache=P.SegmentCache())
+            assert 0.085 < len(ids) / 8000 - 1 < 0.115
+
+
 def test_long_texts_are_cut_at_words(model, monkeypatch):
     text = "one  two three " * 40
     whole, _ = P.encode_texts(model, [text], [1])
