@@ -11,12 +11,17 @@ validity; equal values get equal pseudonyms in all documents; and who has the
 key can invert it. A card gets a new check digit. A date stays a date between
 ``FIRST_DAY`` and ``LAST_DAY``, in the form that it had.
 
-Texts are cut at the values by one pattern and put together again; a value that
-fails its validation stays as it is.
+Texts are cut wherever a value may start. At each start, from the left, the
+kinds are tried in turn, for cards the usual groupings before any other and
+longer ones before shorter ones; the first that passes its validation is the
+value, and starts within it do not count. A start without one stays as it is
+and hides nothing after it.
 
 Defined results: null texts stay null with counts of zero; empty texts stay;
 rows are treated one by one; values that overlap are read from the left, the
-first kind listed first; other columns are carried along, and new ones get an
+first kind that holds first; numbers side by side may
+join into a card by chance, in a pseudonym too, which ``inverse`` then reads as
+that card; other columns are carried along, and new ones get an
 underscore where a name is taken; an empty table gives an empty result. Values
 that touch letters, digits or underscores are not values.
 """
@@ -40,16 +45,27 @@ PATTERNS = {
     "ip": rf"(?<!\d\.)(?:{BYTE}\.){{3}}{BYTE}(?!\.?\d)",
     "date": r"(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"
     r"|(?<!\d\.)(?:0?[1-9]|[12]\d|3[01])([/.])(?:0?[1-9]|1[0-2])\1(?:19|20)\d\d)",
-    "card": r"\d(?:[ -]?\d){12,18}",
     "phone": r"(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}",
+    "card": r"\d(?:[ -]?\d){12,18}",
 }
-KINDS = tuple(PATTERNS)
+KINDS = ("email", "ip", "date", "card", "phone")
+# Tried in this order: a solid run, 4-4-4-4 and 4-6-5, then any grouping.
+CARDS = (
+    r"\d{13,19}",
+    r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}",
+    r"\d{4}([ -])\d{6}\1\d{5}",
+    *[rf"\d(?:[ -]?\d){{{n - 1}}}" for n in range(19, 12, -1)],
+)
+BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+# No value but an e-mail address is longer, what it looks ahead at included.
+CONTEXT = 48
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
-def value_pattern() -> str:
-    """Any value, neither after nor before a letter, digit or underscore."""
-    return r"(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + r")(?![\p{L}\p{N}_])"
+def start_pattern() -> str:
+    """The empty place before any value, which is neither after nor before a
+    letter, digit or underscore."""
+    return BEFORE + "(?=(?:" + "|".join(PATTERNS.values()) + ")" + AFTER + ")"
 
 
 def _hash(key: str, kind: Column, step: Column, at: Column, rest: Column) -> Column:
@@ -191,17 +207,59 @@ def _phone(text: Column, key: str, inverse: bool) -> Column:
     return F.concat(prefix, F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b.cast("string"), F.lit("")))), ""))
 
 
-def kind_of(value: Column) -> Column:
-    """The kind whose format a value has and whose validation it passes, or null."""
-    whole = {kind: f"^(?:{pattern})$" for kind, pattern in PATTERNS.items()}
-    return (
-        F.when(value.contains("@"), F.lit("email"))
-        .when(value.rlike(whole["ip"]), F.lit("ip"))
-        .when(value.rlike(whole["date"]), F.when(_date_of(value).isNotNull(), F.lit("date")))
-        .when(value.rlike(whole["phone"]), F.lit("phone"))
-        .when(value.rlike(whole["card"]), F.when(luhn_holds(value), F.lit("card")))
+def value_at(context: Column) -> Column:
+    """(kind, value) of the first value that ``context`` begins with and that
+    passes its validation, or null."""
+    forms = [(kind, form) for kind in PATTERNS for form in (CARDS if kind == "card" else (PATTERNS[kind],))]
+    tried = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), F.regexp_extract(context, f"^(?:{form}){AFTER}", 0).alias("value"))
+            for kind, form in forms
+        ]
     )
 
+    def holds(found: Column) -> Column:
+        value, kind = found["value"], found["kind"]
+        valid = F.when(kind == "date", _date_of(value).isNotNull()).when(kind == "card", luhn_holds(value))
+        return F.when(value == "", False).otherwise(valid.otherwise(True))
+
+    return F.get(F.filter(tried, holds), F.lit(0))
+
+
+def segments(text: Column) -> Column:
+    """The text as (kind, value, after): a value, or none, and the text up to
+    the next one; empty if nothing is found."""
+    start = start_pattern()
+    # Group 1 is the separator of dates.
+    ahead = rf"(?=({PATTERNS['email']}{AFTER}|(?s:.{{1,{CONTEXT}}})))"
+    found = F.transform(F.regexp_extract_all(text, F.lit(start + ahead), F.lit(2)), value_at)
+    pieces = F.split(text, start, -1)
+    nothing = F.lit(None).cast("struct<kind:string,value:string>")
+    # A text that begins with a value has no piece before it.
+    found_at = F.when(F.size(pieces) > F.size(found), F.concat(F.array(nothing), found)).otherwise(found)
+    steps = F.zip_with(pieces, found_at, lambda p, v: F.struct(p.alias("piece"), v["kind"].alias("kind"), v["value"].alias("value")))
+    kind = "array<struct<kind:string,value:string,after:string>>"
+
+    def step(state: Column, s: Column) -> Column:
+        """``covered``: characters of the pieces to come that a value has taken."""
+        covered, n = state["covered"], F.length(s["piece"])
+        taken = F.when(covered > 0, 0).otherwise(F.coalesce(F.length(s["value"]), F.lit(0)))
+        inside = covered > 0
+        after = F.substring(s["piece"], F.greatest(covered, taken) + 1, n)
+        none = F.lit(None).cast("string")
+        one = F.struct(
+            F.when(inside, none).otherwise(s["kind"]).alias("kind"),
+            F.when(inside, none).otherwise(s["value"]).alias("value"),
+            after.alias("after"),
+        )
+        out = F.when(covered >= n, state["out"]).otherwise(F.concat(state["out"], F.array(one)))
+        left = F.greatest(F.greatest(covered, taken) - n, F.lit(0))
+        return F.struct(left.alias("covered"), out.alias("out"))
+
+    first = F.struct(F.lit(0).alias("covered"), F.array().cast(kind).alias("out"))
+    whole = F.aggregate(steps, first, step, lambda state: state["out"])
+    return F.when(F.exists(found, lambda v: v.isNotNull()), whole).otherwise(F.array().cast(kind))
+
 
 def pseudonym(value: Column, kind: Column, key: str = KEY, inverse: bool = False) -> Column:
     """The pseudonym of a value of a kind; the value itself for no kind. With
@@ -224,17 +282,14 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, invers
     """``docs`` with pseudonyms in its text, and the counts ``n_<kind>``."""
     text = F.col(f"`{text_col}`")
     found, counts = fresh(docs, "pii_values"), {kind: fresh(docs, f"n_{kind}") for kind in KINDS}
-    pattern = value_pattern()
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    marked = F.transform(values, lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
     # Only texts with a digit or an @ can hold a value; the others skip the pattern.
     may = text.rlike("[0-9@]")
-    rows = docs.withColumn(found, F.when(may, marked).otherwise(F.array().cast("array<struct<value:string,kind:string>>")))
-    made = F.transform(F.col(found), lambda v: pseudonym(v["value"], v["kind"], key, inverse))
-    between = F.split(text, pattern, -1)
-    joined = F.array_join(F.zip_with(between, made, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    hits = F.exists(F.col(found), lambda v: v["kind"].isNotNull())
-    new = F.when(F.coalesce(hits, F.lit(False)), joined).otherwise(text)
+    nothing = F.array().cast("array<struct<kind:string,value:string,after:string>>")
+    rows = docs.withColumn(found, F.when(may, segments(text)).otherwise(nothing))
+    made = F.transform(
+        F.col(found), lambda v: F.concat(F.coalesce(pseudonym(v["value"], v["kind"], key, inverse), F.lit("")), v["after"])
+    )
+    new = F.when(F.coalesce(F.size(found) > 0, F.lit(False)), F.array_join(made, "")).otherwise(text)
     count = {
         name: F.coalesce(F.size(F.filter(F.col(found), _of(kind))), F.lit(0)).cast("long")
         for kind, name in counts.items()

@@ -120,6 +120,27 @@ def test_pseudonyms(spark, frame):
     assert pii.pseudonymise(docs.limit(0)).count() == 0
 
 
+def test_adjacent_numbers(frame):
+    card, mail = "4111 1111 1111 1111", "42@mail8.example.com"
+    texts = {
+        f"{card} 12/27": [card],
+        "4111111111111111 123": ["4111111111111111"],
+        f"item 5 {card}": [card],
+        f"1234 {card}": [card],
+        "555-234-4567 555-987-6543": ["555-234-4567", "555-987-6543"],
+        "3782 822463 10005 12/27": ["3782 822463 10005"],
+        "404189-4974608795 12": ["404189-4974608795"],
+        f"4111111111111111 12.5.1999 {card} 10.0.0.1": ["4111111111111111", "12.5.1999", card, "10.0.0.1"],
+        f"4111111111111112 {mail} é": [mail],
+        "4111111111111112 4111 1111 1111 1112": [],
+    }
+    rows = pii.pseudonymise(frame(list(texts))).orderBy("doc_id").collect()
+    for (text, values), row in zip(texts.items(), rows, strict=True):
+        assert sum(row[name] for name in VALUES) == len(values), text
+        assert all(value not in row["text"] for value in values), text
+        assert values or row["text"] == text
+
+
 def test_permutation_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
