@@ -1,7 +1,7 @@
 """Rule ladder: thresholds, case, gaps, order."""
 
 import pytest
-from conftest import plan_of
+from plan_text import plan_of
 
 from jobreview.operators.advisor import NEUTRAL_RESULT, RESULTS, normalize_kpis, recommend
 from jobreview.sources.schemas import KPI

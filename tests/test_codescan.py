@@ -2,7 +2,7 @@
 
 import random
 
-from conftest import plan_of
+from plan_text import plan_of
 from pyspark.sql import functions as F
 
 from jobreview.operators.codescan import (

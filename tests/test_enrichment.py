@@ -5,7 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import plan_of
+from plan_text import plan_of
 from pyspark.errors import PySparkException
 
 from jobreview.functions.hashing import with_row_hash

@@ -4,7 +4,7 @@ import json
 from datetime import datetime
 
 import pytest
-from conftest import plan_of
+from plan_text import plan_of
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
