@@ -63,10 +63,10 @@ def test_line_dedup_equals_brute_force(frame):
         kept = []
         for x in text.split("\n") if text is not None else []:
             # All earlier lines count, also those that go themselves.
-            if len(x) < L.MIN_CHARS or all(edits(x, y) > 1 for y in seen):
+            near = [y for y in seen if min(len(x), len(y)) >= L.NEAR_MIN_CHARS]
+            if x == "" or (x not in seen and all(edits(x, y) > 1 for y in near)):
                 kept.append(x)
-            if len(x) >= L.MIN_CHARS:
-                seen.append(x)
+            seen.append(x)
         expected.append(None if text is None else "\n".join(kept))
     assert [row["text"] for row in out.orderBy("doc_id").collect()] == expected
     assert L.dedup_lines(docs.limit(0)).count() == 0
@@ -78,6 +78,40 @@ def test_equal_ids_and_nulls(frame):
     assert sorted((r["text"], r["lines_removed_"]) for r in rows) == [("", 1), (line, 0), ("x", 1)]
 
 
+def test_null_and_repeated_ids_lose_only_their_own_lines(spark):
+    rows = [(None, "a\nsame\nonly here"), (None, "same\nclean\nfine"), (7, "x\ny"), (7, "b\nx\nclean"), (7, "b\nx\nclean")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, gone_doc int, gone int")
+    out = L.dedup_lines(docs)
+    assert out.columns == ["doc_id", "text", "gone_doc", "gone", "lines_removed", "lines_left"]
+    got = sorted((r["doc_id"] or 0, r["text"], r["lines_removed"]) for r in out.collect())
+    expected = []  # the earliest place is the least by id (null first), text hash and line number
+    order = {t: h for t, h in docs.selectExpr("text", "xxhash64(text)").distinct().collect()}
+    seen = set()
+    for i, text in sorted(set(rows), key=lambda r: (r[0] or 0, order[r[1]])):
+        kept = [x for x in text.split("\n") if x not in seen]
+        seen |= set(text.split("\n"))
+        expected += [(i or 0, "\n".join(kept), text.count("\n") + 1 - len(kept))] * rows.count((i, text))
+    assert got == sorted(expected)
+
+
+def test_short_lines_and_one_very_long_line(frame):
+    long = "".join(chr(97 + i * i % 23) for i in range(1_000_000))
+    texts = ["Subscribe now\n\nx", "x\nSubscribe now\n\nSubscribe no", long, long[:400_000] + "#" + long[400_000:], long[:-1] + "##"]
+    rows = L.dedup_lines(frame(texts)).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows[:2]] == [texts[0], "\nSubscribe no"]
+    assert rows[2]["text"] == long and rows[3]["text"] == "" and rows[4]["text"] == texts[4]
+
+
+def test_work_follows_distinct_lines_not_places(frame):
+    lines = [f"license line number {i} of this very common notice, all rights reserved" for i in range(40)]
+    made = []
+    for copies in (2, 40):
+        docs = frame(["\n".join(lines)] * copies, list(range(copies)))
+        slim = docs.select(docs.doc_id.alias("doc"), "text")
+        made.append(L._variants(L.shared_ranges(L.distinct_lines(slim))).count())
+    assert 0 < made[0] == made[1]
+
+
 VALUES = {
     "n_email": "Bob.42@mail8.example.com",
     "n_ip": "42.144.35.254",
