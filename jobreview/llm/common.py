@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +76,30 @@ def may_hold(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     found = rows.join(F.broadcast(bits), F.shiftright(_slot(F.col(key)), 6) == bits["word"])
     bit = F.expr(f"shiftright(bits, cast(pmod({key}, {FILTER_BITS}) % 64 as int)) & 1L")
     return found.filter(bit == 1).drop("word", "bits")
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int = 500):
+    """Arrow batches of few rows for the jobs run inside: texts are long, and a
+    Python worker holds one batch at a time. The session's setting comes back."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+# ASCII capitals to small letters, as a table over bytes.
+LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def pieces_of(data: bytes, cut: bytes, size: int = 1 << 22):
+    """``data`` in pieces of about ``size`` bytes, each ended before a ``cut``."""
+    start = 0
+    while start < len(data):
+        end = data.find(cut, start + size) if len(data) - start > size else -1
+        end = len(data) if end < 0 else end
+        yield data[start:end]
+        start = end

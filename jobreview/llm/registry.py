@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobreview.llm import decontaminate, line_dedup, near_dups, topk, warc
+from jobreview.llm import collocations, decontaminate, lexical, line_dedup, main_text, near_dups, topk, warc
 from jobreview.llm.common import table
 from jobreview.session import scratch_dir
 
@@ -75,6 +75,19 @@ def q_repeats(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def q_main_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return main_text.extract_main_text(pages, main_text.fit_labeller(pages), keep=["page_id", "url"])
+
+
+def q_lexical(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def q_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_suffix_array_dedup": q_repeats,
     "op10_pii_pseudonyms": q_pii,
@@ -86,6 +99,9 @@ QUERIES = {
     "op7_toxicity": q_toxicity,
     "op2_sentencepiece": q_pieces,
     "op9_secret_scan": q_secrets,
+    "op11_main_text": q_main_text,
+    "op12_lexical_search": q_lexical,
+    "op13_collocations": q_collocations,
 }
 
 SQL = {
@@ -94,6 +110,9 @@ SQL = {
     "op8_minhash_near_dedup": near_dups.ORACLE,
     "op1_kdtree_top_k": topk.ORACLE,
     "op4_warc": warc.ORACLE,
+    "op11_main_text": main_text.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
 
 

@@ -20,4 +20,4 @@ def test_query_matches_sql(spark, sf_dir, con, name):
 
 def test_each_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
