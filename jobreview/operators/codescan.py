@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobreview.operators.keyfilter import reduced
+from jobreview.session import staged
+
 # The calls looked for and the advice on each.
 RULES = {
     "df.toPandas()": (
@@ -45,14 +48,19 @@ def code_hits(files: DataFrame, rules: Mapping[str, str] = RULES, text: str = "t
     pattern are filtered first, the others are split once, and only hits leave
     the line array.
     """
-    source = F.col(text)
     literal_rules = F.array(
         *[
             F.struct(F.lit(pattern).alias("pattern"), F.lit(advice).alias("advice"))
             for pattern, advice in rules.items()
         ]
     )
-    candidates = files.filter(reduce(or_, [source.contains(pattern) for pattern in rules]))
+    candidates = files.filter(reduce(or_, [F.col(text).contains(pattern) for pattern in rules]))
+    kept = [name for name in files.columns if name != text]
+    return candidates.select(*kept, F.inline(_file_hits(F.col(text), literal_rules)))
+
+
+def _file_hits(source: Column, rules: Column) -> Column:
+    """The hits of an array of rules in one text."""
 
     def rule_hits(lines: Column, rule: Column) -> Column:
         matching = F.array_compact(
@@ -71,15 +79,63 @@ def code_hits(files: DataFrame, rules: Mapping[str, str] = RULES, text: str = "t
         )
 
     def file_hits(lines: Column) -> Column:
-        present = F.filter(literal_rules, lambda rule: F.contains(source, rule["pattern"]))
+        present = F.filter(rules, lambda rule: F.contains(source, rule["pattern"]))
         return F.flatten(F.transform(present, lambda rule: rule_hits(lines, rule)))
 
     # A one-element array gives the split lines a name inside the expression;
     # otherwise each use would split the text again.
     split_once = F.array(F.split(source, "\n"))
-    hits = F.flatten(F.transform(split_once, file_hits))
+    return F.flatten(F.transform(split_once, file_hits))
+
+
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The different substrings of ``size`` characters of a text."""
+    last = F.length(text) - size + 1
+    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda start: F.substring(text, start, F.lit(size))))
+
+
+def code_hits_by_table(
+    files: DataFrame,
+    rules: DataFrame,
+    text: str = "text",
+    file_key: Sequence[str] = ("pr_id", "commit_id", "filename"),
+) -> DataFrame:
+    """``code_hits`` for a table of many rules: ``pattern, advice``.
+
+    An index of n-grams finds the files in which a pattern may stand: of each
+    pattern the n-gram (three characters, or the whole of a shorter pattern) that
+    the fewest files hold is joined to the n-grams of the files. Only those files
+    are searched, each for its own candidates. Rules without a pattern match
+    nothing. ``file_key`` tells files apart.
+    """
+    key = list(file_key)
+    rules = staged(rules.select("pattern", "advice").filter(F.col("pattern") != "").distinct(), "rules")
+    size = F.least(F.length("pattern"), F.lit(GRAM))
+    by_size = F.when(size == 1, _grams(F.col("pattern"), 1)).when(size == 2, _grams(F.col("pattern"), 2))
+    of_rule = rules.select("pattern", "advice", F.explode(by_size.otherwise(_grams(F.col("pattern"), GRAM))).alias("gram"))
+    of_rule = staged(of_rule, "rule-grams")
+    known = staged(of_rule.select("gram").distinct(), "grams")
+    sizes = [row["n"] for row in known.select(F.length("gram").alias("n")).distinct().collect()]
+    if not sizes:
+        sizes = [GRAM]
+    grams = F.flatten(F.array(*[_grams(F.col(text), n) for n in sorted(sizes)]))
+    of_file = files.select(*key, F.explode(grams).alias("gram"))
+    counts = reduced(of_file.select("gram"), known, ["gram"]).groupBy("gram").count()
+    counted = of_rule.join(counts, "gram", "left").fillna(0, ["count"])
+    rarest = counted.groupBy("pattern", "advice").agg(F.min(F.struct("count", "gram")).alias("least"))
+    # A gram that no file holds rules its patterns out.
+    rarest = rarest.filter(F.col("least.count") > 0).select("pattern", "advice", F.col("least.gram").alias("gram"))
+    rarest = staged(rarest, "rarest-grams")
+    candidates = reduced(of_file, rarest.select("gram").distinct(), ["gram"]).join(rarest, "gram")
+    rule = F.struct("pattern", "advice")
+    candidates = candidates.groupBy(*key).agg(F.array_sort(F.collect_set(rule)).alias("_rules"))
+    found = files.join(candidates, key)
     kept = [name for name in files.columns if name != text]
-    return candidates.select(*kept, F.inline(hits))
+    return found.select(*kept, F.inline(_file_hits(F.col(text), F.col("_rules"))))
 
 
 def review_comments(hits: DataFrame) -> DataFrame:

@@ -63,6 +63,7 @@ def enrich_with_profile(
     broadcast: bool = False,
     max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
     salt_buckets: int = 1,
+    hot_keys: DataFrame | None = None,
     on_duplicate: str = "keep",
 ) -> DataFrame:
     """Twelve enriched columns; an event without a current profile keeps NULLs.
@@ -71,7 +72,8 @@ def enrich_with_profile(
     hot customers. ``broadcast`` asks for a broadcast join, granted only if the
     measured size of the side is within ``max_broadcast_bytes``. A stream has
     no AQE skew handling: there, ``salt_buckets`` spreads each customer over
-    that many tasks at the price of as many copies of each profile.
+    that many tasks at the price of as many copies of each profile. With
+    ``hot_keys``, a small table of customers, only those are spread and copied.
     """
     profiles = unique_profiles(current_profiles(dim).select(KEY, *PROFILE_COLUMNS), on_duplicate)
     renamed = profiles.select(
@@ -83,8 +85,17 @@ def enrich_with_profile(
     same_key = F.col(KEY) == F.col("_profile_key")
     left = events
     if salt_buckets > 1:
-        left = events.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salt_buckets)))
+        salt = F.pmod(F.xxhash64("event_id"), F.lit(salt_buckets))
         copies = F.sequence(F.lit(0), F.lit(salt_buckets - 1)).cast("array<bigint>")
+        left = events
+        if hot_keys is not None:
+            hot = F.broadcast(hot_keys.select(F.col(KEY).alias("_hot")).distinct())
+            left = left.join(hot, F.col(KEY) == F.col("_hot"), "left")
+            renamed = renamed.join(hot, F.col("_profile_key") == F.col("_hot"), "left")
+            once = F.array(F.lit(0).cast("bigint"))
+            salt = F.when(F.col("_hot").isNotNull(), salt).otherwise(F.lit(0))
+            copies = F.when(F.col("_hot").isNotNull(), copies).otherwise(once)
+        left = left.withColumn("_salt", salt)
         renamed = renamed.select("*", F.explode(copies).alias("_profile_salt"))
         same_key = same_key & (F.col("_salt") == F.col("_profile_salt"))
     joined = left.join(renamed, same_key, "left")

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from jobreview.functions.templates import fill, shown
 from jobreview.functions.text import bullets_if_lists
 from jobreview.operators.insights import shown_instances
+from jobreview.operators.sizing import broadcast_if_small
 from jobreview.operators.summary import MARKDOWN_LINK, WIKI_LINK, summary_fields
+from jobreview.session import staged
+from jobreview.sources.schemas import PULL_REQUEST
 
 
 @dataclass(frozen=True)
@@ -60,8 +63,9 @@ NOTIFICATION = (
 )
 
 PREAMBLE_POS = -1
-RUNS_PER_CHUNK = 10_000
 PART_CHARS = 16_000_000
+# Positions that one task sorts to add up their sizes; no part depends on it.
+POSITIONS_PER_STEP = 10_000
 
 
 def markdown_table(fields: list[tuple[str, Column]]) -> Column:
@@ -134,42 +138,76 @@ def with_wiki_cards(runs: DataFrame, *, strict: bool = False, any_html: bool = T
     return shown_cards.withColumn("_actions", actions)
 
 
-def assemble_reports(
-    blocks: DataFrame,
-    *,
-    part_chars: int = PART_CHARS,
-    runs_per_chunk: int = RUNS_PER_CHUNK,
-) -> DataFrame:
-    """``pr_id, from_pos, report`` from ``pr_id, pos, block``.
-
-    A report is one row unless it outgrows ``part_chars`` or a multiple of
-    ``runs_per_chunk`` positions; then it continues in further rows, whose
-    texts in ``from_pos`` order are the report. A position occurs once per pull
-    request, as one description row gives it. No task ever holds more of one
-    pull request than a chunk, and the text is shuffled once: parts are
-    subgroups of the chunks the window is partitioned by.
+def _stored(blocks: DataFrame) -> DataFrame:
+    """The blocks as a table: their texts are made once, their sizes read apart."""
+    return staged(blocks.select("pr_id", "pos", "block", F.length("block").alias("chars")), "report-blocks")
+
+
+def _part_starts(sizes: DataFrame, part_chars: int, positions_per_step: int) -> DataFrame:
+    """``pr_id, starts``: where each part but the first begins, for the reports
+    that have several. ``sizes``: pr_id, pos, chars.
+
+    The characters before a block are a sum over its whole report, taken in two
+    levels: within steps of so many positions, and over the steps' totals. The
+    steps bound what one task sorts, and change nothing else.
     """
-    chunk = F.floor(F.greatest(F.col("pos"), F.lit(0)) / runs_per_chunk)
-    chunked = blocks.select("pr_id", "pos", "block", chunk.alias("_chunk"))
-    before = (
-        Window.partitionBy("pr_id", "_chunk")
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    large = sizes.groupBy("pr_id").agg(F.sum("chars").alias("total")).filter(F.col("total") > part_chars)
+    step = F.floor(F.greatest(F.col("pos"), F.lit(0)) / positions_per_step)
+    stepped = sizes.join(large.select("pr_id"), "pr_id", "left_semi").withColumn("_step", step)
+    totals = stepped.groupBy("pr_id", "_step").agg(F.sum("chars").alias("_total"))
+    along = Window.rowsBetween(Window.unboundedPreceding, -1)
+    above = F.sum("_total").over(along.partitionBy("pr_id").orderBy("_step"))
+    offsets = totals.select("pr_id", "_step", F.coalesce(above, F.lit(0)).alias("_above"))
+    inside = F.sum("chars").over(along.partitionBy("pr_id", "_step").orderBy("pos"))
+    placed = stepped.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(offsets, ["pr_id", "_step"])
+    part = F.floor((F.col("_above") + F.col("_inside")) / part_chars)
+    starts = placed.groupBy("pr_id", part.alias("_part")).agg(F.min("pos").alias("start"))
+    later = starts.filter(F.col("_part") > 0)
+    return later.groupBy("pr_id").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+
+
+def _assembled(stored: DataFrame, part_chars: int, positions_per_step: int) -> DataFrame:
+    sizes = stored.select("pr_id", "pos", "chars")
+    starts = staged(_part_starts(sizes, part_chars, positions_per_step), "report-parts")
+    placed = stored.join(broadcast_if_small(starts), "pr_id", "left")
+    before = F.filter("starts", lambda start: start <= F.col("pos"))
+    parts = placed.select(
+        "pr_id",
+        "pos",
+        "block",
+        F.when(F.col("starts").isNull(), 0).otherwise(F.size(before)).alias("part"),
+        F.when(F.col("starts").isNull(), 1).otherwise(F.size("starts") + 1).alias("n_parts"),
     )
-    written = F.coalesce(F.sum(F.length("block")).over(before), F.lit(0))
-    paged = chunked.withColumn("_part", F.floor(written / part_chars))
     texts = F.array_sort(F.collect_list(F.struct("pos", "block")))
     return (
-        paged.groupBy("pr_id", "_chunk", "_part")
+        parts.groupBy("pr_id", "part", "n_parts")
         .agg(F.min("pos").alias("from_pos"), texts.alias("_texts"))
         .select(
             "pr_id",
+            "part",
+            "n_parts",
             "from_pos",
             F.array_join(F.transform("_texts", lambda text: text["block"]), "").alias("report"),
         )
     )
 
 
+def assemble_reports(
+    blocks: DataFrame,
+    *,
+    part_chars: int = PART_CHARS,
+    positions_per_step: int = POSITIONS_PER_STEP,
+) -> DataFrame:
+    """``pr_id, part, n_parts, from_pos, report`` from ``pr_id, pos, block``.
+
+    A block belongs to the part that its report has reached before it, at
+    ``part_chars`` characters each; parts are numbered from 0 without gaps, and
+    their texts in that order are the report. No task holds more of one pull
+    request than a part. A position occurs once per pull request.
+    """
+    return _assembled(_stored(blocks), part_chars, positions_per_step)
+
+
 def markdown_reports(
     runs: DataFrame, brand: Brand = Brand(), *, strict: bool = False, **parts
 ) -> DataFrame:
@@ -192,22 +230,35 @@ def wiki_reports(
     *,
     strict: bool = False,
     any_html: bool = True,
-    **parts,
+    part_chars: int = PART_CHARS,
+    positions_per_step: int = POSITIONS_PER_STEP,
 ) -> DataFrame:
-    """Wiki report per given pull request: preamble, then the run blocks.
+    """Wiki report per pull request with a run: preamble, then the run blocks.
 
-    ``any_html=False`` keeps the job inside the JVM where all action lists are
-    flat and without entities.
+    The blocks are stored first, and name the pull requests that get a preamble:
+    the runs are looked up once. ``any_html=False`` leaves the HTML parser out,
+    where all action lists are flat.
     """
     carded = with_wiki_cards(runs, strict=strict, any_html=any_html)
-    blocks = carded.select("pr_id", "pos", wiki_block(brand).alias("block"))
-    return assemble_reports(wiki_preambles(pull_requests, brand).unionByName(blocks), **parts)
+    stored = _stored(carded.select("pr_id", "pos", wiki_block(brand).alias("block")))
+    reviewed = pull_requests.join(stored.select("pr_id").distinct().hint("merge"), "pr_id")
+    preambles = wiki_preambles(reviewed, brand).withColumn("chars", F.length("block"))
+    return _assembled(stored.unionByName(preambles), part_chars, positions_per_step)
+
+
+def parse_pull_requests(responses: DataFrame, body: str = "body") -> DataFrame:
+    """Landed pull requests with ``requested_reviewers`` read from their JSON body.
+    A body that is refused or malformed names no reviewer."""
+    others = [name for name in responses.columns if name != body]
+    return responses.select(*others, F.inline(F.array(F.from_json(body, PULL_REQUEST))))
 
 
 def reviewer_logins(pull_requests: DataFrame, reviewers: str = "requested_reviewers") -> DataFrame:
-    """``pr_id`` and the logins of the requested reviewers, in order."""
+    """The pull requests with ``logins``, those of the requested reviewers in
+    order, instead of the reviewers; none is an empty list."""
     logins = F.transform(reviewers, lambda reviewer: reviewer["login"])
-    return pull_requests.select("pr_id", F.coalesce(logins, F.array().cast("array<string>")).alias("logins"))
+    others = [name for name in pull_requests.columns if name != reviewers]
+    return pull_requests.select(*others, F.coalesce(logins, F.array().cast("array<string>")).alias("logins"))
 
 
 def mentions(logins: Column) -> Column:

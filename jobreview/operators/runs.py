@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobreview.functions.text import clean_description
+from jobreview.operators.keyfilter import reduced
 from jobreview.operators.summary import usable_annotation
-from jobreview.sources.responses import parse_analysis
+from jobreview.session import staged
+from jobreview.sources.responses import (
+    accepted,
+    parse_analysis,
+    parse_app_summary,
+    parse_task_summaries,
+    rejected,
+)
 
 # Fixed value: the form of a run URL. Its dots are unescaped, so each of them
 # stands for any character; ``(?d)`` ends lines at "\n" only.
@@ -125,13 +135,16 @@ def resolve_runs(
     return with_annotation(with_analysis(runs, analyses), app_summaries)
 
 
-def latest_responses(responses: DataFrame, key: list[str], landed_at: str, body: str = "body") -> DataFrame:
+def latest_responses(
+    responses: DataFrame, key: list[str], landed_at: str | None, body: str = "body"
+) -> DataFrame:
     """One response per key where landed tables are appended to: the last by
-    ``landed_at``, then by body. A maximum, combined before the shuffle. Without
-    such a column call it on the body alone (``landed_at=body``), which keeps one
-    of several, always the same."""
+    ``landed_at``, then by body; without a landing time the greatest body, always
+    the same. A maximum, combined before the shuffle."""
+    if landed_at is None or landed_at == body:
+        return responses.groupBy(*key).agg(F.max(body).alias(body))
     last = F.max(F.struct(landed_at, body)).alias("_last")
-    return responses.groupBy(*key).agg(last).select(*key, f"_last.{landed_at}", *([f"_last.{body}"] if body != landed_at else []))
+    return responses.groupBy(*key).agg(last).select(*key, f"_last.{landed_at}", f"_last.{body}")
 
 
 def run_rejects(
@@ -152,3 +165,62 @@ def run_rejects(
     )
     lost = runs.withColumn("reason", reason).filter(F.col("reason").isNotNull())
     return lost.select("pr_id", "pos", "run_key", "reason")
+
+
+@dataclass(frozen=True)
+class LandedRuns:
+    """Runs resolved from landed bodies, and what did not get there."""
+
+    runs: DataFrame
+    rejects: DataFrame
+    refused: DataFrame
+
+
+def named_responses(
+    responses: DataFrame, keys: DataFrame, columns: list[str], landed_at: str | None = None
+) -> DataFrame:
+    """The response to go by for each of ``keys``: of the accepted ones the last
+    landed, or without a landing time the greatest body. Bodies of other keys are
+    left out by a key filter before any body is looked into; the few that pass it
+    find no run to join."""
+    kept = accepted(reduced(responses, keys, columns))
+    return latest_responses(kept, columns, landed_at).select(*columns, "body")
+
+
+def resolve_landed(
+    refs: DataFrame,
+    summaries: DataFrame,
+    analyses: DataFrame,
+    app_summaries: DataFrame,
+    *,
+    landed_at: str | None = None,
+) -> LandedRuns:
+    """``resolve_runs`` over tables of landed bodies that are appended to: key,
+    ``body`` and perhaps a landing time. Error payloads are no answers; they are
+    ``refused``, and an earlier answer stands.
+
+    The references are stored, and so are the applications they lead to, because
+    both also say which bodies are worth reading.
+    """
+    runs = staged(with_run_key(refs), "run-refs")
+    run_keys = staged(runs.select("run_key").distinct(), "run-keys")
+    tasks = parse_task_summaries(named_responses(summaries, run_keys, ["run_key"], landed_at))
+    tasks = staged(first_tasks(tasks), "run-tasks")
+    apps = staged(tasks.select(*APP_KEY).distinct(), "run-apps")
+    bodies = named_responses(analyses, apps, APP_KEY, landed_at)
+    known = parse_app_summary(named_responses(app_summaries, apps, APP_KEY, landed_at))
+    found = with_annotation(with_analysis(runs.join(_shuffled(tasks), "run_key"), bodies), known)
+    as_listed = tasks.select("run_key", F.array(F.struct(*APP_KEY)).alias("summaries"))
+    refused = [
+        rejected(table).select(F.lit(kind).alias("kind"), F.concat_ws("/", *columns).alias("response_key"), "body")
+        for kind, table, columns in (
+            ("task summary", summaries, ["run_key"]),
+            ("analysis", analyses, APP_KEY),
+            ("app summary", app_summaries, APP_KEY),
+        )
+    ]
+    return LandedRuns(
+        runs=found,
+        rejects=run_rejects(runs.drop("run_key"), as_listed, bodies, known),
+        refused=refused[0].unionByName(refused[1]).unionByName(refused[2]),
+    )

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobreview.functions.hashing import joined_hash, null_safe_hash
+from jobreview.session import staged
 
 # Fixed value: the end of a version that is still open.
 OPEN_END = "9999-12-31 23:59:59"
-# Step counts of the search below; their sum bounds the slices of one key.
-_SEARCH_STEPS = (512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
-_MAX_SPLITS = sum(_SEARCH_STEPS)
 
 
 def open_end() -> Column:
@@ -45,8 +42,7 @@ def close_versions(
     ts: str = "event_ts",
     tie_break: Sequence[str] = ("event_id",),
     null_safe: bool = False,
-    min_hot_rows: int = 1_000_000,
-    max_group_share: float = 1e-4,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Slowly changing versions: one row per change of the tracked columns.
 
@@ -55,35 +51,26 @@ def close_versions(
     instant the last by ``tie_break`` counts. Output: key, tracked columns,
     ``row_hash``, ``row_eff_start_tms``, ``row_eff_end_tms``, ``is_current``.
 
-    A key with more rows than ``max_group_share`` of all (and than
-    ``min_hot_rows``) is cut into time slices, each its own window group; what
-    a slice needs to know of its neighbours comes from a small table with one
-    row per slice.
+    Without ``rows_per_slice`` each key is one window group: for tables without
+    hot keys. With it the rows are dealt by ranges of (key, time), of about so
+    many rows each, whatever key they belong to; what a range must know of its
+    neighbours comes from a table with two rows per range at most. Both give the
+    same rows.
     """
+    at_instants = instants(events, tracked, key=key, ts=ts, tie_break=tie_break)
     row_hash = (null_safe_hash if null_safe else joined_hash)([key, *tracked])
-    order = F.struct(*tie_break) if tie_break else F.lit(0)
-    instants = (
-        events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
-        .select(key, ts, *[c for c in dict.fromkeys([*tracked, *tie_break]) if c not in (key, ts)])
-        .groupBy(key, ts)
-        .agg(F.max_by(F.struct(*tracked), order).alias("_row"))
-        .select(key, ts, *[F.col(f"_row.`{name}`").alias(name) for name in tracked])
-        .withColumn("row_hash", row_hash)
-    )
-    splits = _time_splits(events, key, ts, min_hot_rows, max_group_share)
-    if splits is None:
-        sliced = instants.withColumn("_slice", F.lit(0))
-        versions = _changes(sliced, key, ts, F.lag("row_hash").over(_timeline(key, ts)))
-        next_start = F.lead(ts).over(_timeline(key, ts))
+    hashed = at_instants.select(key, ts, *tracked, row_hash.alias("row_hash"))
+    previous, next_start = F.lag("row_hash"), F.lead(ts)
+    if rows_per_slice is None:
+        rows = hashed.withColumn("_slice", F.lit(0))
+        versions = _changes(rows, previous.over(_timeline(key, ts)))
+        next_start = next_start.over(_timeline(key, ts))
     else:
-        sliced = _with_slice(instants, splits, key, ts)
-        edges = _slice_edges(sliced.join(F.broadcast(splits.select(key)), key, "left_semi"), key, ts)
-        # One row per slice of a hot key: at most a few times 1 / max_group_share.
-        known = sliced.join(F.broadcast(edges), [key, "_slice"], "left")
-        versions = _changes(
-            known, key, ts, F.coalesce(F.lag("row_hash").over(_timeline(key, ts)), "_prev_hash")
-        )
-        next_start = F.coalesce(F.lead(ts).over(_timeline(key, ts)), "_next_change")
+        rows = time_slices(hashed, key, ts, max(1, -(-events.count() // rows_per_slice)))
+        edges = _slice_edges(_at_edges(rows, key), key, ts)
+        known = rows.join(F.broadcast(edges), [key, "_slice"], "left")
+        versions = _changes(known, F.coalesce(previous.over(_timeline(key, ts)), "_prev_hash"))
+        next_start = F.coalesce(next_start.over(_timeline(key, ts)), "_next_change")
     ended = versions.withColumn("_next_start", next_start)
     return ended.select(
         key,
@@ -99,68 +86,46 @@ def _timeline(key: str, ts: str):
     return Window.partitionBy(key, "_slice").orderBy(ts)
 
 
-def _changes(rows: DataFrame, key: str, ts: str, previous: Column) -> DataFrame:
+def _changes(rows: DataFrame, previous: Column) -> DataFrame:
     """Rows whose hash differs from the one before (the first has none before)."""
     return rows.withColumn("_before", previous).filter(
         F.col("_before").isNull() | (F.col("_before") != F.col("row_hash"))
     )
 
 
-def _time_splits(
-    events: DataFrame, key: str, ts: str, min_hot_rows: int, max_group_share: float
-) -> DataFrame | None:
-    """Hot keys with the times that cut each into slices of like size.
-
-    The rows come to the driver once and go back as a literal table, so every
-    use sees the same cuts. There are fewer than 1 / max_group_share hot keys
-    and about as many cuts over all of them.
-    """
-    counts = events.groupBy(key).count().filter(F.col(key).isNotNull())
-    total = events.select(F.count(F.lit(1)).alias("n")).first()["n"]
-    target = max(min_hot_rows, math.ceil(total * max_group_share))
-    hot = counts.filter(F.col("count") > target)
-    hot_rows = hot.collect()
-    if not hot_rows:
-        return None
-    spark = events.sparkSession
-    hot = F.broadcast(spark.createDataFrame(hot_rows, hot.schema))
-    fractions = [step / (_MAX_SPLITS + 1) for step in range(1, _MAX_SPLITS + 1)]
-    # Of the fine cuts every so-many-th is kept, as the size of the key asks.
-    stride = F.greatest(
-        F.lit(1), F.floor(F.lit(float(_MAX_SPLITS)) * F.lit(target) / F.col("count"))
-    )
-    cuts = (
-        events.join(hot, key)
-        .groupBy(key, "count")
-        .agg(F.percentile_approx(ts, fractions, 10_000).alias("_fine"))
-        .select(
-            key,
-            F.array_sort(
-                F.array_distinct(F.filter("_fine", lambda cut, i: (i + 1) % stride == 0))
-            ).alias("_cuts"),
-        )
+def instants(
+    events: DataFrame, tracked: Sequence[str], *, key: str, ts: str, tie_break: Sequence[str]
+) -> DataFrame:
+    """One row per key and instant: the tracked columns and ``tie_break`` of the
+    last event there."""
+    rest = [c for c in dict.fromkeys([*tracked, *tie_break]) if c not in (key, ts)]
+    last = F.max_by(F.struct(*rest), F.struct(*tie_break) if tie_break else F.lit(0))
+    return (
+        events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+        .groupBy(key, ts)
+        .agg(last.alias("_row"))
+        .select(key, ts, *[F.col(f"_row.`{name}`").alias(name) for name in rest])
     )
-    return spark.createDataFrame(cuts.collect(), cuts.schema)
 
 
-def _with_slice(rows: DataFrame, splits: DataFrame, key: str, ts: str) -> DataFrame:
-    """Slice number: how many cuts lie at or before the row, by halving steps."""
-    found = F.aggregate(
-        F.array(*[F.lit(step) for step in _SEARCH_STEPS]),
-        F.lit(0),
-        lambda low, step: F.when(F.get("_cuts", low + step - 1) <= F.col(ts), low + step).otherwise(
-            low
-        ),
-    )
-    number = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(found)
-    return (
-        rows.join(F.broadcast(splits), key, "left").withColumn("_slice", number).drop("_cuts")
-    )
+def time_slices(rows: DataFrame, key: str, ts: str, n_slices: int) -> DataFrame:
+    """``rows`` with ``_slice``, the range of (key, time) that each lies in. The
+    ranges come from a sample; they are stored, so that every use sees the same."""
+    dealt = rows.repartitionByRange(n_slices, key, ts)
+    return staged(dealt.withColumn("_slice", F.spark_partition_id()), "version-slices")
+
+
+def _at_edges(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of the first and the last key of each range: no other key can lie in
+    two ranges. One row per range is broadcast."""
+    ends = rows.groupBy("_slice").agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    found = rows.join(F.broadcast(ends), "_slice")
+    return found.filter((F.col(key) == F.col("_low")) | (F.col(key) == F.col("_high")))
 
 
-def _slice_edges(hot_rows: DataFrame, key: str, ts: str) -> DataFrame:
-    """Per slice of a hot key: the hash before it and the next change after it."""
-    inside = hot_rows.withColumn("_before", F.lag("row_hash").over(_timeline(key, ts)))
+def _slice_edges(rows: DataFrame, key: str, ts: str) -> DataFrame:
+    """Per key and slice: the hash before it and the next change after it."""
+    inside = rows.withColumn("_before", F.lag("row_hash").over(_timeline(key, ts)))
     slices = inside.groupBy(key, "_slice").agg(
         F.min(ts).alias("_first_ts"),
         F.min_by("row_hash", ts).alias("_first_hash"),

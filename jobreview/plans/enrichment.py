@@ -79,27 +79,27 @@ def dedupe_step(events: DataFrame, options: EnrichmentOptions) -> DataFrame:
     return dedupe_events(events)
 
 
-def enrich(
-    events: DataFrame,
+def unique_events(events: DataFrame, options: EnrichmentOptions = EnrichmentOptions()) -> DataFrame:
+    """The events normalised, each once."""
+    return dedupe_step(normalize_events(events, strict=options.strict_casts), options)
+
+
+def profiled(
+    unique: DataFrame,
     profiles: DataFrame | None,
     options: EnrichmentOptions = EnrichmentOptions(),
     *,
     as_of: Column | None = None,
+    hot_keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Eighteen columns per event: normalised, profiled, hashed, audited.
-
-    Duplicates go before the join, which then sees fewer and narrower rows, and
-    whose key alone would gather a busy customer in one task. With one profile
-    per customer both orders keep the same events.
-    """
-    normalized = normalize_events(events, strict=options.strict_casts)
-    unique = dedupe_step(normalized, options)
+    """Unique events with their profile, hash and audit columns."""
     if options.enable_profile_join:
         enriched = enrich_with_profile(
             unique,
             profiles,
             broadcast=options.broadcast_profile,
             salt_buckets=options.salt_buckets,
+            hot_keys=hot_keys,
             on_duplicate=options.on_duplicate_profile,
         )
     else:
@@ -108,3 +108,17 @@ def enrich(
     return with_audit_columns(hashed, as_of)
 
 
+def enrich(
+    events: DataFrame,
+    profiles: DataFrame | None,
+    options: EnrichmentOptions = EnrichmentOptions(),
+    *,
+    as_of: Column | None = None,
+) -> DataFrame:
+    """Eighteen columns per event: normalised, profiled, hashed, audited.
+
+    Duplicates go before the join, which then sees fewer and narrower rows, and
+    whose key alone would gather a busy customer in one task. With one profile
+    per customer both orders keep the same events.
+    """
+    return profiled(unique_events(events, options), profiles, options, as_of=as_of)

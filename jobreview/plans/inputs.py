@@ -281,6 +281,15 @@ def line_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def relanded(answers: DataFrame, keys: list[str], older: str, key_of_none: str) -> DataFrame:
+    """An appended table: every body landed at 2, an older one at 1, and another
+    at 2 under a key that no run leads to."""
+    now = answers.select(*keys, "body", F.lit(2).alias("landed_at"))
+    before = answers.select(*keys, F.lit(older).alias("body"), F.lit(1).alias("landed_at"))
+    foreign = [F.concat(F.lit(key_of_none), name).alias(name) for name in keys]
+    return now.unionByName(before).unionByName(answers.select(*foreign, "body", F.lit(2).alias("landed_at")))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         (F.col("doc_id") % 50).alias("pr_id"),
@@ -291,17 +300,32 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed pull requests, one per customer, each with two or no reviewers."""
+    """Landed pull requests, one per customer, each with two or no reviewers, and
+    some bodies that name none because the request failed or was cut off."""
     requested = F.array(
         F.struct(F.col("c_name").alias("login")), F.struct(F.col("c_mktsegment").alias("login"))
     )
     key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
-        key.alias("pr_id"),
-        F.when(key % 4 != 0, requested).alias("requested_reviewers"),
-        F.concat(F.lit("c"), key.cast("string")).alias("commit_id"),
-        F.lit("dev").alias("base_branch"),
-        F.lit("main").alias("target_branch"),
-        F.concat(F.lit("https://git.example.com/pr/"), key.cast("string")).alias("pr_url"),
-        F.concat(F.lit("https://tickets.example.com/"), key.cast("string")).alias("ticket_url"),
+    none = F.lit(None).cast("array<struct<login:string>>")
+    body = F.to_json(
+        F.struct(
+            key.alias("number"),
+            F.when(key % 4 != 0, requested).otherwise(none).alias("requested_reviewers"),
+        )
+    )
+    body = (
+        F.when(key % 8 == 0, '{"message": "Not Found"}')
+        .when(key % 12 == 0, '{"requested_reviewers": [{"login"')
+        .otherwise(body)
+    )
+    return landed(
+        table(spark, sf_dir, "customer").select(
+            key.alias("pr_id"),
+            body.alias("body"),
+            F.concat(F.lit("c"), key.cast("string")).alias("commit_id"),
+            F.lit("dev").alias("base_branch"),
+            F.lit("main").alias("target_branch"),
+            F.concat(F.lit("https://git.example.com/pr/"), key.cast("string")).alias("pr_url"),
+            F.concat(F.lit("https://tickets.example.com/"), key.cast("string")).alias("ticket_url"),
+        )
     )

@@ -78,6 +78,12 @@ SELECT customer_id, {", ".join(q.TRACKED)}, row_hash, event_ts AS row_eff_start_
        next_start IS NULL AS is_current
 FROM ended"""
 
+LATEST = f"""
+SELECT * EXCLUDE (rank) FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer_id, event_type
+                               ORDER BY event_ts DESC, event_id DESC) AS rank
+  FROM ({EVENTS})) WHERE rank = 1"""
+
 KPIS = """
 SELECT o_orderkey AS query_id, lower(o_orderpriority) AS environment,
        o_orderkey * 7919 % 3000000 AS rows_read, o_orderkey * 104729 % 12000000 AS rows_written,
@@ -301,6 +307,14 @@ SELECT k AS pr_id, pos, o_orderstatus, {block} AS block FROM (
 REPORT_MARKDOWN = f"""
 SELECT pr_id, min(pos) AS from_pos, string_agg(block, '' ORDER BY pos) AS report
 FROM ({blocks(MARKDOWN_BLOCK, cards(reports.MARKDOWN_CARD, "actions"))}) GROUP BY pr_id"""
+REPORT_PAGED = f"""
+WITH b AS ({blocks(MARKDOWN_BLOCK, cards(reports.MARKDOWN_CARD, "actions"))}),
+s AS (SELECT *, coalesce(sum(length(block)) OVER (PARTITION BY pr_id ORDER BY pos
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {q.PAGE_CHARS} AS reached FROM b),
+d AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY pr_id ORDER BY reached) - 1 AS INTEGER) AS part FROM s)
+SELECT pr_id, part, CAST(max(max(part)) OVER (PARTITION BY pr_id) + 1 AS INTEGER) AS n_parts,
+       min(pos) AS from_pos, string_agg(block, '' ORDER BY pos) AS report
+FROM d GROUP BY pr_id, part"""
 PREAMBLE = filled(
     reports.WIKI_PREAMBLE,
     brand=BRAND_NAME,
@@ -334,6 +348,13 @@ SELECT page_id, array_to_string(list_transform(
          lambda i: '- ' || {ITEM_TEXT}), chr(10)) AS bullets
 FROM pages"""
 
+NESTED_BULLETS = f"""
+SELECT page_id, '- Page "' || page_id || '" & all' || array_to_string(items, '') || chr(10) ||
+       array_to_string(list_transform(items, lambda i: '- ' || i), chr(10)) || chr(10) || '- last éé&' AS bullets
+FROM (SELECT page_id, list_transform(
+        regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), '(?is)<li(?:\\s[^>]*)?>(.*?)</li\\s*>', 1),
+        lambda i: {ITEM_TEXT}) AS items FROM pages)"""
+
 NOTIFICATIONS = f"""
 SELECT c_custkey AS pr_id, {filled(
     reports.NOTIFICATION, brand=BRAND_NAME, pr_id="c_custkey", commit_id="'c' || c_custkey",
@@ -353,6 +374,15 @@ SELECT f.doc_id, f.doc_id % 50 AS pr_id, 'c' || (f.doc_id % 50) AS commit_id,
 FROM (SELECT doc_id, lines, unnest(lines) AS text_line, generate_subscripts(lines, 1) AS n
       FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)) f
 JOIN ({SCAN_RULES}) r ON contains(f.text_line, r.pattern)"""
+RULE_TABLE_HITS = f"""
+WITH r AS (
+  SELECT pattern, 'Mind ' || pattern AS advice
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')) AS pattern FROM documents)
+  ORDER BY md5(pattern) LIMIT {q.N_RULES}),
+l AS (SELECT doc_id, unnest(lines) AS text_line, generate_subscripts(lines, 1) AS n
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))
+SELECT 'doc_' || doc_id AS filename, pattern, advice, CAST(n AS INTEGER) AS line
+FROM l JOIN r ON contains(text_line, pattern)"""
 CONTEXT = (
     "array_to_string(list_transform(range(greatest(line - 3, 1), line + 1), "
     "lambda n: n || ' ' || lines[n]), chr(10))"
@@ -384,11 +414,8 @@ def registry() -> dict[str, str]:
                               last_profile_update_ts + INTERVAL 1 DAY AS last_profile_update_ts)
             FROM ({ENRICHED})""",
         "dedupe_keys": f"SELECT DISTINCT * FROM (({EVENTS}) UNION ALL ({EVENTS}))",
-        "dedupe_latest": f"""
-            SELECT * EXCLUDE (rank) FROM (
-              SELECT *, row_number() OVER (PARTITION BY customer_id, event_type
-                                           ORDER BY event_ts DESC, event_id DESC) AS rank
-              FROM ({EVENTS})) WHERE rank = 1""",
+        "dedupe_latest": LATEST,
+        "dedupe_latest_stream": LATEST,
         "row_hash": f"""
             SELECT customer_id, event_id, {joined_hash(ENRICHED_COLUMNS)} AS row_hash
             FROM ({ENRICHED})""",
@@ -403,10 +430,19 @@ def registry() -> dict[str, str]:
             SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_mktsegment AS segment, {AUDIT}
             FROM customer""",
         "scd2_close_versions": SCD2,
+        "scd2_close_versions_split": SCD2,
+        "scd2_merge_batches": SCD2,
         "enrichment_batch": ENRICHMENT,
         "enrichment_stream": ENRICHMENT,
+        "enrichment_stream_hot": ENRICHMENT,
         "enrichment_stream_no_join": NO_JOIN,
         "stream_dedupe_watermark": EVENTS,
+        "stream_late_rows": f"""
+            WITH e AS ({EVENTS}),
+            b AS (SELECT epoch_us(min(event_ts)) AS low, epoch_us(max(event_ts)) AS high FROM e)
+            SELECT customer_id, event_id, late, CASE WHEN late THEN 2 ELSE 1 END AS n
+            FROM (SELECT customer_id, event_id, epoch_us(event_ts) < low + (high - low) // 2 AS late
+                  FROM e, b)""",
         "kpi_normalized": KPIS,
         "kpi_defaults": f"SELECT query_id, {LADDER} AS recommendation FROM ({KPIS_WITH_GAPS})",
         "kpi_rules": "SELECT query_id, "
@@ -429,6 +465,11 @@ def registry() -> dict[str, str]:
                    'tune' AS recommendation,
                    CASE WHEN k % 23 = 0 THEN 0 WHEN k % 2 = 0 THEN 3 ELSE 2 END AS n_insights
             FROM ({RESOLVED})""",
+        "run_resolved_relanded": f"""
+            SELECT k AS pr_id, pos, {RUN_KEY} AS run_key, 'cl-' || k AS clusterUid,
+                   CASE WHEN k % 19 = 0 THEN 'old' ELSE 'tune' END AS recommendation,
+                   CASE WHEN k % 19 = 0 OR k % 23 = 0 THEN 0 WHEN k % 2 = 0 THEN 3 ELSE 2 END AS n_insights
+            FROM ({RUNS}) WHERE has_summary AND k % 13 <> 0 AND k % 17 <> 0""",
         "run_not_found": f"""
             SELECT k AS pr_id, pos, {RUN_KEY} AS run_key FROM ({RUNS}) WHERE NOT has_summary""",
         "run_rejects": f"""
@@ -440,6 +481,14 @@ def registry() -> dict[str, str]:
         "refused_responses": """
             SELECT 'cl-' || o_orderkey AS clusterUid, '{"message": "INVALID_TOKEN"}' AS body
             FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 = 0""",
+        "landed_bodies": """
+            WITH o AS (SELECT o_orderkey AS k, 'cl-' || o_orderkey AS c FROM orders)
+            SELECT c AS clusterUid, 'accepted' AS state,
+                   CASE WHEN k % 19 = 0 OR k % 17 = 0 THEN '{"recommendation":"old"}'
+                        ELSE '{"recommendation":"r' || k || '"}' END AS body FROM o
+            UNION ALL SELECT c, 'refused', '{"message":"INVALID_TOKEN"}' FROM o WHERE k % 19 = 0
+            UNION ALL SELECT NULL, 'malformed', '{"clusterUid":"' || c || '","response":{"recomm'
+            FROM o WHERE k % 17 = 0 AND k % 19 <> 0""",
         "unusable_analyses": """
             SELECT 'cl-' || o_orderkey AS clusterUid,
                    CASE WHEN o_orderkey % 13 = 0 THEN '{}'
@@ -468,6 +517,7 @@ def registry() -> dict[str, str]:
             SELECT 'app-' || k AS sparkAppId, key, title FROM ({INSTANCES}) WHERE label IS NULL""",
         "html_bullets": PAGE_BULLETS,
         "html_bullets_any": PAGE_BULLETS,
+        "html_bullets_nested": NESTED_BULLETS,
         "action_texts": f"""
             SELECT l_orderkey, l_linenumber, key,
                    CASE WHEN contains(actions, '<li>') THEN '- Check ' || l_linenumber
@@ -475,15 +525,18 @@ def registry() -> dict[str, str]:
             FROM ({LINE_INSIGHTS})""",
         "report_markdown": REPORT_MARKDOWN,
         "report_wiki": REPORT_WIKI,
+        "report_paged": REPORT_PAGED,
         "reviewers": """
             SELECT c_custkey AS pr_id, CASE WHEN c_custkey % 4 <> 0 THEN 2 ELSE 0 END AS n,
                    CASE WHEN c_custkey % 4 <> 0 THEN c_name || ',' || c_mktsegment ELSE '' END AS logins
             FROM customer""",
         "reviewer_mentions": NOTIFICATIONS,
         "code_hits": f"SELECT filename, pattern, line FROM ({HITS})",
+        "code_hits_rule_table": RULE_TABLE_HITS,
         "code_context": f"SELECT filename, pattern, line, {CONTEXT} AS context FROM ({HITS})",
         "code_comments": COMMENTS,
         "code_delivery": DELIVERY,
         "code_comments_gated": f"""
-            SELECT * FROM ({COMMENTS}) WHERE pr_id IN (SELECT k FROM ({RESOLVED}))""",
+            SELECT * FROM ({COMMENTS})
+            WHERE pr_id IN (SELECT k FROM ({RESOLVED}) WHERE has_info)""",
     }

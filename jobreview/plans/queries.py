@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobreview.functions.hashing import with_row_hash
-from jobreview.functions.text import bullets_if_list, clean_description, flatten_lines, list_bullets
+from jobreview.functions.text import (
+    bullets_if_list,
+    clean_description,
+    flatten_lines,
+    list_bullets,
+    walked_bullets,
+)
 from jobreview.operators import advisor, codescan, dedupe, insights, reports, runs, summary
 from jobreview.operators.normalize import normalize_events
 from jobreview.operators.profile import enrich_with_profile
+from jobreview.operators.version_merge import VersionTable
 from jobreview.operators.versions import close_versions, with_audit_columns
 from jobreview.plans import inputs
 from jobreview.plans.enrichment import EnrichmentOptions, enrich
@@ -20,11 +27,15 @@ from jobreview.plans.review import missing_runs
 from jobreview.session import apply_conf, scratch_dir
 from jobreview.sources import responses
 from jobreview.sources.tables import current_profiles, read_event_stream
-from jobreview.streaming.enrichment import append_stream
+from jobreview.streaming.enrichment import append_stream, not_in_sink
+from jobreview.streaming.hotkeys import HeavyHitters, enrich_hot_stream
+from jobreview.streaming.latest import LatestTable, upsert_stream
 
 BASE_URL = "https://monitor.example.com"
 BRAND = reports.Brand("Job Review", "https://static.example.com/logo.svg")
 AS_OF = "2024-06-30 12:34:56"
+PAGE_CHARS = 1_000
+N_RULES = 1_000
 SCAN_RULES = {"License": "Check the license of this file.", "The ": "Start with a noun."}
 TRACKED = ("loyalty_tier", "country", "email")
 
@@ -140,6 +151,20 @@ def q_scd2_close_versions(spark, sf_dir):
     return _naive(close_versions(normalized(spark, sf_dir), TRACKED))
 
 
+def q_scd2_close_versions_split(spark, sf_dir):
+    """The same rows by ranges of (key, time): safe for keys of any size."""
+    return _naive(close_versions(normalized(spark, sf_dir), TRACKED, rows_per_slice=10_000))
+
+
+def q_scd2_merge_batches(spark, sf_dir):
+    """Three batches one after another; each has events earlier than the last one's."""
+    events = normalized(spark, sf_dir)
+    versions = VersionTable(spark, scratch_dir(spark, "versions"), events.schema, TRACKED, buckets=16)
+    for batch_id in range(3):
+        versions.merge(events.filter(F.col("event_id").cast("long") % 3 == batch_id), batch_id)
+    return _naive(versions.read())
+
+
 def q_enrichment_batch(spark, sf_dir):
     events = inputs.twice(inputs.payloads(spark, sf_dir))
     return _naive(enrich(events, inputs.profiles(spark, sf_dir), as_of=_as_of()))
@@ -192,6 +217,69 @@ def q_stream_dedupe_watermark(spark, sf_dir):
     return _naive(_run_to_table(spark, dedupe.dedupe_within(stream, "30 days")))
 
 
+def _four_files(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The events as a stream of four files, one in each batch."""
+    staged_at = scratch_dir(spark, "event-files")
+    dealt = events.repartition(4, "event_id").sortWithinPartitions("event_id")
+    dealt.write.parquet(staged_at)
+    return read_event_stream(spark, path=staged_at, schema=events.schema, max_files_per_trigger=1)
+
+
+def q_dedupe_latest_stream(spark, sf_dir):
+    """The latest row per key, upserted batch by batch."""
+    events = normalized(spark, sf_dir)
+    target = scratch_dir(spark, "latest")
+    keys = ["customer_id", "event_type"]
+    latest = LatestTable(spark, target, events.schema, keys=keys, tie_break=["event_id"], buckets=16)
+    stream = _four_files(spark, events)
+    upsert_stream(stream, latest, checkpoint_path=f"{target}/checkpoint").awaitTermination()
+    return _naive(latest.read())
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """Doubled events, and which of them lie in the earlier half of the time."""
+    events = inputs.twice(normalized(spark, sf_dir))
+    us = F.unix_micros("event_ts")
+    bounds = events.agg(F.min(us).alias("low"), F.max(us).alias("high")).first()
+    return events, us < F.lit(bounds["low"] + (bounds["high"] - bounds["low"]) // 2)
+
+
+def q_stream_late_rows(spark, sf_dir):
+    """Every key that was read, and whether a watermark of a day dropped it: the
+    newer half comes first, in two batches, the earlier half last."""
+    events, early = _halves(spark, sf_dir)
+    newest = events.agg(F.max("event_ts").alias("ts")).first()["ts"]
+    last_hours = F.col("event_ts") > F.lit(newest) - F.expr("INTERVAL 12 HOURS")
+    staged_at = scratch_dir(spark, "late-events")
+    for part in (~early & ~last_hours, last_hours, early):
+        events.filter(part).coalesce(1).write.mode("append").parquet(staged_at)
+    stream = read_event_stream(spark, path=staged_at, schema=events.schema, max_files_per_trigger=1)
+    kept = _run_to_table(spark, dedupe.dedupe_within(stream, "1 day"))
+    admitted = spark.read.schema(events.schema).parquet(staged_at)
+    lost = not_in_sink(admitted, kept)
+    rows = kept.select(*dedupe.EVENT_KEYS, F.lit(False).alias("late")).unionByName(
+        lost.select(*dedupe.EVENT_KEYS, F.lit(True).alias("late"))
+    )
+    return rows.groupBy(*dedupe.EVENT_KEYS, "late").agg(F.count("*").alias("n"))
+
+
+def q_enrichment_stream_hot(spark, sf_dir):
+    """Unique events in four batches; customers frequent in earlier ones are spread."""
+    events = normalized(spark, sf_dir)
+    target = scratch_dir(spark, "hot")
+    hitters = HeavyHitters(spark, f"{target}/keys", events.schema["customer_id"].dataType, capacity=100)
+    enrich_hot_stream(
+        dedupe.dedupe_events(_four_files(spark, events)),
+        inputs.profiles(spark, sf_dir),
+        hitters,
+        path=f"{target}/rows",
+        checkpoint_path=f"{target}/checkpoint",
+        options=EnrichmentOptions(salt_buckets=4),
+        as_of=_as_of(),
+    ).awaitTermination()
+    return _naive(spark.read.parquet(f"{target}/rows").drop("batch"))
+
+
 # Advisor ------------------------------------------------------------------
 
 
@@ -296,6 +384,23 @@ def q_run_resolved(spark, sf_dir):
     )
 
 
+def q_run_resolved_relanded(spark, sf_dir):
+    """Tables that were appended to, read as they are: the last accepted body of
+    each key counts, and bodies of other keys are not parsed."""
+    landed_runs = runs.resolve_landed(
+        runs.run_refs_from_text(inputs.pull_requests(spark, sf_dir)),
+        inputs.relanded(inputs.task_summaries(spark, sf_dir), ["run_key"], "[]", "z"),
+        inputs.relanded(
+            inputs.analyses(spark, sf_dir), runs.APP_KEY, '{"insightsV2": [], "recommendation": "old"}', "z"
+        ),
+        inputs.relanded(inputs.app_summaries(spark, sf_dir), runs.APP_KEY, "{}", "z"),
+        landed_at="landed_at",
+    )
+    return landed_runs.runs.select(
+        "pr_id", "pos", "run_key", "clusterUid", "recommendation", F.size("insights").alias("n_insights")
+    )
+
+
 def q_run_not_found(spark, sf_dir):
     summaries = _tables(spark, sf_dir)["summaries"]
     return missing_runs(inputs.pull_requests(spark, sf_dir), summaries).select(
@@ -312,6 +417,29 @@ def q_refused_responses(spark, sf_dir):
     return responses.rejected(inputs.analyses(spark, sf_dir)).select("clusterUid", "body")
 
 
+def q_landed_bodies(spark, sf_dir):
+    """Files landed twice, read in one scan: the last accepted body of each key,
+    and every line that is none. Of the second landing some were refused and some
+    cut off."""
+    path = scratch_dir(spark, "landed")
+    k = F.col("o_orderkey")
+    start = F.concat(F.lit('{"clusterUid":"cl-'), k.cast("string"), F.lit('","response":'))
+    first = F.concat(start, F.lit('{"recommendation":"old"}}'))
+    answer = F.concat(start, F.lit('{"recommendation":"r'), k.cast("string"), F.lit('"}}'))
+    second = (
+        F.when(k % 19 == 0, F.concat(start, F.lit('{"message":"INVALID_TOKEN"}}')))
+        .when(k % 17 == 0, F.concat(start, F.lit('{"recomm')))
+        .otherwise(answer)
+    )
+    orders = inputs.table(spark, sf_dir, "orders")
+    for line in (first, second):
+        orders.select(line.alias("value")).write.mode("append").text(path)
+    landed = responses.landed_bodies(spark, path, ["clusterUid"])
+    kept = runs.latest_responses(landed.filter("state = 'accepted'"), ["clusterUid"], "landed_at")
+    lost = landed.filter("state <> 'accepted'").select("clusterUid", "state", "body")
+    return kept.select("clusterUid", F.lit("accepted").alias("state"), "body").unionByName(lost)
+
+
 def q_unusable_analyses(spark, sf_dir):
     return responses.unusable_analyses(inputs.analyses(spark, sf_dir)).select("clusterUid", "body")
 
@@ -390,6 +518,19 @@ def q_html_bullets_any(spark, sf_dir):
     )
 
 
+def q_html_bullets_nested(spark, sf_dir):
+    """The list of a page inside an item of another, with references: no Python."""
+    inner = F.regexp_extract("html", "(?s)<ul>(.*?)</ul>", 1)
+    nested = F.concat(
+        F.lit("<ul><li>Page &quot;"),
+        F.col("page_id").cast("string"),
+        F.lit("&quot; &amp; all<!-- <li> --><ul>"),
+        inner,
+        F.lit("</ul></li><li> last &#233;&eacute;&amp </li></ul>"),
+    )
+    return inputs.table(spark, sf_dir, "pages").select("page_id", walked_bullets(nested).alias("bullets"))
+
+
 def q_action_texts(spark, sf_dir):
     parsed = responses.parse_analysis(inputs.line_analyses(spark, sf_dir)).drop("recommendation")
     return insights.insight_rows(parsed).select(
@@ -401,27 +542,36 @@ def q_action_texts(spark, sf_dir):
 
 
 def q_report_markdown(spark, sf_dir):
-    return reports.markdown_reports(summarised_runs(spark, sf_dir), BRAND)
+    report = reports.markdown_reports(summarised_runs(spark, sf_dir), BRAND)
+    return report.select("pr_id", "from_pos", "report")
 
 
 def q_report_wiki(spark, sf_dir):
-    resolved = summarised_runs(spark, sf_dir)
-    reviewed = codescan.gate_by_runs(inputs.pull_requests(spark, sf_dir), resolved)
-    return reports.wiki_reports(resolved, reviewed, BRAND)
+    prs = inputs.pull_requests(spark, sf_dir)
+    return reports.wiki_reports(summarised_runs(spark, sf_dir), prs, BRAND).select(
+        "pr_id", "from_pos", "report"
+    )
+
+
+def q_report_paged(spark, sf_dir):
+    """Small parts, so that many reports have several."""
+    return reports.markdown_reports(
+        summarised_runs(spark, sf_dir), BRAND, part_chars=PAGE_CHARS, positions_per_step=1
+    )
+
+
+def _reviewed(spark, sf_dir):
+    return reports.reviewer_logins(reports.parse_pull_requests(inputs.reviewers(spark, sf_dir)))
 
 
 def q_reviewers(spark, sf_dir):
-    logins = reports.reviewer_logins(inputs.reviewers(spark, sf_dir))
-    return logins.select(
+    return _reviewed(spark, sf_dir).select(
         "pr_id", F.size("logins").alias("n"), F.array_join("logins", ",").alias("logins")
     )
 
 
 def q_reviewer_mentions(spark, sf_dir):
-    prs = inputs.reviewers(spark, sf_dir)
-    logins = F.transform("requested_reviewers", lambda reviewer: reviewer["login"])
-    named = prs.withColumn("logins", F.coalesce(logins, F.array().cast("array<string>")))
-    return reports.notifications(named, BRAND)
+    return reports.notifications(_reviewed(spark, sf_dir), BRAND)
 
 
 # Code scan ----------------------------------------------------------------
@@ -443,6 +593,15 @@ def q_code_context(spark, sf_dir):
     )
 
 
+def q_code_hits_rule_table(spark, sf_dir):
+    """A thousand rules, each a word of the files."""
+    files = codescan.changed_files(inputs.files(spark, sf_dir))
+    words = files.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("pattern"))
+    rules = words.distinct().orderBy(F.md5("pattern")).limit(N_RULES)
+    rules = rules.select("pattern", F.concat(F.lit("Mind "), "pattern").alias("advice"))
+    return codescan.code_hits_by_table(files, rules).select("filename", "pattern", "advice", "line")
+
+
 def comments(spark, sf_dir):
     return codescan.review_comments(scanned(spark, sf_dir))
 
@@ -458,7 +617,7 @@ def q_code_delivery(spark, sf_dir):
 
 def q_code_comments_gated(spark, sf_dir):
     return codescan.gate_by_runs(
-        comments(spark, sf_dir).drop("context"), resolved_runs(spark, sf_dir)
+        comments(spark, sf_dir).drop("context"), summarised_runs(spark, sf_dir)
     )
 
 

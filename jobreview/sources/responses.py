@@ -1,17 +1,22 @@
 """Service responses that were landed as JSON, read as tables.
 
-A response body stays a string until the joins have picked the rows a report
-needs; only those bodies are parsed.
+A response body stays a string until its key is known to be wanted; it is parsed
+before the joins, which then move only the fields used.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobreview.sources import schemas
 
+MALFORMED = "_malformed"
 # Fixed value: the message of a response to a request with a bad token.
 INVALID_TOKEN = "INVALID_TOKEN"
 
@@ -21,6 +26,30 @@ def read_landed(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).json(path)
 
 
+def landed_bodies(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """Landed responses below ``path`` in one scan: ``keys``, ``body``,
+    ``landed_at``, ``state``.
+
+    A line is an object with the keys of a request and its ``response``, any JSON,
+    which is kept as text. ``landed_at`` is the time of the file. A line is
+    ``accepted``, ``refused`` (an error payload) or ``malformed`` (no JSON, or
+    without a key or a response). A malformed line has NULL keys, and as ``body`` the
+    line, or the response if that is all it had.
+    """
+    names = [*keys, "response", MALFORMED]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", MALFORMED)
+    lines = reader.json(path).select(*names, F.col("_metadata.file_modification_time").alias("landed_at"))
+    incomplete = reduce(or_, [F.col(name).isNull() for name in [*keys, "response"]])
+    state = (
+        F.when(F.col(MALFORMED).isNotNull() | incomplete, "malformed")
+        .when(is_error_payload(F.col("response")), "refused")
+        .otherwise("accepted")
+    )
+    known = [F.when(state != "malformed", F.col(name)).alias(name) for name in keys]
+    return lines.select(*known, F.coalesce(MALFORMED, "response").alias("body"), "landed_at", state.alias("state"))
+
+
 def is_error_payload(body: Column) -> Column:
     """True for a body whose top-level ``message`` is the bad-token message.
 

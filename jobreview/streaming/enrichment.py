@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from jobreview.operators.dedupe import EVENT_KEYS
 from jobreview.plans.enrichment import EnrichmentOptions, enrich
 from jobreview.session import build_session
 from jobreview.sources.tables import read_event_stream
@@ -118,9 +123,9 @@ class LateRows(StreamingQueryListener):
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows a watermark dropped, over the progress reports the session keeps
-    (``spark.sql.streaming.numRecentProgressUpdates`` of them); ``LateRows``
-    counts all."""
+    """Rows a watermark dropped, over the recent progress reports only: those the
+    session keeps (``spark.sql.streaming.numRecentProgressUpdates`` of them).
+    ``LateRows`` counts all, and ``not_in_sink`` lists them."""
     return sum(
         operator["numRowsDroppedByWatermark"]
         for progress in query.recentProgress
@@ -128,6 +133,19 @@ def late_rows(query: StreamingQuery) -> int:
     )
 
 
+def not_in_sink(admitted: DataFrame, sink: DataFrame, keys: Sequence[str] = EVENT_KEYS) -> DataFrame:
+    """The rows a stream read and no row of whose key reached its sink: what a
+    watermark dropped, as a table.
+
+    ``admitted`` is a batch read of what the stream has read, with the stream's
+    own steps before the watermark applied; run it when the stream has ended. NULL
+    keys count as keys.
+    """
+    there = sink.select([F.col(name).alias(f"_sink_{name}") for name in keys]).distinct()
+    same = reduce(and_, [F.col(name).eqNullSafe(F.col(f"_sink_{name}")) for name in keys])
+    return admitted.join(there.hint("merge"), same, "left_anti")
+
+
 def state_rows(query: StreamingQuery) -> list[int]:
     """Rows held in state after each reported batch."""
     return [

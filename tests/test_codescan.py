@@ -9,6 +9,7 @@ from jobreview.operators.codescan import (
     RULES,
     changed_files,
     code_hits,
+    code_hits_by_table,
     gate_by_runs,
     review_comments,
     route_comments,
@@ -70,3 +71,21 @@ def test_gate(spark):
     plan = plan_of(gate_by_runs(comments, resolved))
     # The join sits above the generator that emits the hits.
     assert plan.index("Join") < plan.index("Generate")
+
+
+def test_rule_table_equals_plain_search(spark):
+    rng = random.Random(2)
+    letters = "abcé "
+    texts = ["\n".join("".join(rng.choices(letters, k=rng.randrange(12))) for _ in range(6)) for _ in range(60)] + [None, ""]
+    patterns = {"".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(80)} | {"", "zzzz", "b"}
+    files = spark.createDataFrame([(1, "c", f"f{i}", t) for i, t in enumerate(texts)], "pr_id long, commit_id string, filename string, text string")
+    rules = spark.createDataFrame([(p, f"mind {p}") for p in patterns] + [("b", "mind b"), (None, "x")], "pattern string, advice string")
+    hits = code_hits_by_table(files, rules)
+    expected = {
+        (f"f{i}", p, n)
+        for i, t in enumerate(texts) for n, line in enumerate((t or "").split("\n"), 1) for p in patterns if p and p in line
+    }
+    rows = hits.collect()
+    assert {(r.filename, r.pattern, r.line) for r in rows} == expected and len(rows) == len(expected)
+    assert code_hits_by_table(files, rules.limit(0)).count() == 0
+    assert "NestedLoop" not in plan_of(hits) and "Cartesian" not in plan_of(hits)

@@ -7,13 +7,14 @@ from datetime import datetime, timedelta
 import pytest
 from plan_text import plan_of
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from jobreview.functions.hashing import with_row_hash
 from jobreview.operators.dedupe import dedupe_events, keep_latest
 from jobreview.operators.normalize import normalize_events
 from jobreview.operators.profile import enrich_with_profile, unique_profiles
 from jobreview.operators.sizing import broadcast_if_small, measured_bytes
-from jobreview.operators.versions import OPEN_END, close_versions, with_audit_columns
+from jobreview.operators.versions import OPEN_END, close_versions, time_slices, with_audit_columns
 from jobreview.plans.enrichment import EnrichmentOptions, enrich
 
 PAYLOAD = (
@@ -204,8 +205,8 @@ def expected_versions(rows):
     return sorted(versions, key=str)
 
 
-@pytest.mark.parametrize("min_hot_rows", [1_000_000, 40, 5])
-def test_versions_with_and_without_hot_keys(spark, min_hot_rows):
+@pytest.mark.parametrize("rows_per_slice", [None, 1_000, 200, 40, 5])
+def test_versions_with_and_without_slices(spark, rows_per_slice):
     random.seed(7)
     rows = []
     for event_id in range(600):
@@ -217,7 +218,7 @@ def test_versions_with_and_without_hot_keys(spark, min_hot_rows):
     df = spark.createDataFrame(
         rows, "customer_id string, event_ts timestamp, event_id string, tier string"
     )
-    closed = close_versions(df, ["tier"], min_hot_rows=min_hot_rows, max_group_share=1e-6)
+    closed = close_versions(df, ["tier"], rows_per_slice=rows_per_slice)
     open_end = datetime.fromisoformat(OPEN_END)
     actual = []
     for row in closed.collect():
@@ -227,6 +228,15 @@ def test_versions_with_and_without_hot_keys(spark, min_hot_rows):
     assert sorted(actual, key=str) == expected_versions(rows)
 
 
+def test_slices_of_one_key_with_all_rows(spark):
+    rows = spark.range(50_000).select(
+        F.lit("k").alias("customer_id"), F.timestamp_seconds(F.col("id")).alias("event_ts")
+    )
+    sizes = time_slices(rows, "customer_id", "event_ts", 25).groupBy("_slice").count().collect()
+    assert sum(row["count"] for row in sizes) == 50_000
+    assert max(row["count"] for row in sizes) <= 2 * 50_000 / 25
+
+
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "dim")
     rows = [("1", True, "A", 1.0, DAY, "unused")]

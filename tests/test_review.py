@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jobreview.operators import insights, reports, runs, summary
 from jobreview.operators.reports import Brand, assemble_reports
-from jobreview.plans.review import missing_runs, review_pull_requests
+from jobreview.plans.review import missing_runs, review_landed, review_pull_requests
 from jobreview.sources import responses, schemas
 
 URL = "https://adb-12.3.azuredatabricks.net/?o=12#job/{}/run/{}"
@@ -289,12 +289,12 @@ def test_malformed_run_info_is_rejected(spark):
     assert summary.bad_run_info(resolved).count() == 1
 
 
-@pytest.mark.parametrize("part_chars,runs_per_chunk", [(10**6, 10**6), (50, 10**6), (50, 7), (10**6, 7)])
-def test_parts_concatenate_to_the_report(spark, part_chars, runs_per_chunk):
+@pytest.mark.parametrize("part_chars,positions_per_step", [(10**6, 10**6), (50, 10**6), (50, 7), (10**6, 7)])
+def test_parts_concatenate_to_the_report(spark, part_chars, positions_per_step):
     rows = [(1, pos, f"block {pos};" * (pos % 4 + 1)) for pos in range(-1, 60)]
     rows += [(2, 3, "single")]
     blocks = spark.createDataFrame(rows, "pr_id long, pos int, block string").repartition(5)
-    parts = assemble_reports(blocks, part_chars=part_chars, runs_per_chunk=runs_per_chunk)
+    parts = assemble_reports(blocks, part_chars=part_chars, positions_per_step=positions_per_step)
     whole = {}
     for row in sorted(parts.collect(), key=lambda row: (row.pr_id, row.from_pos)):
         longest = max(len(block) for _, _, block in rows)
@@ -417,3 +417,77 @@ def test_latest_response_per_key(spark):
     landed_twice = spark.createDataFrame(rows, "run_key string, landed_at string, body string")
     kept = runs.latest_responses(landed_twice, ["run_key"], "landed_at").orderBy("run_key").collect()
     assert [(row.run_key, row.body) for row in kept] == [("k", "c"), ("l", "d")]
+
+
+def test_page_numbers_do_not_depend_on_the_steps(spark):
+    rows = [(pr, pos, "x" * (pos * 7 % 50 + (900 if pos == 20 else 0))) for pr in (1, 2) for pos in range(-1, 120)]
+    blocks = spark.createDataFrame([*rows, (3, 0, "one")], "pr_id long, pos int, block string").repartition(6)
+    found = []
+    for step in (1, 13, 10_000):
+        parts = assemble_reports(blocks, part_chars=200, positions_per_step=step)
+        found.append(sorted(tuple(row) for row in parts.collect()))
+    assert found[0] == found[1] == found[2]
+    for pr in (1, 2, 3):
+        numbers = [(part, n) for pr_id, part, n, _, _ in found[0] if pr_id == pr]
+        assert numbers == [(i, len(numbers)) for i in range(len(numbers))]
+
+
+def test_reviewers_from_landed_bodies(spark):
+    bodies = ['{"requested_reviewers": [{"login": "ann", "id": 1}], "x": 2}', '{"message": "Not Found"}', '{"requested_r', None]
+    prs = spark.createDataFrame([(i, b, "c") for i, b in enumerate(bodies)], "pr_id long, body string, commit_id string")
+    rows = reports.reviewer_logins(reports.parse_pull_requests(prs)).orderBy("pr_id").collect()
+    assert [(r.commit_id, r.logins) for r in rows] == [("c", ["ann"]), ("c", []), ("c", []), ("c", [])]
+
+
+def landed_bodies(spark):
+    """Run 1 has an older answer and a later refusal; run 2 was refused; 5,000
+    bodies belong to no run."""
+    task = '[{"clusterUid": "cl", "sparkAppId": "app"}]'
+    summaries = [("12_1_1", task, 1), ("12_1_1", '{"message": "INVALID_TOKEN"}', 2), ("12_2_2", '{"message": "INVALID_TOKEN"}', 1)]
+    analyses = [("cl", "app", json.dumps({"insightsV2": [], "recommendation": r}), at) for r, at in (("old", 1), ("new", 2))]
+    others = [(f"cl{i}", "app", analyses[0][2], 1) for i in range(5_000)]
+    apps = [("cl", "app", json.dumps({"annotation": {"cents": 1.0, "dbuCost": 2.0, "runInfo": json.dumps(RUN_INFO)}}), 1)]
+    key = "clusterUid string, sparkAppId string, body string, landed_at int"
+    return (
+        spark.createDataFrame(summaries, "run_key string, body string, landed_at int"),
+        spark.createDataFrame(analyses + others, key),
+        spark.createDataFrame(apps + [apps[0]], key),
+    )
+
+
+def test_review_of_landed_bodies(spark):
+    tables = landed_bodies(spark)
+    review = review_landed(pull_requests(spark), *tables, files(spark), BASE, landed_at="landed_at", brand=BRAND)
+    assert [(r.pos, r.recommendation) for r in review.runs.orderBy("pos").collect()] == [(0, "new"), (3, "new")]
+    assert review.markdown.count() == 1 and review.comments.count() == 1
+    assert [(r.pos, r.reason) for r in review.rejects.orderBy("pos").collect()] == [(1, "no task summary"), (2, "no task summary")]
+    assert sorted(r.response_key for r in review.refused.collect()) == ["12_1_1", "12_2_2"]
+    again = review_landed(pull_requests(spark), *[t.drop("landed_at") for t in tables], files(spark), BASE, brand=BRAND)
+    assert {r.recommendation for r in again.runs.collect()} == {"old"}, "without a time the greatest body"
+
+
+def test_only_named_bodies_are_looked_into(spark):
+    analyses = landed_bodies(spark)[1]
+    apps = spark.createDataFrame([("cl", "app"), ("cl7", "app")], "clusterUid string, sparkAppId string")
+    named = runs.named_responses(analyses, apps, runs.APP_KEY, "landed_at")
+    assert {"cl", "cl7"} <= {r.clusterUid for r in named.collect()}
+    assert named.count() <= 2 + 0.02 * 5_000
+
+
+def test_review_refuses_error_payloads(spark):
+    summaries, analyses, app_summaries = landed(spark, json.dumps(RUN_INFO), [])
+    bad = analysis_frame(spark, '{"message": "INVALID_TOKEN"}')
+    review = review_pull_requests(pull_requests(spark), summaries, analyses.unionByName(bad), app_summaries, files(spark), BASE)
+    assert review.runs.count() == 2 and review.refused.count() == 1
+    assert [r.reason for r in review.rejects.orderBy("pos").collect()] == ["no task summary"] * 2
+
+
+def test_landing_splits_in_one_scan(spark, tmp_path):
+    lines = ['{"k": "1", "response": {"a": [1, 2]}}', '{"k": "2", "response": {"message": "INVALID_TOKEN"}}', '{"k": "3", "resp', '{"k": "4"}', "", '{"response": []}']
+    (tmp_path / "one.json").write_text("\n".join(lines) + "\n")
+    rows = {r.body: r for r in responses.landed_bodies(spark, str(tmp_path), ["k"]).collect()}
+    good = next(r for body, r in rows.items() if json.loads(body if body.endswith("}") else "0") == {"a": [1, 2]})
+    assert good.state == "accepted" and good.k == "1" and good.landed_at is not None
+    assert rows['{"k": "3", "resp'].state == "malformed"
+    assert sorted(r.state for r in rows.values()) == ["accepted", "malformed", "malformed", "malformed", "refused"]
+    assert plan_of(responses.landed_bodies(spark, str(tmp_path), ["k"])).count("Scan") == 1

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from plan_text import plan_of
 from pyspark.sql import functions as F
 
 from jobreview.functions import text as X
@@ -97,3 +98,40 @@ def test_elements_without_item_text_and_cdata(spark):
         "<li>o<ul><li>i</li></ul></li>": "- oi\n- i",
     }
     assert column_values(spark, list(html), X.list_bullets(F.col("t"))) == list(html.values())
+
+
+HARD_LISTS = [
+    "<ul><li>a &amp; b<ul><li>c</li><li> d <b>e</b></li></ul></li><li>f</li></ul>",
+    "<li>x<li>y</li>z</li>tail<li>",
+    "<li>&lt;b&gt; &#65;&#x42;&#x1F600; &notit; &eacute &unknown; &#0; &#xD800; & &</li>",
+    "<ol><li>a<br>b<img src='x>y'/>c</li></ol></ol></li><p>out</p><li/>d",
+    "<li>a<script>var x = '<li>no</li>';</script>b<!-- <li> -->c<style>li{}</style></li>",
+    "<LI CLASS=\"x\">Up\n per</Li ><li>  t  </li>",
+    "<div><li>one<template><p>no</p></template>two</div>three</li><li>a<ruby>b<rt>no</rt><rp>(</rp></ruby></li>",
+    "no list",
+    "",
+]
+
+
+def test_walk_reads_lists_as_the_parser_does(spark):
+    df = spark.createDataFrame(list(enumerate([*HARD_LISTS, None])), "i int, html string")
+    rows = df.select("html", X.walked_bullets(F.col("html")).alias("walked")).collect()
+    for row in rows:
+        assert row.walked == (None if row.html is None else X._bullets(row.html)), row.html
+    assert "Python" not in plan_of(df.select(X.walked_bullets(F.col("html"))))
+
+
+def test_markup_outside_the_items_keeps_a_list_flat(spark):
+    flat = "<!DOCTYPE html><script>a<b</script><!-- x &amp; --><p>&amp;</p><ul><li>one <b>two</b><li></ul>"
+    cases = {
+        flat.replace("<li></ul>", "</li></ul>"): True,
+        "<li>a</li><!-- cut <li>b</li>": False,
+        "<li>a &amp; b</li>": False,
+        "<li>a<li>b</li>": False,
+        "<template><li>a</li></template>": False,
+        "&amp;<style>li &gt; {}</style><li>a<!-- c --> b</li>": True,
+    }
+    df = spark.createDataFrame([(html,) for html in cases], "html string")
+    rows = df.select("html", X.is_flat_list(F.col("html")).alias("flat"), X.list_bullets(F.col("html")).alias("b")).collect()
+    assert {row.html: row.flat for row in rows} == cases
+    assert all(row.b == X._bullets(row.html) for row in rows)
