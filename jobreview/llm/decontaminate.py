@@ -1,18 +1,24 @@
 """Benchmark decontamination by spaced seeds, in DataFrame operations only.
 
 Texts become words (runs of letters and digits, lower case). Each fixed mask
-keeps five of the words that it spans and ignores the others; hashes of the kept
+keeps some of the words that it spans and ignores the others; hashes of the kept
 words of benchmark items and of documents are joined. Around a hit the whole
 item is laid over the document at the hit's offset, and the share of item words
 that stand there is its similarity: substituted words cost their share only.
 A document is contaminated by the items with a similarity of at least 0.8.
 
+Masks of five words find every such overlap with items of most lengths; for the
+few lengths at which some patterns of substitutions slip through, masks of four
+words are added, and items of up to four words, of which none may be substituted,
+are their own mask. So no overlap at 0.8 is without a seed. Which masks are in use
+is known from the lengths of the items.
+
 A benchmark whose seeds fit the broadcast limit is looked up where the document
 is read, and verified there. A larger one is joined by shuffle on the seeds, and
 only the offsets that were hit go back to their documents.
 
-Defined results: null and empty texts, and items of fewer than five words, match
-nothing; items that occur twice, or share an id, count once per id with their
+Defined results: null and empty texts, and items without a word, match
+nothing; a short item matches wherever its words stand in a row; items that occur twice, or share an id, count once per id with their
 best similarity; null item ids are left out; documents equal in id and text get
 equal results, null ids included; without items nothing is contaminated; an
 empty table of documents gives an empty result; other columns are not used.
@@ -28,6 +34,10 @@ from jobreview.operators.sizing import measured_bytes
 # Positions kept by each mask; five words, so that chance rarely gives a hit.
 # Ignoring every fifth word, the third mask hits what lost one word in five.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 3, 4, 6))
+LIGHT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
+# Words of items that need the light masks, and of items that are matched whole.
+LIGHT_LENGTHS = (5, 6, 7, 10, 11, 15)
+WHOLE_LENGTHS = (1, 2, 3, 4)
 WEIGHT = 5
 SIMILARITY = 0.8
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -39,19 +49,47 @@ def word_hashes(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def _places(rows: DataFrame, hashes: str, *keep: str) -> DataFrame:
-    """One row for each place and mask that fits: ``keep``, at, seed. The
-    expressions are small: Java compiles no method as long as a case for each
-    mask would make it."""
-    count, n = len(MASKS), F.size(hashes)
-    steps = F.when(n >= WEIGHT, F.sequence(F.lit(0), n * count - 1))
+def masks_for(n_words: int) -> tuple[tuple[int, ...], ...]:
+    """The masks that an item of so many words is sought by."""
+    if n_words in WHOLE_LENGTHS:
+        return (tuple(range(n_words)),)
+    return MASKS + (LIGHT_MASKS if n_words in LIGHT_LENGTHS else ())
+
+
+def _masks_in_use(items: DataFrame) -> list[tuple[int, ...]]:
+    """The masks for the lengths of the items: at most eleven."""
+    longest = max(LIGHT_LENGTHS) + 1
+    lengths = items.select(F.least(F.size("item"), F.lit(longest)).alias("n")).distinct().collect()
+    used = {mask for row in lengths for mask in masks_for(row["n"])}
+    return sorted(used, key=lambda mask: (-len(mask), mask)) or list(MASKS)
+
+
+def _places(rows: DataFrame, hashes: str, masks: list[tuple[int, ...]], *keep: str, of_items: bool = False) -> DataFrame:
+    """One row for each place and mask that fits: ``keep``, at, seed. Items take
+    the masks for their length only. The expressions are small: Java compiles no
+    method as long as a case for each mask would make it."""
+    count, n = len(masks), F.size(hashes)
+    least = min(len(mask) for mask in masks)
+    steps = F.when(n >= least, F.sequence(F.lit(0), n * count - 1))
     rows = rows.select(*keep, hashes, F.explode(steps).alias("step"))
     at, mask = F.expr(f"cast(step div {count} as int)"), F.expr(f"step % {count}")
     rows = rows.select(*keep, hashes, at.alias("at"), mask.alias("mask"))
-    kept = [F.array(*[F.lit(m[k]) for m in MASKS]) for k in range(WEIGHT)]
+    spans = F.array(*[F.lit(m[-1]) for m in masks])
+    fitting = rows.filter(F.col("at") + F.get(spans, F.col("mask")) < n)
+    if of_items:
+        takes = {
+            length: F.array(*[F.lit(i) for i, m in enumerate(masks) if m in masks_for(length)]).cast("array<int>")
+            for length in (*WHOLE_LENGTHS, *LIGHT_LENGTHS)
+        }
+        taken = F.array(*[F.lit(i) for i, m in enumerate(masks) if m in MASKS]).cast("array<int>")
+        for length, numbers in takes.items():
+            taken = F.when(n == length, numbers).otherwise(taken)
+        fitting = fitting.filter(F.array_contains(taken, F.col("mask").cast("int")))
+    # A mask of fewer words has no place for the others: null, which hashes as nothing.
+    kept = [F.array(*[F.lit(m[k] if k < len(m) else None).cast("int") for m in masks]) for k in range(WEIGHT)]
     places = [F.col("at") + F.get(offsets, F.col("mask")) for offsets in kept]
-    fitting = rows.filter(places[-1] < n)
-    seed = F.xxhash64("mask", *[F.get(hashes, place) for place in places])
+    name = F.get(F.array(*[F.lit("-".join(map(str, m))) for m in masks]), F.col("mask"))
+    seed = F.xxhash64(name, *[F.get(hashes, place) for place in places])
     return fitting.select(*dict.fromkeys([*keep, hashes]), "at", seed.alias("seed"))
 
 
@@ -74,19 +112,20 @@ def contaminations(
     items = (
         benchmark.filter(F.col("item_id").isNotNull())
         .select("item_id", word_hashes(F.col("text").cast("string")).alias("item"))
-        .filter(F.size("item") >= WEIGHT)
+        .filter(F.size("item") > 0)
         .distinct()
         .withColumn("item_key", F.struct("item_id", F.xxhash64("item").alias("hash")))
     )
+    masks = _masks_in_use(items)
     seeds = (
-        _places(items, "item", "item_key")
+        _places(items, "item", masks, "item_key", of_items=True)
         .select("seed", "item_key", F.col("at").alias("item_at"))
         .distinct()
     )
     items = items.select("item_key", "item")
     small = measured_bytes(seeds) + measured_bytes(items) <= max_broadcast
     tokens = docs.select(*keys, word_hashes(F.col("text").cast("string")).alias("words"))
-    places = _places(tokens, "words", *keys)
+    places = _places(tokens, "words", masks, *keys)
     offset = (F.col("at") - F.col("item_at")).alias("offset")
     if small:
         hits = places.join(F.broadcast(seeds), "seed").select(*keys, "words", "item_key", offset)
@@ -157,15 +196,19 @@ WITH d AS (
 ), b AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS v
   FROM benchmark
-), masks(o) AS (VALUES ([0, 1, 2, 3, 4]), ([0, 1, 2, 3, 5]), ([0, 1, 3, 4, 6])
+), masks(o, lengths) AS (
+  VALUES ([0, 1, 2, 3, 4], NULL), ([0, 1, 2, 3, 5], NULL), ([0, 1, 3, 4, 6], NULL),
+    ([0, 1, 2, 3], [5, 6, 7, 10, 11, 15]), ([0, 1, 2, 4], [5, 6, 7, 10, 11, 15]),
+    ([0, 1, 3, 4], [5, 6, 7, 10, 11, 15]), ([0, 2, 3, 4], [5, 6, 7, 10, 11, 15]),
+    ([0], [1]), ([0, 1], [2]), ([0, 1, 2], [3]), ([0, 1, 2, 3], [4])
 ), dp AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d
-), bp AS (SELECT item_id, v, unnest(range(len(v))) AS j FROM b WHERE len(v) >= 5
-), dk AS (
-  SELECT doc_id, i, o, [w[i + o[1] + 1], w[i + o[2] + 1], w[i + o[3] + 1], w[i + o[4] + 1], w[i + o[5] + 1]] AS k
-  FROM dp, masks WHERE i + o[5] < len(w)
+), bp AS (SELECT item_id, v, unnest(range(len(v))) AS j FROM b
 ), bk AS (
-  SELECT item_id, j, o, [v[j + o[1] + 1], v[j + o[2] + 1], v[j + o[3] + 1], v[j + o[4] + 1], v[j + o[5] + 1]] AS k
-  FROM bp, masks WHERE j + o[5] < len(v)
+  SELECT item_id, j, o, list_transform(o, lambda x: v[j + x + 1]) AS k
+  FROM bp, masks WHERE j + o[-1] < len(v) AND CASE WHEN lengths IS NULL THEN len(v) >= 5 ELSE list_contains(lengths, len(v)) END
+), dk AS (
+  SELECT doc_id, i, o, list_transform(o, lambda x: w[i + x + 1]) AS k
+  FROM dp, (SELECT DISTINCT o FROM bk) WHERE i + o[-1] < len(w)
 ), h AS (SELECT DISTINCT doc_id, item_id, i - j AS f FROM dk JOIN bk USING (o, k)
 ), s AS (
   SELECT doc_id, item_id, max(len(list_filter(range(len(v)), lambda k: k + f >= 0 AND w[k + f + 1] = v[k + 1])) / len(v)) AS s
