@@ -1,15 +1,20 @@
 """Format-preserving pseudonyms for personal data, in DataFrame operations only.
 
 Found and validated: e-mail addresses, payment card numbers (13 to 19 digits,
-Luhn), North American phone numbers, IPv4 addresses, dates (ISO, or day and
-month first with slashes or dots). A value is read as a row of symbols, each with the size of its
+Luhn), North American phone numbers, IPv4 addresses, dates (year first with
+hyphens or slashes, or day and month first with slashes or dots; where that is no
+date, month and day first). A value is read as a row of symbols, each with the size of its
 alphabet: digits, letters of one case, address bytes, and for a date its day
 number in two parts. A Feistel network permutes the symbols: every round adds
 keyed hashes of the half that stays to the symbols of the other half, each
 within its alphabet. So a value keeps its format, its separators and its
 validity; equal values get equal pseudonyms in all documents; and who has the
 key can invert it. A card gets a new check digit. A date stays a date between
-``FIRST_DAY`` and ``LAST_DAY``, in the form that it had.
+``FIRST_DAY`` and ``LAST_DAY``, in the form that it had: a day or month written with
+one digit keeps one digit, and a date that only reads with its month first keeps a
+day above 12. What falls outside of the days with such a form is permuted again
+until it is one of them (cycle walking), so that the permutation stays one to one.
+The key has no default: who knows it can undo all pseudonyms.
 
 Texts are cut wherever a value may start. At each start, from the left, the
 kinds are tried in turn, for cards the usual groupings before any other and
@@ -34,17 +39,23 @@ from pyspark.sql import functions as F
 from jobreview.llm.common import fresh
 
 ROUNDS = 8
-KEY = "training-data"
-# 73049 days from 1900-01-01 to 2099-12-31 are 319 * 229: no cycle walking.
-FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
-DAY_PARTS = (319, 229)
+# 73,049 days, in two parts of 319 and 229: two numbers too many, so that two more
+# steps always lead back to a day.
+FIRST_DAY, LAST_DAY, DAYS = "1900-01-01", "2099-12-31", 73_049
+DAY_PARTS, DAY_STEPS = (319, 229), 2
+# Days above 12: 2,400 months and 19 days, of which one in 12 does not exist.
+MONTH_PARTS = (2_400, 19)
+# Of the days in general 22 of 100 have a day and a month of one digit, of the late
+# ones two of three have such a month: so many steps lead to one of them but with a
+# probability of 10**-32.
+WALK_STEPS = 300
 
 BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "ip": rf"(?<!\d\.)(?:{BYTE}\.){{3}}{BYTE}(?!\.?\d)",
-    "date": r"(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"
-    r"|(?<!\d\.)(?:0?[1-9]|[12]\d|3[01])([/.])(?:0?[1-9]|1[0-2])\1(?:19|20)\d\d)",
+    "date": r"(?:(?:19|20)\d\d([-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"
+    r"|(?<!\d\.)(?:0?[1-9]|[12]\d|3[01])([/.])(?:0?[1-9]|[12]\d|3[01])\2(?:19|20)\d\d)",
     "phone": r"(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}",
     "card": r"\d(?:[ -]?\d){12,18}",
 }
@@ -74,7 +85,7 @@ def _hash(key: str, kind: Column, step: Column, at: Column, rest: Column) -> Col
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
-def feistel(symbols: Column, sizes: Column, kind: Column, key: str = KEY, rounds: int = ROUNDS, inverse: bool = False) -> Column:
+def feistel(symbols: Column, sizes: Column, kind: Column, key: str, rounds: int = ROUNDS, inverse: bool = False) -> Column:
     """A permutation of the rows of symbols with these alphabet sizes. Each
     round changes the symbols at odd or at even places by what stands at the
     others; a single symbol is shifted."""
@@ -160,30 +171,88 @@ def _ip(text: Column, key: str, inverse: bool) -> Column:
     return F.array_join(feistel(parts, sizes, F.lit("ip"), key, inverse=inverse), ".")
 
 
+def _year_first(text: Column) -> Column:
+    return text.rlike(r"^\d{4}[-/]")
+
+
+def _readings(text: Column) -> tuple[Column, Column]:
+    """The date in the order that a reader tries first, and with the month first;
+    null where the calendar has none."""
+    plain = F.regexp_replace(text, r"[/.]", "-")
+    usual = F.when(_year_first(text), F.try_to_date(plain, "yyyy-MM-dd")).otherwise(F.try_to_date(plain, "d-M-yyyy"))
+    return usual, F.when(~_year_first(text), F.try_to_date(plain, "M-d-yyyy"))
+
+
 def _date_of(text: Column) -> Column:
     """The date, null where the calendar has none."""
-    iso = F.try_to_date(text, "yyyy-MM-dd")
-    plain = F.regexp_replace(text, r"[/.]", "-")
-    return F.when(text.rlike(r"^\d{4}-"), iso).otherwise(F.try_to_date(plain, "d-M-yyyy"))
+    return F.coalesce(*_readings(text))
 
 
-def _date(text: Column, key: str, inverse: bool) -> Column:
-    first = F.lit(FIRST_DAY).cast("date")
-    day = F.datediff(_date_of(text), first).cast("long")
-    low = F.lit(DAY_PARTS[1])
+def _walked(parts: Column, sizes: tuple[int, int], kind: str, key: str, inverse: bool, steps: Column, outside) -> Column:
+    """The permutation of ``parts``, again as long as it is ``outside``."""
+    alphabet = F.array(*[F.lit(p).cast("long") for p in sizes])
+
+    def moved(state: Column) -> Column:
+        return feistel(state, alphabet, F.lit(kind), key, inverse=inverse)
+
+    return F.aggregate(F.sequence(F.lit(1), steps), moved(parts), lambda s, _: F.when(outside(s), moved(s)).otherwise(s))
+
+
+def _moved_day(date: Column, key: str, inverse: bool, short_day: Column, short_month: Column) -> Column:
+    """Any day to any day; with ``short_day`` and ``short_month`` those of one
+    digit among themselves."""
+    first, low = F.lit(FIRST_DAY).cast("date"), F.lit(DAY_PARTS[1])
+    day = F.datediff(date, first).cast("long")
     parts = F.array(F.floor(day / low).cast("long"), day % low)
-    new = feistel(parts, F.array(*[F.lit(p).cast("long") for p in DAY_PARTS]), F.lit("date"), key, inverse=inverse)
+
+    def made(p: Column) -> Column:
+        return F.date_add(first, (F.get(p, F.lit(0)) * low + F.get(p, F.lit(1))).cast("int"))
+
+    def outside(p: Column) -> Column:
+        too_long = (short_day & (F.dayofmonth(made(p)) > 9)) | (short_month & (F.month(made(p)) > 9))
+        return (made(p) > F.lit(LAST_DAY).cast("date")) | too_long
+
+    steps = F.when(short_day | short_month, WALK_STEPS).otherwise(DAY_STEPS)
+    walked = F.array(_walked(parts, DAY_PARTS, "date", key, inverse, steps, outside))
+    return F.get(F.transform(walked, made), F.lit(0))
+
+
+def _moved_late_day(date: Column, key: str, inverse: bool, short_month: Column) -> Column:
+    """A day above 12 of its month to another such day."""
+    first = F.lit(FIRST_DAY).cast("date")
+    month = ((F.year(date) - int(FIRST_DAY[:4])) * 12 + F.month(date) - 1).cast("long")
+    parts = F.array(month, (F.dayofmonth(date) - 13).cast("long"))
+
+    def start(p: Column) -> Column:
+        return F.add_months(first, F.get(p, F.lit(0)).cast("int"))
+
+    def outside(p: Column) -> Column:
+        none = F.get(p, F.lit(1)) + 13 > F.dayofmonth(F.last_day(start(p)))
+        return none | (short_month & (F.get(p, F.lit(0)) % 12 > 8))
+
+    walked = F.array(_walked(parts, MONTH_PARTS, "late day", key, inverse, F.lit(WALK_STEPS), outside))
+    return F.get(F.transform(walked, lambda p: F.date_add(start(p), (F.get(p, F.lit(1)) + 12).cast("int"))), F.lit(0))
+
+
+def _date(text: Column, key: str, inverse: bool) -> Column:
+    usual, month_first = _readings(text)
+    swapped = usual.isNull()
+    short_one, short_two = text.rlike(r"^\d[/.]"), text.rlike(r"[/.]\d[/.]")
     # A one-element transform makes the permutation once for all uses.
-    made = F.get(F.transform(F.array(new), lambda p: F.date_add(first, (F.get(p, F.lit(0)) * low + F.get(p, F.lit(1))).cast("int"))), F.lit(0))
-    mark = F.when(text.contains("/"), F.lit("/")).otherwise(F.lit("."))
+    made = F.when(swapped, _moved_late_day(month_first, key, inverse, short_one)).otherwise(
+        _moved_day(usual, key, inverse, short_one, short_two)
+    )
+    mark = F.regexp_extract(text, "[-/.]", 0)
 
     def written_as(date: Column) -> Column:
-        # Two digits for day and month unless the value had a single one.
-        d = F.when(text.rlike(r"^\d[/.]"), F.date_format(date, "d")).otherwise(F.date_format(date, "dd"))
-        m = F.when(text.rlike(r"[/.]\d[/.]"), F.date_format(date, "M")).otherwise(F.date_format(date, "MM"))
-        return F.when(text.rlike(r"^\d{4}-"), F.date_format(date, "yyyy-MM-dd")).otherwise(
-            F.concat(d, mark, m, mark, F.date_format(date, "yyyy"))
-        )
+        one = F.when(swapped, F.month(date)).otherwise(F.dayofmonth(date)).cast("string")
+        two = F.when(swapped, F.dayofmonth(date)).otherwise(F.month(date)).cast("string")
+        one = F.when(short_one, one).otherwise(F.lpad(one, 2, "0"))
+        two = F.when(short_two, two).otherwise(F.lpad(two, 2, "0"))
+        year = F.date_format(date, "yyyy")
+        return F.when(
+            _year_first(text), F.concat(year, mark, F.date_format(date, "MM"), mark, F.date_format(date, "dd"))
+        ).otherwise(F.concat(one, mark, two, mark, year))
 
     return F.get(F.transform(F.array(made), written_as), F.lit(0))
 
@@ -230,9 +299,9 @@ def segments(text: Column) -> Column:
     """The text as (kind, value, after): a value, or none, and the text up to
     the next one; empty if nothing is found."""
     start = start_pattern()
-    # Group 1 is the separator of dates.
+    # Groups 1 and 2 are the separators of dates.
     ahead = rf"(?=({PATTERNS['email']}{AFTER}|(?s:.{{1,{CONTEXT}}})))"
-    found = F.transform(F.regexp_extract_all(text, F.lit(start + ahead), F.lit(2)), value_at)
+    found = F.transform(F.regexp_extract_all(text, F.lit(start + ahead), F.lit(3)), value_at)
     pieces = F.split(text, start, -1)
     nothing = F.lit(None).cast("struct<kind:string,value:string>")
     # A text that begins with a value has no piece before it.
@@ -261,7 +330,7 @@ def segments(text: Column) -> Column:
     return F.when(F.exists(found, lambda v: v.isNotNull()), whole).otherwise(F.array().cast(kind))
 
 
-def pseudonym(value: Column, kind: Column, key: str = KEY, inverse: bool = False) -> Column:
+def pseudonym(value: Column, kind: Column, key: str, inverse: bool = False) -> Column:
     """The pseudonym of a value of a kind; the value itself for no kind. With
     ``inverse`` the value of a pseudonym."""
     return (
@@ -278,7 +347,7 @@ def _of(kind: str):
     return lambda value: value["kind"] == kind
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, inverse: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in its text, and the counts ``n_<kind>``."""
     text = F.col(f"`{text_col}`")
     found, counts = fresh(docs, "pii_values"), {kind: fresh(docs, f"n_{kind}") for kind in KINDS}

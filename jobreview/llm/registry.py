@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import functions as F
 
 from jobreview.llm import collocations, decontaminate, lexical, line_dedup, main_text, near_dups, topk, warc
@@ -64,9 +66,12 @@ def q_warc(spark, sf_dir):
 
 
 def q_pii(spark, sf_dir):
+    """Under the key of the session's setting ``jobreview.pii.key``; without one,
+    a key of this run that nobody knows afterwards."""
     from jobreview.llm.pii import pseudonymise
 
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get("jobreview.pii.key", None) or secrets.token_hex(32)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 def q_repeats(spark, sf_dir):

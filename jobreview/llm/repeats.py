@@ -7,9 +7,12 @@ Here suffixes are dealt to blocks such that equal strings meet:
 * A window (``WIDTH`` bytes) belongs to the smallest hash of its ``GRAM``-byte
   strings. Equal windows have equal hashes at equal places, so they share this
   *anchor*. Neighbouring windows with one anchor form a *piece*.
-* Anchors that occur once cannot hold a repeat and drop out (a bit filter of
-  fixed size; passing too much is harmless). Equal pieces are counted, one of
-  each is kept: what occurs twice as a whole repeats in every window.
+* Anchors that occur once cannot hold a repeat and drop out (a key filter sized
+  from the others; passing too much is harmless). Equal pieces are counted, byte
+  by byte equal ones, one of each is kept: what occurs twice as a whole repeats in
+  every window. A text that repeats itself at a short distance has few distinct
+  pieces: each part of a text emits every distinct piece once, with its count, and
+  a run of equal pieces as one place.
 * The distinct pieces of the remaining anchors go to blocks by anchor, and the
   suffixes of each block are sorted by the difference-cover algorithm
   (``suffix_array``): sampled triples, recursion on their names, merge of the
@@ -35,8 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobreview.llm.common import bit_filter, may_hold, small_batches, written
+from jobreview.llm.common import small_batches, written
 from jobreview.llm.suffix_array import repeated_windows
+from jobreview.operators.keyfilter import reduced
 
 WIDTH = 200
 GRAM = 32
@@ -104,9 +108,29 @@ def _parts(n: int, width: int) -> Iterator[tuple[int, int]]:
         start = stop - width + 1
 
 
+def _distinct(key: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One index of each different piece, and how often it occurs."""
+    order = np.lexsort((piece, key))
+    key, piece = key[order], piece[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])]))
+    return order[new], np.diff(np.append(new, len(order)))
+
+
+def _runs(key: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and length of each run of equal pieces. Pieces that follow one
+    another start as far apart as they have windows."""
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])]))
+    return new, np.diff(np.append(new, len(key)))
+
+
+# Bytes of pieces, or rows, that a task holds before it hands them on.
+FLUSH_BYTES, FLUSH_ROWS = 8 << 20, 1 << 18
+
+
 def _emit(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
-    """Rows of every piece. ``kind``: keys (the anchor only), bytes (with the
-    piece's bytes) or places (with the text's hashes and the first window)."""
+    """Rows of the pieces. ``kind``: keys (the anchor and a count), bytes (with the
+    piece's bytes) or places (with the text's hashes, the first window and how
+    many equal pieces follow one another)."""
     anchors = Anchors()
     for batch in batches:
         held: list[list[np.ndarray]] = []
@@ -115,20 +139,26 @@ def _emit(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBat
             data = np.frombuffer(text.as_buffer() or b"", np.uint8)
             for start, stop in _parts(len(data), WIDTH):
                 key, piece, first, count = anchors.pieces(data[start:stop])
-                row = [key, piece, count, first + start]
-                if kind == "bytes":
-                    lengths = count + WIDTH - 1
-                    ends = np.cumsum(lengths)
-                    total = int(ends[-1]) if len(ends) else 0
-                    take = np.arange(total) - np.repeat(ends - lengths - first - start, lengths)
-                    row += [lengths, data[take]]
-                    size += total
-                elif kind == "places":
-                    row += [np.full(len(key), batch.column(name)[i].as_py()) for name in ("text_a", "text_b")]
-                held.append(row)
-                if size > 8 << 20:
-                    yield _batch(held, kind)
-                    held, size = [], 0
+                if not len(key):
+                    continue
+                at, times = _runs(key, piece) if kind == "places" else _distinct(key, piece)
+                lengths = count[at] + WIDTH - 1 if kind == "bytes" else np.full(len(at), FLUSH_BYTES // FLUSH_ROWS)
+                # So many rows at a time that they hold no more than is flushed.
+                cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // FLUSH_BYTES)) + 1
+                for rows in np.split(np.arange(len(at)), cuts):
+                    pick = at[rows]
+                    row = [key[pick], piece[pick], count[pick], first[pick] + start, times[rows]]
+                    if kind == "bytes":
+                        ends = np.cumsum(lengths[rows])
+                        take = np.arange(int(ends[-1])) - np.repeat(ends - lengths[rows] - first[pick] - start, lengths[rows])
+                        row += [lengths[rows], data[take]]
+                    elif kind == "places":
+                        row += [np.full(len(pick), batch.column(name)[i].as_py()) for name in ("text_a", "text_b")]
+                    held.append(row)
+                    size += int(lengths[rows].sum())
+                    if size >= FLUSH_BYTES:
+                        yield _batch(held, kind)
+                        held, size = [], 0
         if held:
             yield _batch(held, kind)
 
@@ -139,17 +169,20 @@ def _batch(held: list[list[np.ndarray]], kind: str) -> pa.RecordBatch:
     if kind != "keys":
         out |= {"piece": pa.array(columns[1]), "windows": pa.array(columns[2].astype(np.int32))}
     if kind == "bytes":
-        ends = np.concatenate([[0], np.cumsum(columns[4])]).astype(np.int32)
-        out["bytes"] = pa.Array.from_buffers(pa.binary(), len(columns[0]), [None, pa.py_buffer(ends), pa.py_buffer(columns[5])])
+        ends = np.concatenate([[0], np.cumsum(columns[5])]).astype(np.int32)
+        out["bytes"] = pa.Array.from_buffers(pa.binary(), len(columns[0]), [None, pa.py_buffer(ends), pa.py_buffer(columns[6])])
     if kind == "places":
-        out |= {"first": pa.array(columns[3].astype(np.int64)), "text_a": pa.array(columns[4].astype(np.int64)), "text_b": pa.array(columns[5].astype(np.int64))}
+        out |= {"first": pa.array(columns[3].astype(np.int64)), "times": pa.array(columns[4].astype(np.int64))}
+        out |= {"text_a": pa.array(columns[5].astype(np.int64)), "text_b": pa.array(columns[6].astype(np.int64))}
+    else:
+        out["n"] = pa.array(columns[4].astype(np.int64))
     return pa.RecordBatch.from_pydict(out)
 
 
 ROWS = {
-    "keys": "key long",
-    "bytes": "key long, piece long, windows int, bytes binary",
-    "places": "key long, piece long, windows int, first long, text_a long, text_b long",
+    "keys": "key long, n long",
+    "bytes": "key long, piece long, windows int, bytes binary, n long",
+    "places": "key long, piece long, windows int, first long, times long, text_a long, text_b long",
 }
 JUDGED = "key long, piece long, marks binary"
 
@@ -218,15 +251,14 @@ def _by_window(pieces: DataFrame) -> DataFrame:
 
 
 def repeated_pieces(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, piece, marks) of the pieces with repeated windows, and the filter
-    of anchors that occur twice. ``texts``: data (binary), text_a, text_b."""
+    """(key, piece, marks) of the pieces with repeated windows, and the anchors
+    that occur twice. ``texts``: data (binary), text_a, text_b."""
     keys = texts.mapInArrow(lambda b: _emit(b, "keys"), ROWS["keys"])
-    twice = bit_filter(keys.groupBy("key").count().filter("count > 1"), "key", "anchor-filter")
-    pieces = may_hold(texts.mapInArrow(lambda b: _emit(b, "bytes"), ROWS["bytes"]), "key", twice)
-    pieces = written(
-        pieces.groupBy("key", "piece").agg(F.first("windows").alias("windows"), F.first("bytes").alias("bytes"), F.count("*").alias("n")),
-        "pieces",
-    )
+    twice = keys.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
+    twice = written(twice, "anchors")
+    pieces = reduced(texts.mapInArrow(lambda b: _emit(b, "bytes"), ROWS["bytes"]), twice, ["key"])
+    # Grouped by the bytes themselves: pieces that only share a hash stay apart.
+    pieces = written(pieces.groupBy("key", "piece", "windows", "bytes").agg(F.sum("n").alias("n")), "pieces")
     groups = pieces.groupBy("key").agg(F.count("*").alias("pieces"), F.max("n").alias("most"))
     hot = written(groups.filter(F.col("pieces") > MAX_PIECES).select("key"), "anchors-hot")
     alone = groups.filter((F.col("pieces") > 1) | (F.col("most") > 1)).select("key")
@@ -241,7 +273,8 @@ def _covered(data: np.ndarray, places: list[dict]) -> np.ndarray:
     starts = np.zeros(len(data) + 1, np.int64)
     for place in places:
         marks = np.unpackbits(np.frombuffer(place["marks"], np.uint8))[: place["windows"]]
-        starts[place["first"] : place["first"] + place["windows"]] |= marks
+        first, windows = place["first"], place["windows"] * place["times"]
+        starts[first : first + windows] |= np.tile(marks, place["times"])
     open_ = np.cumsum(starts[:-1])
     before = np.concatenate([np.zeros(min(WIDTH, len(data)), np.int64), open_[:-WIDTH]]) if len(data) else open_
     return open_ - before > 0
@@ -276,11 +309,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     texts = rows.select("data", "text_a", "text_b")
     marks, twice = repeated_pieces(texts)
-    places = may_hold(texts.mapInArrow(lambda b: _emit(b, "places"), ROWS["places"]), "key", twice).distinct()
+    places = reduced(texts.mapInArrow(lambda b: _emit(b, "places"), ROWS["places"]), twice, ["key"]).distinct()
     places = (
         places.join(marks, ["key", "piece"])
         .groupBy("text_a", "text_b")
-        .agg(F.collect_list(F.struct("first", "windows", "marks")).alias("places"))
+        .agg(F.collect_list(F.struct("first", "windows", "times", "marks")).alias("places"))
     )
     # One row a text on the right side, so AQE may split a text that many rows share.
     joined = rows.join(places, ["text_a", "text_b"], "left").select("id", "data", "places")

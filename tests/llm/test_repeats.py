@@ -59,3 +59,33 @@ def test_parts_of_long_texts(frame, monkeypatch):
 
 def test_empty_table(frame):
     assert R.remove_repeats(frame([])).count() == 0
+
+
+def spans_of(text, covered):
+    kept = bytes(b for b, c in zip(text.encode(), covered, strict=True) if not c)
+    spans = sum(c and (not i or not covered[i - 1]) for i, c in enumerate(covered))
+    return len(covered), sum(covered), spans, hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("period", ["a", "abcdefg", "".join(chr(97 + i * i % 26) for i in range(60))])
+def test_texts_that_repeat_themselves(frame, period):
+    size = 5_000_000
+    text = "start " + (period * (size // len(period))) + "#end"
+    row = R.remove_repeats(frame([text])).collect()[0]
+    # all windows that lie in the run repeat; its ends are covered by them
+    covered = [6 <= i < len(text) - 4 for i in range(len(text))]
+    assert tuple(row)[1:5] == spans_of(text, covered)
+
+
+def test_few_rows_for_a_short_period():
+    import pyarrow as pa
+
+    data = b"x" * 300 + b"abcdefg" * 100_000
+    batch = pa.RecordBatch.from_pydict({"data": pa.array([data], pa.binary()), "text_a": [1], "text_b": [2]})
+    for kind in ("keys", "bytes", "places"):
+        rows = pa.Table.from_batches(list(R._emit([batch], kind)))
+        assert rows.num_rows < 1_000
+        counts = rows.column("times" if kind == "places" else "n").to_pylist()
+        windows = rows.column("windows").to_pylist() if kind != "keys" else None
+        if windows:
+            assert sum(n * w for n, w in zip(counts, windows, strict=True)) == len(data) - R.WIDTH + 1
