@@ -92,10 +92,17 @@ GRAM = 3
 
 
 def _grams(text: Column, size: int) -> Column:
-    """The different substrings of ``size`` characters of a text."""
-    last = F.length(text) - size + 1
-    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda start: F.substring(text, start, F.lit(size))))
+    """The different substrings of ``size`` characters of a text. They are put
+    together from its characters: a substring is found by counting from the
+    start, which would make the work the square of the length."""
+
+    def joined(chars: Column) -> Column:
+        last = F.size(chars) - size
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda start: F.concat(*[F.get(chars, start + i) for i in range(size)]))
+
+    grams = F.flatten(F.transform(F.array(F.split(text, "")), joined))
+    return F.filter(F.array_distinct(grams), lambda gram: gram != "")
 
 
 def code_hits_by_table(
