@@ -17,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, codec: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: it cuts the
-    lineage, and a lost executor costs no more than the reader's own tasks."""
+    lineage, and a lost executor costs no more than the reader's own tasks.
+    ``codec``: how to compress it, where it holds most of the input's text."""
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
-    df.write.parquet(path)
+    writer = df.write.option("compression", codec) if codec else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

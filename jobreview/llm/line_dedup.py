@@ -155,7 +155,7 @@ def neighbours(lines: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, near_min_chars: int = NEAR_MIN_CHARS) -> DataFrame:
     """(doc, of, no, near) of every line that goes. ``docs``: doc, text."""
-    lines = written(distinct_lines(docs), "lines")
+    lines = written(distinct_lines(docs), "lines", codec="zstd")
     near = neighbours(lines.filter(F.length("line") >= near_min_chars)).withColumn("near", F.lit(True))
     near = written(near, "line-neighbours")
     # One row a line that goes somewhere, so AQE may split a hot line's places.
