@@ -1,12 +1,16 @@
 """Exact top-k inner products with KD-trees per shard.
 
-Rows are dealt to shards of about ``SHARD_ROWS`` by hash. First every query is
-searched in one shard, which yields a k-th score; then in all other shards,
-with that score as floor: a tree is descended best box first, and given up as
-soon as no box can reach the floor or the shard's own k-th score. Queries meet a
-shard in blocks of a fixed number, so a task holds one shard and one block.
-Comparing a growing share of all rows with all rows is quadratic by its
-definition; the floors only prune it.
+Rows are dealt to cells of space by median splits of a bounded sample, and
+cells of over ``SHARD_ROWS`` rows to several shards by hash, so that equal rows
+fill no shard. First every query is searched in one shard of the cell with the
+highest bound, which yields a k-th score. Then each query goes, with that score
+as floor, only to the cells whose box reaches it: a pair that cannot matter is
+dropped before anything is shuffled. In a shard a tree is descended best box
+first, and given up as soon as no box can reach the floor or the shard's own
+k-th score. Queries meet a shard in blocks, so a task holds one shard and one
+block; a shard is sent once per block of the queries that reach it. Comparing a
+growing share of all rows with all rows is quadratic by its definition; boxes
+and floors only prune it, which vectors without clusters hardly allow.
 
 Defined results: a vector that is null, or holds a null or a component that is
 not finite, takes no part, nor does a null id; rows equal in id and components
@@ -25,6 +29,8 @@ from pyspark.sql.window import Window
 
 from jobreview.llm.common import written
 from jobreview.llm.kdtree import KDTree, exact_dtype
+from jobreview.llm.shard_cells import best_cell, cell_of, fit_boxes, fit_splits, reached_cells
+from jobreview.operators.sizing import broadcast_if_small
 
 SHARD_ROWS = 4096
 QUERY_BLOCK = 1024
@@ -66,19 +72,34 @@ def _search(points: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame
     return pd.DataFrame(out, columns=["query_id", "score", "vec_id"]).astype("int64")
 
 
-def _searched(shards: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The answers of each (shard, block) group. ``shards``: shard, vec_id, vec;
-    ``queries``: shard, block, vec_id, vec, floor. A shard is sent once to each
-    of its blocks."""
-    blocks = queries.select(F.col("shard").alias("of"), F.col("block").alias("block")).distinct()
-    points = shards.join(blocks, F.col("shard") == F.col("of")).select("shard", "block", "vec_id", "vec")
+def _number(count: str, *key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.col(count)).cast("int")
+
+
+def _searched(dealt: DataFrame, asked: DataFrame, cells: DataFrame, query_block: int, k: int) -> DataFrame:
+    """The answers of each (cell, part, block) group. ``dealt``: cell, vec_id,
+    vec; ``asked``: cell, part (null: all parts of the cell), vec_id, vec,
+    floor, and ``home``, a part to leave out; ``cells``: cell, parts. Queries
+    are dealt to blocks by their number in each cell."""
+    blocks = asked.groupBy("cell").agg(F.ceil(F.count("*") / query_block).alias("blocks"))
+    sent = broadcast_if_small(written(blocks.join(cells, "cell"), "topk-blocks"))
+    points = dealt.join(sent, "cell").withColumn("part", _number("parts", "vec_id", "vec"))
+    points = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    points = points.select("cell", "part", "block", "vec_id", "vec")
+    every = F.sequence(F.lit(0), F.col("parts").cast("int") - 1)
+    queries = (
+        asked.join(sent, "cell")
+        .withColumn("at", F.explode(F.when(F.col("part").isNull(), every).otherwise(F.array("part"))))
+        .filter(F.col("home").isNull() | (F.col("at") != F.col("home")))
+        .withColumn("block", _number("blocks", "vec_id"))
+        .select("cell", F.col("at").alias("part"), "block", "vec_id", "vec", "floor")
+    )
 
     def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         return _search(points, queries, k)
 
-    keys = ("shard", "block")
-    asked = queries.select(*[F.col(c).alias(c) for c in queries.columns])
-    return points.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, FOUND)
+    keys = ("cell", "part", "block")
+    return points.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(run, FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -101,37 +122,39 @@ def top_k(
         scaled(F.col(f"`{vector_col}`")).alias("vec"),
         F.coalesce(is_query, F.lit(False)).alias("is_query"),
     )
-    rows = rows.filter("vec_id IS NOT NULL AND vec IS NOT NULL").distinct()
-    rows = written(rows, "vectors")
-    sizes = {r["size"]: r["count"] for r in rows.groupBy(F.size("vec").alias("size")).count().collect()}
-    n_shards = F.lit(1)
-    for size, count in sizes.items():
-        n_shards = F.when(F.size("vec") == size, F.lit(-(-count // shard_rows))).otherwise(n_shards)
-    number = F.pmod(F.xxhash64("vec_id", "vec"), n_shards)
-    shards = rows.select(F.struct(F.size("vec").alias("size"), number.alias("number")).alias("shard"), "vec_id", "vec", "is_query")
-    queries = shards.filter("is_query").drop("is_query")
-    shards = shards.drop("is_query")
-    nothing = F.lit(None).cast("long").alias("floor")
-    home = queries.select("shard", F.lit(0).alias("block"), "vec_id", "vec", nothing)
-    first = written(_best(_searched(shards, home, k), k), "topk-first")
-    # A floor needs k answers; with fewer, nothing may be left out.
-    floors = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    floors = floors.groupBy("vec_id").agg(F.min("floor").alias("floor"))
-    away = (
-        queries.join(floors, "vec_id", "left")
-        .withColumn("n", n_shards)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .filter(F.col("other") != F.col("shard.number"))
+    valid = rows.filter("vec_id IS NOT NULL AND vec IS NOT NULL")
+    rows = valid.distinct()
+    dealt = written(rows.withColumn("cell", cell_of(fit_splits(valid, shard_rows), F.col("vec"))), "vectors")
+    boxes = fit_boxes(dealt)
+    cells = dealt.groupBy("cell").agg(F.ceil(F.count("*") / shard_rows).alias("parts"))
+    cells = written(cells, "topk-cells")
+    queries = dealt.filter("is_query").select("vec_id", "vec")
+    points = dealt.select("cell", "vec_id", "vec")
+
+    home = queries.withColumn("cell", best_cell(boxes, F.col("vec"), k)).join(broadcast_if_small(cells), "cell")
+    home = home.select(
+        "cell", _number("parts", "vec_id").alias("part"), F.lit(None).cast("int").alias("home"), "vec_id", "vec"
     )
-    n_blocks = F.lit(max(1, -(-queries.count() // query_block)))
-    away = away.select(
-        F.struct(F.col("shard.size").alias("size"), F.col("other").cast("long").alias("number")).alias("shard"),
-        F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int").alias("block"),
+    home = written(home, "topk-home")
+    none = F.lit(None).cast("long").alias("floor")
+    first = written(_best(_searched(points, home.withColumn("floor", none), cells, query_block, k), k), "topk-first")
+    # A floor needs k answers; with fewer, nothing may be left out. The least
+    # score there is may stand for lower ones that were cut.
+    floors = first.filter((F.col("rank") == k) & (F.col("score") > -LONG))
+    floors = floors.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("floor"))
+    reach = home.select(F.col("cell").alias("home_cell"), F.col("part").alias("home_part"), "vec_id", "vec")
+    reach = reach.join(floors, "vec_id", "left")
+    reach = written(reach.withColumn("cells", reached_cells(boxes, F.col("vec"), F.col("floor"))), "topk-reach")
+    away = reach.withColumn("cell", F.explode("cells")).select(
+        "cell",
+        F.lit(None).cast("int").alias("part"),
+        F.when(F.col("cell") == F.col("home_cell"), F.col("home_part")).alias("home"),
         "vec_id",
         "vec",
         "floor",
     )
-    found = first.select("query_id", "score", "vec_id").unionByName(_searched(shards, away, k))
+    found = first.select("query_id", "score", "vec_id")
+    found = found.unionByName(_searched(points, away, cells, query_block, k))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

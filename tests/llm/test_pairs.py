@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from jobreview.llm import near_dups, topk
+from jobreview.llm import near_dups, shard_cells, topk
 from jobreview.llm.components import components
 from jobreview.llm.kdtree import KDTree
 
@@ -130,3 +130,58 @@ def test_top_k_equals_brute_force(spark):
         expected = [(k + 1, i, max(-limit, min(limit, -s))) for k, (s, i) in enumerate(scores[:5])]
         assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == expected
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def exact_answers(rows, k=5):
+    good = {i: np.floor(256 * np.asarray(v)).astype(int) for i, v in rows}
+    ids = np.array(sorted(good))
+    points = np.array([good[i] for i in ids])
+    out = {}
+    for q in ids[ids % 50 == 0]:
+        scores = points @ good[q]
+        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:k]
+        out[int(q)] = [(int(ids[i]), int(scores[i])) for i in order]
+    return out
+
+
+def answers(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return out
+
+
+@pytest.mark.parametrize("sample", [1 << 22, 600, 1])
+def test_top_k_with_cells_from_a_sample_and_a_hot_vector(spark, monkeypatch, sample):
+    """Cells fit on all rows, on some, on none; a third of the rows are equal."""
+    from pyspark.sql import functions as F
+
+    fit = shard_cells.fit_splits
+    monkeypatch.setattr(topk, "fit_splits", lambda rows, n: fit(rows, n, sample))
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.normal(size=5) + 6 * (i % 4)]) for i in range(800)]
+    rows += [(i, rows[3][1]) for i in range(800, 1200)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = vectors.withColumns({name: F.lit(1) for name in ("cell", "part", "block", "vec", "floor")})
+    found = topk.top_k(vectors, F.col("vec_id") % 50 == 0, shard_rows=60, query_block=3)
+    assert answers(found) == exact_answers(rows)
+
+
+def test_queries_go_only_to_shards_whose_box_reaches_their_floor(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(16, 8)) * 40
+    rows = [(i, [float(x) for x in centres[i % 16] + rng.normal(size=8)]) for i in range(3200)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    dealt = vectors.select("vec_id", topk.scaled(F.col("embedding")).alias("vec"))
+    splits = shard_cells.fit_splits(dealt, 200)
+    dealt = dealt.withColumn("cell", shard_cells.cell_of(splits, F.col("vec")))
+    sizes = [r["count"] for r in dealt.groupBy("cell").count().collect()]
+    assert sum(sizes) == 3200 and max(sizes) <= 200
+    boxes = shard_cells.fit_boxes(dealt)
+    fifth = {q: found[-1][1] for q, found in exact_answers(rows).items()}
+    floors = spark.createDataFrame(list(fifth.items()), "vec_id long, floor long")
+    cells = shard_cells.reached_cells(boxes, F.col("vec"), F.col("floor"))
+    reached = dealt.join(floors, "vec_id").select(F.size(cells).alias("n")).agg(F.sum("n")).first()[0]
+    assert len(fifth) <= reached < len(fifth) * len(sizes) / 4
