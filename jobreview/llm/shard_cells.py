@@ -2,8 +2,9 @@
 
 Every row is dealt to the cell its components lie in. A cell has one box around
 all of its rows, so that a query is sent only to cells whose box can reach its
-floor. Splits and boxes hold at most ``SAMPLE_NUMBERS / LEAF_SAMPLE`` numbers a
-side, whatever the table holds: they travel with the tasks. Vectors of a length
+floor. Splits and boxes hold no more numbers a side than the sample, about
+``SAMPLE_NUMBERS`` whatever the table holds (a ``LEAF_SAMPLE``-th of it where few
+components tie): they travel with the tasks. Vectors of a length
 that the sample lacks are one cell without a box, which every query of that
 length reaches.
 """
