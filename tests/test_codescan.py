@@ -14,6 +14,7 @@ from jobreview.operators.codescan import (
     review_comments,
     route_comments,
 )
+from jobreview.plans import queries
 
 
 def files(spark, *texts):
@@ -89,3 +90,15 @@ def test_rule_table_equals_plain_search(spark):
     assert {(r.filename, r.pattern, r.line) for r in rows} == expected and len(rows) == len(expected)
     assert code_hits_by_table(files, rules.limit(0)).count() == 0
     assert "NestedLoop" not in plan_of(hits) and "Cartesian" not in plan_of(hits)
+
+
+def test_gated_comments_need_no_run_info(spark, tmp_path):
+    """Order 31 has resolved runs, but its run info is malformed; order 13 has no
+    analysis, so no run of it is resolved."""
+    columns = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    orders = [(k, 7, "O", 1.5, "1-URGENT") for k in (13, 31, 32)]
+    documents = [(k, "The first\nLicense") for k in (13, 31, 32)]
+    spark.createDataFrame(orders, columns).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.registry()["code_comments_gated"](spark, str(tmp_path)).collect()
+    assert sorted((r.pr_id, r.line) for r in rows) == [(31, 1), (31, 2), (32, 1), (32, 2)]
