@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,21 +91,67 @@ def _file_hits(source: Column, rules: Column) -> Column:
     return F.flatten(F.transform(split_once, file_hits))
 
 
-GRAM = 3
-
-
-def _grams(text: Column, size: int) -> Column:
-    """The different substrings of ``size`` characters of a text. They are put
-    together from its characters: a substring is found by counting from the
-    start, which would make the work the square of the length."""
-
-    def joined(chars: Column) -> Column:
-        last = F.size(chars) - size
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda start: F.concat(*[F.get(chars, start + i) for i in range(size)]))
-
-    grams = F.flatten(F.transform(F.array(F.split(text, "")), joined))
-    return F.filter(F.array_distinct(grams), lambda gram: gram != "")
+# Windows of up to seven bytes fit into a long together with their size.
+GRAM = 7
+# The most windows of rules that travel to the tasks: eight bytes each.
+MAX_KNOWN = 1 << 20
+# Positions of a batch of texts that are looked at together.
+POSITIONS = 1 << 18
+
+
+def _found_windows(data: np.ndarray, size: int, known: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and codes of the windows of ``size`` bytes, of the ``known`` ones
+    (sorted) only if they are given."""
+    if known is not None:
+        # A small table of bits passes over almost every other window.
+        fold, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
+        bits = np.zeros(1 << 20, bool)
+        bits[known * fold >> shift] = True
+    for start in range(0, len(data) - size + 1, POSITIONS):
+        part = data[start : start + POSITIONS + size - 1]
+        n = len(part) - size + 1
+        codes = np.full(n, size << 56, np.uint64)
+        for i in range(size):
+            codes |= part[i : i + n].astype(np.uint64) << np.uint64(8 * i)
+        places = np.arange(n) if known is None else np.flatnonzero(bits[codes * fold >> shift])
+        if known is not None:
+            at = np.minimum(np.searchsorted(known, codes[places]), len(known) - 1)
+            places = places[known[at] == codes[places]]
+        yield places + start, codes[places]
+
+
+def text_grams(texts: pa.Array, sizes: Sequence[int], known: np.ndarray | None = None) -> pa.Array:
+    """Per text its different windows of each of ``sizes`` bytes of UTF-8."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(texts):
+        return pa.array([], pa.list_(pa.int64()))
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    ends = offsets[1:] - offsets[0]
+    rows, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for size in sizes:
+        some = None if known is None else known[known >> np.uint64(56) == size]
+        for places, found in _found_windows(data, size, some):
+            row = np.searchsorted(ends, places, "right")
+            inside = places + size <= ends[row]
+            rows.append(row[inside])
+            codes.append(found[inside])
+    rows, codes = np.concatenate(rows), np.concatenate(codes).view(np.int64)
+    order = np.lexsort((codes, rows))
+    rows, codes = rows[order], codes[order]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1])
+    counts = np.bincount(rows[first], minlength=len(texts))
+    starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts), pa.array(codes[first]))
+
+
+def _grams(text: Column, sizes: Sequence[int], known: np.ndarray | None = None) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def grams(texts: pa.Array) -> pa.Array:
+        return text_grams(texts, sizes, known)
+
+    return grams(text)
 
 
 def code_hits_by_table(
@@ -110,28 +159,32 @@ def code_hits_by_table(
     rules: DataFrame,
     text: str = "text",
     file_key: Sequence[str] = ("pr_id", "commit_id", "filename"),
+    max_known: int = MAX_KNOWN,
 ) -> DataFrame:
     """``code_hits`` for a table of many rules: ``pattern, advice``.
 
     An index of n-grams finds the files in which a pattern may stand: of each
-    pattern the n-gram (three characters, or the whole of a shorter pattern) that
-    the fewest files hold is joined to the n-grams of the files. Only those files
-    are searched, each for its own candidates. Rules without a pattern match
-    nothing. ``file_key`` tells files apart.
+    pattern the n-gram (seven bytes, or the whole of a shorter pattern) that the
+    fewest files hold is joined to the n-grams of the files. Only those files are
+    searched, each for its own candidates. Texts are read once for their n-grams,
+    and only those of some rule are kept: they travel to the tasks up to
+    ``max_known``; beyond that a key filter does the same. Rules without a
+    pattern match nothing. ``file_key`` tells files apart.
     """
     key = list(file_key)
     rules = staged(rules.select("pattern", "advice").filter(F.col("pattern") != "").distinct(), "rules")
-    size = F.least(F.length("pattern"), F.lit(GRAM))
-    by_size = F.when(size == 1, _grams(F.col("pattern"), 1)).when(size == 2, _grams(F.col("pattern"), 2))
-    of_rule = rules.select("pattern", "advice", F.explode(by_size.otherwise(_grams(F.col("pattern"), GRAM))).alias("gram"))
-    of_rule = staged(of_rule, "rule-grams")
+    size = F.least(F.octet_length("pattern"), F.lit(GRAM))
+    sizes = sorted(row["n"] for row in rules.select(size.alias("n")).distinct().collect())
+    of_size = [F.when(size == n, _grams(F.when(size == n, F.col("pattern")), [n])) for n in sizes]
+    grams = F.coalesce(*of_size, F.array().cast("array<bigint>"))
+    of_rule = staged(rules.select("pattern", "advice", F.explode(grams).alias("gram")), "rule-grams")
     known = staged(of_rule.select("gram").distinct(), "grams")
-    sizes = [row["n"] for row in known.select(F.length("gram").alias("n")).distinct().collect()]
-    if not sizes:
-        sizes = [GRAM]
-    grams = F.flatten(F.array(*[_grams(F.col(text), n) for n in sorted(sizes)]))
-    of_file = files.select(*key, F.explode(grams).alias("gram"))
-    counts = reduced(of_file.select("gram"), known, ["gram"]).groupBy("gram").count()
+    few = known.count() <= max_known
+    codes = np.sort(known.toArrow().column("gram").to_numpy().view(np.uint64)) if few else None
+    in_text = _grams(F.col(text), sizes, codes)
+    of_file = files.select(*key, F.explode(in_text).alias("gram"))
+    of_file = staged(of_file if few else reduced(of_file, known, ["gram"]), "file-grams")
+    counts = of_file.groupBy("gram").count()
     counted = of_rule.join(counts, "gram", "left").fillna(0, ["count"])
     rarest = counted.groupBy("pattern", "advice").agg(F.min(F.struct("count", "gram")).alias("least"))
     # A gram that no file holds rules its patterns out.

@@ -2,9 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from plan_text import plan_of
 from pyspark.sql import functions as F
 
+from jobreview.operators import codescan
 from jobreview.operators.codescan import (
     RULES,
     changed_files,
@@ -15,6 +19,7 @@ from jobreview.operators.codescan import (
     route_comments,
 )
 from jobreview.plans import queries
+from jobreview.session import staged
 
 
 def files(spark, *texts):
@@ -92,6 +97,40 @@ def test_rule_table_equals_plain_search(spark):
     assert "NestedLoop" not in plan_of(hits) and "Cartesian" not in plan_of(hits)
 
 
+@pytest.mark.parametrize("max_known", [0, 1 << 20])
+def test_rule_table_keeps_only_the_windows_of_rules(spark, tmp_path, monkeypatch, max_known):
+    """The index over the files holds a window of a rule where it stands, and no
+    others; the files are read for it once."""
+    stored = {}
+
+    def kept(df, purpose):
+        assert purpose not in stored
+        stored[purpose] = staged(df, purpose)
+        return stored[purpose]
+
+    monkeypatch.setattr(codescan, "staged", kept)
+    rows = [(1, "c", "a", "one two three é\nthree"), (1, "c", "b", "abcdef bcdefg cdefgh"), (1, "c", "d", None)]
+    files = spark.createDataFrame(rows, "pr_id long, commit_id string, filename string, text string")
+    rules = spark.createDataFrame([(p, "x") for p in ("é", "three é", "abcdefgh", "ee")], "pattern string, advice string")
+    hits = code_hits_by_table(files, rules, max_known=max_known).collect()
+    assert sorted((r.filename, r.pattern, r.line) for r in hits) == [("a", "ee", 1), ("a", "ee", 2), ("a", "three é", 1), ("a", "é", 1)]
+    windows = sorted(r.filename for r in stored["file-grams"].collect())
+    assert windows == ["a"] * 4  # "é", "ee", and the two windows of "three é"
+
+
+def test_windows_equal_those_of_each_text(monkeypatch):
+    monkeypatch.setattr(codescan, "POSITIONS", 5)
+    texts = ["abcabcabc", None, "", "é1é1é1", "x", "abcdefgh" * 3, "cab"]
+    expected = [
+        {(w << 56) | int.from_bytes(d[i : i + w], "little") for w in (1, 3, 7) for i in range(len(d) - w + 1)}
+        for d in ((t or "").encode() for t in texts)
+    ]
+    whole = pa.array([None, *texts]).slice(1)
+    assert [set(x) for x in codescan.text_grams(whole, [1, 3, 7]).to_pylist()] == expected
+    some = np.array(sorted(expected[0])[::2], np.uint64)
+    assert [set(x) for x in codescan.text_grams(whole, [1, 3, 7], some).to_pylist()] == [e & set(some.tolist()) for e in expected]
+
+
 def test_gated_comments_need_no_run_info(spark, tmp_path):
     """Order 31 has resolved runs, but its run info is malformed; order 13 has no
     analysis, so no run of it is resolved."""
