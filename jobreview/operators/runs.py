@@ -46,7 +46,10 @@ def run_refs_from_text(
     cleaned = pull_requests.select("pr_id", clean_description(F.col(text)).alias("_text"))
     urls = F.regexp_extract_all("_text", F.lit(RUN_URL), F.lit(0))
     found = cleaned.select("pr_id", F.posexplode(urls).alias("pos", "_url"))
-    refs = found.select("pr_id", "pos", *_ids("_url"))
+    # A URL found is one match, and its ids are digits: one pattern reads all three.
+    groups = "_".join(f"${group}" for group in ID_GROUPS.values())
+    listed = found.select("pr_id", "pos", F.split(F.regexp_replace("_url", RUN_URL, groups), "_").alias("_ids"))
+    refs = listed.select("pr_id", "pos", *[F.get("_ids", F.lit(i)).alias(name) for i, name in enumerate(ID_GROUPS)])
     if dedupe:
         refs = refs.groupBy("pr_id", *ID_GROUPS).agg(F.min("pos").alias("pos"))
         refs = refs.select("pr_id", "pos", *ID_GROUPS)
