@@ -87,5 +87,7 @@ def shown_instances(insights: Column, *, strict: bool = False) -> Column:
             *[instance[name].alias(name) for name in ("title", "events", "actions")],
         )
 
-    visible = F.filter(instances, lambda instance: is_shown(instance["key"]))
-    return F.filter(F.transform(visible, labelled), lambda card: card["label"].isNotNull())
+    if strict:
+        return F.transform(F.filter(instances, lambda instance: is_shown(instance["key"])), labelled)
+    # The report key has no label, so that the known keys are all shown.
+    return F.transform(F.filter(instances, lambda instance: instance["key"].isin(*LABELS)), labelled)
