@@ -71,12 +71,16 @@ def is_flat_list(html: Column) -> Column:
     """True if pattern matching reads the list items exactly as a parser would:
     one match per item, and nothing hard within the items. The rest of the text
     may hold what it likes, but for what could swallow an item."""
-    read = _read_part(html)
-    one_match_per_item = F.regexp_count(read, F.lit(LIST_ITEM_OPEN)) == F.regexp_count(
-        read, F.lit(LIST_ITEM)
-    )
-    hard = F.exists(_items(read), lambda item: item.rlike(NEEDS_WALK))
-    return one_match_per_item & ~read.rlike(SWALLOWS) & ~hard
+
+    def flat(read: Column) -> Column:
+        one_match_per_item = F.regexp_count(read, F.lit(LIST_ITEM_OPEN)) == F.regexp_count(
+            read, F.lit(LIST_ITEM)
+        )
+        hard = F.exists(_items(read), lambda item: item.rlike(NEEDS_WALK))
+        return one_match_per_item & ~read.rlike(SWALLOWS) & ~hard
+
+    # A one-element transform evaluates the part that is read once.
+    return F.get(F.transform(F.array(_read_part(html)), flat), F.lit(0))
 
 
 def flat_list_bullets(html: Column) -> Column:
@@ -290,5 +294,10 @@ def bullets_if_lists(texts: Column, *, any_html: bool = True) -> Column:
     native = F.transform(texts, lambda text: bullets_if_list(text, any_html=False))
     if not any_html:
         return native
+    return F.coalesce(_parsed_texts(F.when(need_parser(texts), texts)), native)
+
+
+def need_parser(texts: Column) -> Column:
+    """True if a text of the array holds a list that patterns cannot read exactly."""
     hard = F.exists(texts, lambda text: text.contains("<li>") & ~is_flat_list(text))
-    return F.coalesce(_parsed_texts(F.when(hard, texts)), native)
+    return F.coalesce(hard, F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobreview.functions.templates import fill, shown
-from jobreview.functions.text import bullets_if_lists
+from jobreview.functions.text import bullets_if_lists, need_parser
 from jobreview.operators.insights import shown_instances
 from jobreview.operators.sizing import broadcast_if_small
 from jobreview.operators.summary import MARKDOWN_LINK, WIKI_LINK, summary_fields
@@ -123,10 +123,13 @@ def markdown_block(brand: Brand, *, strict: bool = False) -> Column:
 
 def wiki_block(brand: Brand) -> Column:
     """The same in wiki markup, from columns of ``with_wiki_cards``."""
+    return F.concat(_wiki_start(brand), insight_section(brand, F.zip_with("_cards", "_actions", wiki_card)))
+
+
+def _wiki_start(brand: Brand) -> Column:
     return F.concat(
         fill(WIKI_HEAD, brand=brand.name, **_run_columns()),
         fill(WIKI_SUMMARY, table=wiki_table(summary_fields(WIKI_LINK))),
-        insight_section(brand, F.zip_with("_cards", "_actions", wiki_card)),
     )
 
 
@@ -138,6 +141,31 @@ def with_wiki_cards(runs: DataFrame, *, strict: bool = False, any_html: bool = T
     return shown_cards.withColumn("_actions", actions)
 
 
+def _wiki_blocks(runs: DataFrame, brand: Brand, *, strict: bool, any_html: bool) -> DataFrame:
+    """``pr_id, pos, block, chars`` of each run, stored. Only the runs whose
+    actions need the HTML parser go through it: of these the cards are stored
+    first, and the texts afterwards."""
+    carded = with_wiki_cards(runs, strict=strict, any_html=False)
+    if not any_html:
+        return _stored(carded.select("pr_id", "pos", wiki_block(brand).alias("block")))
+    hard = carded.withColumn("_hard", need_parser(F.col("_cards.actions")))
+    section = insight_section(brand, F.zip_with("_cards", "_actions", wiki_card))
+    block = F.concat(_wiki_start(brand), F.when(F.col("_hard"), "").otherwise(section))
+    cards = F.when(F.col("_hard"), F.col("_cards")).alias("_cards")
+    first = staged(hard.select("pr_id", "pos", block.alias("block"), cards), "wiki-blocks")
+    done = first.filter(F.col("_cards").isNull()).select("pr_id", "pos", "block", F.length("block").alias("chars"))
+    parsed = first.filter(F.col("_cards").isNotNull())
+    if parsed.isEmpty():
+        return done
+    parsed = parsed.withColumn("_actions", bullets_if_lists(F.col("_cards.actions")))
+    # Whoever has cards has insights.
+    section = F.concat(
+        F.lit(INSIGHTS_HEADING.format(brand=brand.name)),
+        F.array_join(F.zip_with("_cards", "_actions", wiki_card), ""),
+    )
+    return done.unionByName(_stored(parsed.select("pr_id", "pos", F.concat("block", section).alias("block"))))
+
+
 def _stored(blocks: DataFrame) -> DataFrame:
     """The blocks as a table: their texts are made once, their sizes read apart."""
     return staged(blocks.select("pr_id", "pos", "block", F.length("block").alias("chars")), "report-blocks")
@@ -152,8 +180,9 @@ def _part_starts(sizes: DataFrame, part_chars: int, positions_per_step: int) ->
     steps bound what one task sorts, and change nothing else.
     """
     large = sizes.groupBy("pr_id").agg(F.sum("chars").alias("total")).filter(F.col("total") > part_chars)
+    large = broadcast_if_small(staged(large.select("pr_id"), "large-reports"))
     step = F.floor(F.greatest(F.col("pos"), F.lit(0)) / positions_per_step)
-    stepped = sizes.join(large.select("pr_id"), "pr_id", "left_semi").withColumn("_step", step)
+    stepped = sizes.join(large, "pr_id", "left_semi").withColumn("_step", step)
     totals = stepped.groupBy("pr_id", "_step").agg(F.sum("chars").alias("_total"))
     along = Window.rowsBetween(Window.unboundedPreceding, -1)
     above = F.sum("_total").over(along.partitionBy("pr_id").orderBy("_step"))
@@ -239,10 +268,9 @@ def wiki_reports(
     the runs are looked up once. ``any_html=False`` leaves the HTML parser out,
     where all action lists are flat.
     """
-    carded = with_wiki_cards(runs, strict=strict, any_html=any_html)
-    stored = _stored(carded.select("pr_id", "pos", wiki_block(brand).alias("block")))
+    stored = _wiki_blocks(runs, brand, strict=strict, any_html=any_html)
     reviewed = pull_requests.join(stored.select("pr_id").distinct().hint("merge"), "pr_id")
-    preambles = wiki_preambles(reviewed, brand).withColumn("chars", F.length("block"))
+    preambles = _stored(wiki_preambles(reviewed, brand))
     return _assembled(stored.unionByName(preambles), part_chars, positions_per_step)
 
 

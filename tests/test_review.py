@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from jobreview.operators import insights, reports, runs, summary
 from jobreview.operators.reports import Brand, assemble_reports
 from jobreview.plans.review import missing_runs, review_landed, review_pull_requests
+from jobreview.session import staged
 from jobreview.sources import responses, schemas
 
 URL = "https://adb-12.3.azuredatabricks.net/?o=12#job/{}/run/{}"
@@ -491,3 +492,26 @@ def test_landing_splits_in_one_scan(spark, tmp_path):
     assert rows['{"k": "3", "resp'].state == "malformed"
     assert sorted(r.state for r in rows.values()) == ["accepted", "malformed", "malformed", "malformed", "refused"]
     assert plan_of(responses.landed_bodies(spark, str(tmp_path), ["k"])).count("Scan") == 1
+
+
+def test_ids_of_a_reference_are_read_by_one_pattern(spark):
+    refs = runs.run_refs_from_text(descriptions(spark, URL.format(1, 2)))
+    assert "regexp_extract(" not in plan_of(refs)
+
+
+def test_flat_lists_need_no_parser_and_small_reports_no_second_shuffle(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, purpose):
+        plans.setdefault(purpose, []).append(plan_of(df))
+        return staged(df, purpose)
+
+    monkeypatch.setattr(reports, "staged", kept)
+    flat = [{"categories": {"c": {"instances": [instance("SLA", actions="<ul><li>a</li></ul>")]}}}]
+    resolved = runs.resolve_runs(runs.run_refs_from_text(single_run(spark)), *landed(spark, json.dumps(RUN_INFO), flat))
+    summarised = summary.with_app_summary(resolved, BASE)
+    assert "- a\t|" in reports.wiki_reports(summarised, single_run(spark), BRAND).first().report
+    assert not any("ArrowEvalPython" in plan for stored in plans.values() for plan in stored)
+    # The preambles are looked up once; sizes meet the large reports by a broadcast.
+    assert len(plans["report-blocks"]) == 1
+    assert "large-reports" in plans and "BroadcastHashJoin" in plans["report-parts"][0]
