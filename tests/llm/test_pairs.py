@@ -185,3 +185,29 @@ def test_queries_go_only_to_shards_whose_box_reaches_their_floor(spark):
     cells = shard_cells.reached_cells(boxes, F.col("vec"), F.col("floor"))
     reached = dealt.join(floors, "vec_id").select(F.size(cells).alias("n")).agg(F.sum("n")).first()[0]
     assert len(fifth) <= reached < len(fifth) * len(sizes) / 4
+
+
+def test_pairs_do_not_depend_on_batches(monkeypatch):
+    """Lists cut by batches, and few pairs at a time, give the same pairs."""
+    import pyarrow as pa
+
+    from jobreview.llm import sketch_pairs
+
+    rng = np.random.default_rng(4)
+    names = ("key", "i", "j", "own", "at", "n", "a", "b", "root", "sketch")
+    rows = []
+    for key in range(12):
+        base = np.sort(rng.integers(-(2**31), 2**31 - 1, 256))
+        for node in range(1 + key % 5):
+            rows.append((key, 0, key % 2, node % 2 if key % 2 else 0, int(base[0]), 400, 9 - node, key, node, base.tolist()))
+    kinds = [pa.int64()] * 9 + [pa.list_(pa.int32())]
+    table = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    expected = sorted(
+        tuple(x for r in sorted((rows[x], rows[y]), key=lambda r: r[6:8]) for x in r[6:8])
+        for y in range(len(rows)) for x in range(y)
+        if rows[x][0] == rows[y][0] and (rows[x][0] % 2 == 0 or rows[x][3] != rows[y][3])
+    )
+    for size, pairs in ((100, 1 << 19), (3, 2), (1, 1)):
+        monkeypatch.setattr(sketch_pairs, "PAIRS", pairs)
+        out = pa.Table.from_batches(list(sketch_pairs.compared(iter(table.to_batches(size)), 80)))
+        assert sorted(tuple(r.values()) for r in out.to_pylist()) == expected
