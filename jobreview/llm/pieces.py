@@ -10,8 +10,9 @@ its own, the same seed gives the same pieces on any cluster, and no state is
 shared. Only without dropout are equal words segmented once. If ``variants`` is
 a number, each place is dealt one of so many draws of its word instead.
 
-Agendas of all words of a batch run in step, as arrays; one much longer word
-takes a heap of its own (``segment_word``, the definition).
+Agendas of all words of a batch run in step, as arrays of words of about one
+length, in which a round touches the merged symbols and their neighbours only;
+one much longer word takes a heap of its own (``segment_word``, the definition).
 
 Decoding gives back the text exactly. The model's own encoder would write both
 a space and U+2581 as U+2581; here a literal U+2581 is written in byte pieces.
@@ -27,7 +28,9 @@ import numpy as np
 MARK = "▁"
 LONG_WORD = 512
 SEGMENT_CHARS = 2_000_000
+BLOCK_SYMBOLS = 1 << 16
 NONE = 1 << 30
+GONE = -NONE  # no symbol: merged into another, or outside the word
 SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
 SLOT_MIX = 0x9E3779B97F4A7C15
@@ -55,6 +58,7 @@ def mix_array(x: np.ndarray) -> np.ndarray:
 
 # Odd multipliers keep start, middle and end of a candidate apart.
 _START, _MIDDLE, _END = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xF1357AEA2E62A9C5
+_START64, _MIDDLE64, _END64 = np.array([_START, _MIDDLE, _END], np.uint64).view(np.int64)
 _PLACE = 0x9E6C63D0876A9A47
 
 
@@ -64,7 +68,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
-    return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
+    return np.arange(total) + np.repeat(starts - ends + lengths, lengths)
 
 
 def offsets(lengths: np.ndarray) -> np.ndarray:
@@ -80,7 +84,6 @@ class PieceModel:
     slot_key: np.ndarray  # open addressing by left * n + right, -1 where empty
     slot_merged: np.ndarray
     slot_rank: np.ndarray  # equal scores have equal ranks
-    probes: int  # the longest chain
     byte_ids: np.ndarray
     bytes_flat: np.ndarray  # what each piece decodes to
     bytes_start: np.ndarray
@@ -120,20 +123,17 @@ class PieceModel:
             if piece[:k] in normal and piece[k:] in normal
         )
         slots = [np.full(SLOTS, fill, np.int64) for fill in (-1, 0, NONE)]
-        probes = 1
         for key, merged, rank in pairs:
-            at, steps = slot_of(key), 1
+            at = slot_of(key)
             while slots[0][at] >= 0:
-                at, steps = (at + 1) % SLOTS, steps + 1
+                at = (at + 1) % SLOTS
             slots[0][at], slots[1][at], slots[2][at] = key, merged, rank
-            probes = max(probes, steps)
         lengths = np.array([len(b) for b in decoded], np.int64)
         return cls(
             symbol_of,
             slots[0],
             slots[1].astype(np.int32),
             slots[2].astype(np.int32),
-            probes,
             byte_ids,
             np.frombuffer(b"".join(decoded), np.uint8),
             offsets(lengths)[:-1],
@@ -141,24 +141,25 @@ class PieceModel:
             n,
         )
 
-    def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merged piece and rank of each pair; rank ``NONE`` without one."""
+    def slots(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the pairs that merge, and the positions of these pairs."""
+        right = right.astype(np.int64)
         key = left.astype(np.int64) * self.n + right
-        key[(left < 0) | (right < 0)] = -2
-        at = ((key.astype(np.uint64) * np.uint64(SLOT_MIX)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        key |= right >> 63  # negative if one of the symbols is
+        at = ((key.view(np.uint64) * np.uint64(SLOT_MIX)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
         found = self.slot_key[at]
-        open_ = np.flatnonzero((found != key) & (found >= 0) & (key >= 0))
-        for _ in range(self.probes):
-            if not len(open_):
-                break
+        known = key >= 0
+        open_ = np.flatnonzero((found != key) & (found >= 0) & known)
+        while len(open_):
             at[open_] = (at[open_] + 1) % SLOTS
             found[open_] = self.slot_key[at[open_]]
             open_ = open_[(found[open_] != key[open_]) & (found[open_] >= 0)]
-        return self.slot_merged[at], np.where(found == key, self.slot_rank[at], np.int32(NONE))
+        merge = np.flatnonzero((found == key) & known)
+        return at[merge], merge
 
     def pair(self, left: int, right: int) -> tuple[int, int] | None:
-        merged, rank = self.lookup(np.array([left]), np.array([right]))
-        return (int(merged[0]), int(rank[0])) if rank[0] < NONE else None
+        slot, _ = self.slots(np.array([left]), np.array([right]))
+        return (int(self.slot_merged[slot[0]]), int(self.slot_rank[slot[0]])) if len(slot) else None
 
 
 class SegmentCache:
@@ -225,59 +226,85 @@ def segment_word(model: PieceModel, symbols: list[int], key: int, limit: int) ->
 
 
 def segment_words(
-    model: PieceModel, sym: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int
+    model: PieceModel, sym: np.ndarray, first: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """The agendas of many words in step: one merge of each word a round.
-    Returns all symbols and their number by word."""
+    """The agendas of many words in step: one merge of each word a round. The
+    words lie in ``sym`` from ``first`` on, the shorter ones before the longer
+    ones. Returns all symbols and their number by word."""
     if limit > MASK:  # every candidate is skipped
-        return sym, lengths
-    first = offsets(lengths)[:-1]
-    word = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    start = (np.arange(len(sym)) - first[word]).astype(np.int32)
-    end = start + np.int32(1)
-    sym = sym.astype(np.int32)
-    floor = np.uint64(limit)
-
-    def ranks(i: np.ndarray) -> np.ndarray:
-        """Rank of the candidates whose left symbol stands at ``i``."""
-        j = np.minimum(i + 1, len(sym) - 1)
-        rank = model.lookup(sym[i], sym[j])[1]
-        rank[(word[i] != word[j]) | (j == i)] = NONE
-        if floor:
-            c = np.flatnonzero(rank < NONE)
-            a, b = i[c], j[c]
-            place = (
-                start[a].astype(np.uint64) * np.uint64(_START)
-                + end[a].astype(np.uint64) * np.uint64(_MIDDLE)
-                + end[b].astype(np.uint64) * np.uint64(_END)
-            )
-            rank[c[mix_array(keys[word[a]] ^ place) < floor]] = NONE
-        return rank
-
-    rank = ranks(np.arange(len(sym))) if len(sym) else np.zeros(0, np.int32)
-    done_sym, done_word = [], []
-    while len(sym):
-        heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        best = np.minimum.reduceat((rank.astype(np.int64) << 32) | np.arange(len(sym)), heads)
-        at = best & 0xFFFFFFFF
-        live = (best >> 32) < NONE
-        keep = np.repeat(live, np.diff(np.append(heads, len(sym))))
-        done_sym.append(sym[~keep])
-        done_word.append(word[~keep])
-        at = at[live]
-        sym[at] = model.lookup(sym[at], sym[at + 1])[0]
-        end[at] = end[at + 1]
-        keep[at + 1] = False
-        moved = np.cumsum(keep) - 1
-        at = moved[at]
-        sym, word, start, end, rank = sym[keep], word[keep], start[keep], end[keep], rank[keep]
-        if len(at):
-            rank[at] = ranks(at)
-            left = at[at > 0] - 1
-            rank[left] = ranks(left)
-    all_sym, all_word = np.concatenate(done_sym or [sym]), np.concatenate(done_word or [word])
-    order = np.argsort(all_word, kind="stable")
-    return all_sym[order], np.bincount(all_word, minlength=len(lengths))
+        return sym[ragged(first, lengths)], lengths
+    count = np.zeros(len(lengths), np.int64)
+    flats: list[np.ndarray] = []
+    done = 0
+    while done < len(lengths):  # words of about one length at a time
+        width = lengths[done : done + BLOCK_SYMBOLS] + 2
+        n = int((np.arange(1, len(width) + 1) * width <= BLOCK_SYMBOLS).sum())
+        words = slice(done, done + max(1, n))
+        made, count[words] = _agendas(model, sym, first[words], lengths[words], keys[words], limit)
+        flats.append(made)
+        done = words.stop
+    return np.concatenate(flats) if flats else sym[:0], count
+
+
+def _agendas(
+    model: PieceModel, flat: np.ndarray, first: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """``segment_words`` for words of about one length. Symbols stay in the row of
+    their first character, one column a word, with an empty row before and after;
+    a row knows the rows of its neighbours, so a round touches merged symbols only."""
+    n, longest = len(lengths), int(lengths.max())
+    rows = longest + 2
+    grid = np.full((rows, n), GONE, np.int32)
+    for r in range(longest):
+        some = np.searchsorted(lengths, r, side="right")
+        grid[r + 1, some:] = flat[first[some:] + r]
+    sym = grid.ravel()
+    agenda = np.full(rows * n, NONE << 32, np.int64)  # rank of the candidate that starts here, and its row
+    merged = np.zeros(rows * n, np.int32)
+    after = np.repeat(np.arange(1, rows + 1), n)
+    before = after - 2
+
+    def propose(at, column, left, right, start, middle, end) -> None:
+        """Candidates of pairs of symbols at ``at``, skipped ones left out."""
+        slot, c = model.slots(left, right)
+        if limit:
+            place = start[c] * _START64 + middle[c] * _MIDDLE64 + end[c] * _END64
+            drawn = mix_array(keys[column[c]] ^ place.view(np.uint64)) >= np.uint64(limit)
+            slot, c = slot[drawn], c[drawn]
+        agenda[at] = NONE << 32
+        agenda[at[c]] = (model.slot_rank[slot].astype(np.int64) << 32) | (start[c] + 1)
+        merged[at[c]] = model.slot_merged[slot]
+
+    at = np.flatnonzero((sym[:-n] >= 0) & (sym[n:] >= 0))
+    start = before[at]
+    propose(at, at - (start + 1) * n, sym[at], sym[at + n], start, start + 1, start + 2)
+    while longest > 1:
+        best = agenda.reshape(rows, n)[1:-2].min(axis=0)
+        column = np.flatnonzero(best < NONE << 32)
+        if not len(column):
+            break
+        row = best[column] & 0xFFFFFFFF
+        i = row * n + column
+        j = after[i] * n + column
+        stop = after[j]
+        k = stop * n + column
+        left = before[i]
+        h = left * n + column
+        new = merged[i]
+        sym[i], sym[j], agenda[j] = new, GONE, NONE << 32
+        after[i], before[k] = stop, row
+        propose(
+            np.concatenate([i, h]),
+            np.concatenate([column, column]),
+            np.concatenate([new, sym[h]]),
+            np.concatenate([sym[k], new]),
+            np.concatenate([row, left]) - 1,
+            np.concatenate([stop, row]) - 1,
+            np.concatenate([after[k], stop]) - 1,
+        )
+    by_word = grid[1:-1].T
+    kept = by_word != GONE
+    return by_word[kept], kept.sum(axis=1)
 
 
 def to_bytes(model: PieceModel, sym: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,24 +364,29 @@ def encode_parts(
         dealt = mix_array(doc ^ mix_array(place.astype(np.uint64) + np.uint64(mix(seed & MASK))))
         if variants:
             dealt = (dealt % np.uint64(variants)) * np.uint64(_PLACE)
-        else:
-            cache = None  # no two occurrences have the same draws
         word_hash = mix_array(word_hash + dealt)
     word_hash = mix_array(word_hash ^ np.uint64(mix(seed & MASK)))
-    keys, first, inverse = np.unique(word_hash, return_index=True, return_inverse=True)
+    if limit and not variants:  # no two occurrences have the same draws
+        cache = None
+        keys, first = word_hash, np.arange(len(word_hash))
+        inverse = first
+    else:
+        keys, first, inverse = np.unique(word_hash, return_index=True, return_inverse=True)
 
     known = cache.find(keys) if cache else np.full(len(keys), -1)
     new = np.flatnonzero(known < 0)
-    u_len, at = lengths[first[new]], heads[first[new]]
-    short_len = np.where(u_len > LONG_WORD, 0, u_len)
-    flat, count = segment_words(model, sym[ragged(at, short_len)], short_len, keys[new], limit)
-    long = np.flatnonzero(u_len > LONG_WORD)
-    if len(long):
-        spans = np.split(flat, offsets(count)[1:-1])
-        for u in long.tolist():
-            symbols = sym[at[u] : at[u] + u_len[u]].tolist()
-            spans[u] = np.array(segment_word(model, symbols, int(keys[new[u]]), limit), np.int64)
-        flat, count = np.concatenate(spans), np.array([len(s) for s in spans], np.int64)
+    u_len = lengths[first[new]]
+    order = np.argsort(np.minimum(u_len, LONG_WORD + 1).astype(np.uint16), kind="stable")
+    new, u_len = new[order], u_len[order]
+    at = heads[first[new]]
+    n_short = int(np.searchsorted(u_len, LONG_WORD, side="right"))
+    flat, count = segment_words(model, sym, at[:n_short], u_len[:n_short], keys[new[:n_short]], limit)
+    if n_short < len(new):
+        spans = [
+            np.array(segment_word(model, sym[head : head + size].tolist(), key, limit), np.int64)
+            for head, size, key in zip(*(x[n_short:].tolist() for x in (at, u_len, keys[new])), strict=True)
+        ]
+        flat, count = np.concatenate([flat, *spans]), np.append(count, [len(x) for x in spans])
     flat, count = to_bytes(model, flat, count)
     starts, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     starts[new], counts[new] = offsets(count)[:-1], count

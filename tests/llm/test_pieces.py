@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 import sentencepiece
@@ -40,6 +42,31 @@ def test_step_by_step_equals_the_heap(model, monkeypatch):
     assert counts.tolist() == again_counts.tolist() == cached[1].tolist()
 
 
+def test_blocks_of_words_equal_the_heap(model, monkeypatch):
+    rng = random.Random(4)
+    sizes = rng.choices([1, 2, 5, 9, 30, 120], k=300)
+    words = ["".join(rng.choices("aeinrsté世😀_the", k=size)) for size in sizes]
+    texts = [" ".join(words[a : a + 50]) for a in range(0, 300, 50)]
+    for dropout in (0.0, 0.1, 0.5):
+        made = []
+        for long_word, block in ((512, 1 << 16), (512, 200), (0, 1 << 16)):
+            monkeypatch.setattr(P, "LONG_WORD", long_word)
+            monkeypatch.setattr(P, "BLOCK_SYMBOLS", block)
+            made.append(split(*P.encode_texts(model, texts, list(range(6)), dropout, 7)))
+        assert made[0] == made[1] == made[2]
+
+
+def test_a_merge_looks_up_two_pairs(model, monkeypatch):
+    """The work follows characters and merges, not all symbols left in each round."""
+    looked, slots = [], P.PieceModel.slots
+    monkeypatch.setattr(P.PieceModel, "slots", lambda *args: looked.append(len(args[1])) or slots(*args))
+    text = " ".join(["internationalisation", "considerations", "the", "segmented"] * 500)
+    ids, _ = P.encode_texts(model, [text], [1], 0.1)
+    chars, words = len(text) + 1, 2000
+    assert len(ids) < chars / 2
+    assert sum(looked) <= chars + words + 2 * (chars - len(ids))
+
+
 def test_seed_and_document_vary_the_pieces(model):
     text = "internationalisation of tokenisers"
     made = {tuple(P.encode_texts(model, [text], [doc], 0.3, seed)[0]) for doc in range(8) for seed in range(4)}
