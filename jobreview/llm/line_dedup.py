@@ -10,8 +10,8 @@ it or is one edit away (a character substituted, inserted or deleted). Steps:
   or the line itself as it would be left by deleting a character inserted
   there. Lines that share a variant are one edit apart at most, all of them, so
   the earliest line of a variant is all that the others need to know: one
-  aggregate by hashed variant, no pairs. The found neighbour is then verified
-  with the edit distance.
+  aggregate by hashed variant, no pairs. The found neighbour is then verified:
+  what both leave at the variant's position is compared as text.
 
 Emitting every variant of every line would be the line's length times its size.
 A variant at a position within [lo, hi] fixes the characters before ``lo`` and
@@ -109,10 +109,12 @@ def _shared(ranges: DataFrame) -> DataFrame:
 
 
 def _variants(ranges: DataFrame) -> DataFrame:
-    """(id_a, id_b, key, key_b): one row for each position of each range."""
+    """(id_a, id_b, gone, p, key, key_b): one row for each position ``p`` of each range."""
     at = ranges.select("id_a", "id_b", "key", "gone", "lo", "inside", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("i"))
-    rest = [F.col("lo") + F.col("i"), F.expr("substring(inside, 1, i)"), F.expr("substring(inside, i + gone + 1)")]
-    return at.select("id_a", "id_b", F.xxhash64("key", *rest).alias("key"), F.xxhash64(F.lit(1), "key", *rest).alias("key_b"))
+    p = F.col("lo") + F.col("i")
+    rest = [p, F.expr("substring(inside, 1, i)"), F.expr("substring(inside, i + gone + 1)")]
+    keys = F.xxhash64("key", *rest).alias("key"), F.xxhash64(F.lit(1), "key", *rest).alias("key_b")
+    return at.select("id_a", "id_b", "gone", p.alias("p"), *keys)
 
 
 def shared_ranges(lines: DataFrame) -> DataFrame:
@@ -140,17 +142,22 @@ def neighbours(lines: DataFrame) -> DataFrame:
     named = written(sharing.select("id_a", "id_b").distinct(), "line-named")
     texts = written(reduced(lines, named, ["id_a", "id_b"]).select("id_a", "id_b", "first", "line"), "line-texts")
     placed = sharing.join(texts.select("id_a", "id_b", "first"), ["id_a", "id_b"])
-    best = F.min(F.struct("first", "id_a", "id_b")).alias("best")
+    best = F.min(F.struct("first", "id_a", "id_b", "gone")).alias("best")
     earliest = placed.groupBy("key", "key_b").agg(best)
     pairs = (
         placed.join(earliest, ["key", "key_b"])
         .filter(F.col("best.first") < F.col("first"))
-        .select("id_a", "id_b", F.col("best.id_a").alias("best_a"), F.col("best.id_b").alias("best_b"))
-        .distinct()
+        .groupBy("id_a", "id_b", F.col("best.id_a").alias("best_a"), F.col("best.id_b").alias("best_b"))
+        .agg(F.min(F.struct("p", "gone", F.col("best.gone").alias("best_gone"))).alias("at"))
     )
     best_texts = texts.select(F.col("id_a").alias("best_a"), F.col("id_b").alias("best_b"), F.col("line").alias("best_line"))
     both = pairs.join(texts.select("id_a", "id_b", "line"), ["id_a", "id_b"]).join(best_texts, ["best_a", "best_b"])
-    return both.filter(F.levenshtein("line", "best_line", 1) == 1).select("id_a", "id_b").distinct()
+    # Equal without the character there; an edit distance would take the product of the lengths.
+    same = F.expr(
+        "line != best_line AND substring(line, 1, at.p) = substring(best_line, 1, at.p) "
+        "AND substring(line, at.p + 1 + at.gone) = substring(best_line, at.p + 1 + at.best_gone)"
+    )
+    return both.filter(same).select("id_a", "id_b").distinct()
 
 
 def removed_lines(docs: DataFrame, near_min_chars: int = NEAR_MIN_CHARS) -> DataFrame:

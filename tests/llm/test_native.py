@@ -148,6 +148,18 @@ def test_short_lines_and_one_very_long_line(frame):
     assert rows[2]["text"] == long and rows[3]["text"] == "" and rows[4]["text"] == texts[4]
 
 
+def test_neighbours_are_verified_without_an_edit_distance(frame):
+    """Its cost is the product of the lengths: ten minutes and more for a pair of a million characters."""
+    base = "née 😀 aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa the end"
+    near = [base[1:], base[:-1], base + "!", "x" + base, base.replace("😀", "y"), base.replace("aa", "a", 1)]
+    far = [base + "??", "zz" + base[2:], base[::-1]]
+    docs = frame([base, *near, *far])
+    found = L.neighbours(L.distinct_lines(docs.select(docs.doc_id.alias("doc"), "text")))
+    assert "levenshtein" not in found._jdf.queryExecution().toString()
+    rows = L.dedup_lines(docs).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == [base, *[""] * len(near), *far]
+
+
 def test_work_follows_distinct_lines_not_places(frame):
     lines = [f"license line number {i} of this very common notice, all rights reserved" for i in range(40)]
     made = []
