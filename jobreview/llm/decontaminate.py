@@ -13,9 +13,13 @@ words are added, and items of up to four words, of which none may be substituted
 are their own mask. So no overlap at 0.8 is without a seed. Which masks are in use
 is known from the lengths of the items.
 
-A benchmark whose seeds fit the broadcast limit is looked up where the document
-is read, and verified there. A larger one is joined by shuffle on the seeds, and
-only the offsets that were hit go back to their documents.
+A hit is a document, an item and an offset, no more: the words stay where they
+are, however often a long document is hit. A benchmark whose seeds fit the
+broadcast limit is looked up where the document is read; for a larger one places
+pass a Bloom filter of the seeds and then meet them by shuffle. The distinct hits
+are stored, and only the documents that have one are cut into words again, to be
+verified. Spark's own estimates choose no broadcast of the benchmark: they are
+made from the size of its file, and its seeds are many times that.
 
 Defined results: null and empty texts, and items without a word, match
 nothing; a short item matches wherever its words stand in a row; items that occur twice, or share an id, count once per id with their
@@ -29,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobreview.llm.common import fresh, written
+from jobreview.operators.keyfilter import key_filter, may_hold, reduced
 from jobreview.operators.sizing import measured_bytes
 
 # Positions kept by each mask; five words, so that chance rarely gives a hit.
@@ -100,6 +106,32 @@ def _similarity(doc: str, item: str, offset: Column) -> Column:
     return F.size(same) / n
 
 
+def _tokens(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return docs.select(*keys, word_hashes(F.col("text").cast("string")).alias("words"))
+
+
+def _hits(tokens: DataFrame, keys: tuple[str, ...], masks: list[tuple[int, ...]], seeds: DataFrame, small: bool) -> DataFrame:
+    """(keys, item_key, offset) of every place that shares a seed with an item,
+    stored, each once."""
+    places = _places(tokens, "words", masks, *keys).drop("words")
+    if small:
+        met = places.join(F.broadcast(seeds), "seed")
+    else:
+        met = reduced(places, seeds, ["seed"]).join(seeds.hint("merge"), "seed")
+    offset = (F.col("at") - F.col("item_at")).alias("offset")
+    return written(met.select(*keys, "item_key", offset).distinct(), "benchmark-hits")
+
+
+def _with_hits(docs: DataFrame, hits: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``docs`` without most of the documents that have no hit, unless too many
+    have one for a filter."""
+    name = fresh(docs, "key_hash")
+    hashed = F.xxhash64(*keys).alias(name)  # never null
+    named = hits.select(hashed).distinct()
+    kept = key_filter(named, [name], named.count())
+    return docs if kept is None else may_hold(docs.select(*docs.columns, hashed), [name], kept)
+
+
 def contaminations(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -122,18 +154,16 @@ def contaminations(
         .select("seed", "item_key", F.col("at").alias("item_at"))
         .distinct()
     )
-    items = items.select("item_key", "item")
+    seeds, items = written(seeds, "benchmark-seeds"), written(items.select("item_key", "item"), "benchmark-items")
     small = measured_bytes(seeds) + measured_bytes(items) <= max_broadcast
-    tokens = docs.select(*keys, word_hashes(F.col("text").cast("string")).alias("words"))
-    places = _places(tokens, "words", masks, *keys)
-    offset = (F.col("at") - F.col("item_at")).alias("offset")
+    hits = _hits(_tokens(docs, keys), keys, masks, seeds, small)
+    tokens = _tokens(_with_hits(docs, hits, keys), keys)
+    if not small:
+        hits = hits.join(items.hint("merge"), "item_key")
+    same = [F.col(f"h.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    pairs = hits.alias("h").join(tokens.alias("t"), same).select("h.*", "t.words")
     if small:
-        hits = places.join(F.broadcast(seeds), "seed").select(*keys, "words", "item_key", offset)
-        pairs = hits.join(F.broadcast(items), "item_key")
-    else:
-        hits = places.drop("words").join(seeds, "seed").select(*keys, "item_key", offset).distinct()
-        same = [F.col(f"h.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-        pairs = hits.alias("h").join(tokens.alias("t"), same).select("h.*", "t.words").join(items, "item_key")
+        pairs = pairs.join(F.broadcast(items), "item_key")
     return (
         pairs.select(*keys, "item_key.item_id", _similarity("words", "item", F.col("offset")).alias("similarity"))
         .filter(F.col("similarity") >= similarity)

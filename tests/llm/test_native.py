@@ -80,6 +80,23 @@ def test_overlaps_equal_a_search_without_seeds(spark, max_broadcast):
     assert [(r["contaminated"], r["item_ids"]) for r in rows] == expected
 
 
+@pytest.mark.parametrize("max_broadcast", [D.MAX_BROADCAST, 0])
+def test_hits_carry_no_words_and_estimates_broadcast_no_benchmark(spark, monkeypatch, max_broadcast):
+    frames = []
+    monkeypatch.setattr(D, "written", lambda df, purpose: frames.append(df) or written(df, purpose), raising=False)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join([*words, *words, f"own{i}"])) for i in range(3)] + [(9, "nothing here")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(words)) for i in range(5)], "item_id long, text string")
+    out = D.mark_contaminated(docs, items, max_broadcast=max_broadcast)
+    got = {r["doc_id"]: (r["n_items"], r["best_similarity"]) for r in out.collect()}
+    assert got == {0: (5, 1.0), 1: (5, 1.0), 2: (5, 1.0), 9: (0, None)}
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in [*frames, out]]
+    met = [x for x in frames if "offset" in x.columns]
+    assert [x.columns for x in met] == [["doc_key", "text_hash", "item_key", "offset"]]
+    broadcast = any(re.search(r"BroadcastHashJoin \[(seed|item_key)#", plan) for plan in plans)
+    assert broadcast == (max_broadcast > 0)
+
+
 def n_lost(n):
     return n // 5
 
