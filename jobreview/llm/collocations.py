@@ -13,8 +13,10 @@ Each task counts what it has read before anything is shuffled, at most
 ``HELD`` pairs at a time; a tile's counts then meet in the task that owns it, a
 stream of partial counts whose memory is that of the distinct pairs.
 
-The tables of ids go to all tasks if they are no larger than ``MAX_TABLE_BYTES``;
-beyond that, sequences are renamed by a join.
+The tables of ids go to all tasks: whole up to ``MAX_TABLE_BYTES``, beyond that in
+slices, of which a task holds one at a time while it looks up the distinct words or
+pairs of a block of its sequences. Nothing is shuffled for it. From ``SLICES``
+slices on sequences are renamed by a join, a row for each place.
 
 Defined results: null texts are empty; a null language is ``und``; rows are not
 compared, so repeated rows count each time; ids are not read, nor any other
@@ -46,6 +48,8 @@ DENSE = 8
 HELD = 1 << 22
 CHUNK = 1 << 14
 MAX_TABLE_BYTES = 32 << 20
+# The most slices of a larger table, each a quarter of the above.
+SLICES = 64
 
 # What ends a piece, as a table over bytes of UTF-8 that makes
 # each of them a line feed; capitals become small letters as well.
@@ -114,8 +118,64 @@ def _batch(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([own for own, _ in rows], pa.int32()), lists], names=["own", "syms"])
 
 
-def _encode(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    ids = vocabulary.value
+def _slices(total: int, max_table_bytes: int) -> int:
+    """In how many slices a table of ids goes to the tasks; 0: not at all."""
+    if total <= max_table_bytes:
+        return 1
+    n = -(-4 * total // max_table_bytes) if max_table_bytes else SLICES + 1
+    return n if n <= SLICES else 0
+
+
+def _each(tables: list) -> Iterator:
+    """The slices, one in memory at a time: a broadcast would keep its value."""
+    for table in tables:
+        path = getattr(table, "_path", None)
+        yield table.load_from_path(path) if path else table.value
+
+
+class _Numbers(dict):
+    """Words by their first place."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def _encode_sliced(batches: Iterator[pa.RecordBatch], tables: list) -> Iterator[pa.RecordBatch]:
+    """As ``_encode``, a block of texts at a time, whose words are numbered first."""
+    numbers: dict[str, _Numbers] = defaultdict(_Numbers)
+    held, size = [], 0
+
+    def flushed():
+        # The last id is that of breaks.
+        ids = {lang: np.full(len(own) + 1, -1, np.int32) for lang, own in numbers.items()}
+        for table in _each(tables):
+            for lang, own in numbers.items():
+                if known := table.get(lang):
+                    found = np.fromiter(map(known.get, own, repeat(-1)), np.int32, len(own))
+                    np.maximum(ids[lang][:-1], found, out=ids[lang][:-1])
+        return _batch([row for lang, syms in held for row in _chunks(ids[lang][syms])])
+
+    for batch in batches:
+        for lang, data in _texts(batch):
+            own, syms = numbers[lang], []
+            for words in pieces(data):
+                syms.extend(map(own.__getitem__, words))
+                syms.append(-1)
+            held.append((lang, np.array(syms, np.int32)))
+            size += len(syms)
+        if size > HELD // 2 or sum(map(len, numbers.values())) > HELD // 8:
+            yield flushed()
+            numbers.clear()
+            held, size = [], 0
+    yield flushed()
+
+
+def _encode(batches: Iterator[pa.RecordBatch], tables: list) -> Iterator[pa.RecordBatch]:
+    if len(tables) > 1:
+        yield from _encode_sliced(batches, tables)
+        return
+    ids = tables[0].value
     for batch in batches:
         rows = []
         for lang, data in _texts(batch):
@@ -147,23 +207,57 @@ def _pairs(batch: pa.RecordBatch) -> np.ndarray:
     return np.where(there, (x << 32) | y, -1)
 
 
-def _rename(batches: Iterator[pa.RecordBatch], symbols) -> Iterator[pa.RecordBatch]:
-    """Sequences of the pairs that ``symbols`` (sorted keys, ids) holds."""
-    keys, ids = symbols.value
-    for batch in batches:
-        rows, sizes = [], batch.column("syms").value_lengths().to_numpy()
-        found = _pairs(batch)
+def _ids(found: np.ndarray, tables: list) -> np.ndarray:
+    """The ids of pair keys by ``tables`` (sorted keys, ids), -1 for those that
+    none holds. Of several, a key's is the one that ``_slice_of`` says."""
+
+    def looked_up(found, keys, ids):
         at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-        new = np.append(np.where(keys[at] == found, ids[at], -1), -1).astype(np.int32) if len(keys) else np.full(len(found) + 1, -1, np.int32)
-        start = 0
-        for size, own in zip(sizes, batch.column("own").to_numpy(), strict=True):
-            part = new[start : start + size]
-            start += size
-            gap = part < 0
-            stays = ~(gap & np.concatenate(([True], gap[:-1]))) if size else gap
-            if (part >= 0).any():
-                rows.append((int(stays[:own].sum()), part[stays]))
-        yield _batch(rows)
+        return np.where(keys[at] == found, ids[at], -1) if len(keys) else np.full(len(found), -1)
+
+    if len(tables) == 1:
+        return looked_up(found, *tables[0].value).astype(np.int32)
+    distinct, inverse = np.unique(found, return_inverse=True)
+    ids, own = np.full(len(distinct), -1, np.int32), _slice_of(distinct >> 32, distinct & 0xFFFFFFFF, len(tables))
+    for i, table in enumerate(_each(tables)):
+        at = np.flatnonzero(own == i)
+        ids[at] = looked_up(distinct[at], *table)
+    return ids[inverse]
+
+
+def _slice_of(x, y, n: int):
+    """Of columns as of arrays: ids are dense, so the slices are even."""
+    return (x + y) % n
+
+
+def _rename(batches: Iterator[pa.RecordBatch], tables: list) -> Iterator[pa.RecordBatch]:
+    """Sequences of the pairs that ``tables`` hold."""
+    held, size = [], 0
+
+    def renamed_batches():
+        keys = [_pairs(batch) for batch in held]
+        named = np.split(_ids(np.concatenate(keys), tables), np.cumsum([len(k) for k in keys])[:-1])
+        for batch, ids in zip(held, named, strict=True):
+            rows, sizes = [], batch.column("syms").value_lengths().to_numpy()
+            new = np.append(ids, -1).astype(np.int32)
+            start = 0
+            for size, own in zip(sizes, batch.column("own").to_numpy(), strict=True):
+                part = new[start : start + size]
+                start += size
+                gap = part < 0
+                stays = ~(gap & np.concatenate(([True], gap[:-1]))) if size else gap
+                if (part >= 0).any():
+                    rows.append((int(stays[:own].sum()), part[stays]))
+            yield _batch(rows)
+
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column("syms").flatten())
+        if len(tables) == 1 or size > HELD // 2:
+            yield from renamed_batches()
+            held, size = [], 0
+    if held:
+        yield from renamed_batches()
 
 
 # Counting -------------------------------------------------------------------
@@ -288,12 +382,15 @@ def _ranked(level: DataFrame, *order) -> DataFrame:
 def encoded(texts: DataFrame, words: DataFrame, max_table_bytes: int = MAX_TABLE_BYTES) -> DataFrame:
     """(part, own, syms): each text as a sequence of word ids."""
     spark = texts.sparkSession
-    if measured_bytes(words.select("lang", "phrase", "id")) <= max_table_bytes:
-        ids: dict[str, dict[bytes, int]] = defaultdict(dict)
-        for row in words.select("lang", "phrase", "id").collect():
-            ids[row["lang"]][row["phrase"].encode()] = row["id"]
-        vocabulary = spark.sparkContext.broadcast(dict(ids))
-        seqs = texts.mapInArrow(lambda batches: _encode(batches, vocabulary), "own int, syms array<int>")
+    names = words.select("lang", "phrase", "id")
+    if n := _slices(measured_bytes(names), max_table_bytes):
+        tables = []
+        for i in range(n):
+            ids: dict[str, dict[bytes, int]] = defaultdict(dict)
+            for row in names.filter(F.col("id") % n == i).collect():
+                ids[row["lang"]][row["phrase"].encode()] = row["id"]
+            tables.append(spark.sparkContext.broadcast(dict(ids)))
+        seqs = texts.mapInArrow(lambda batches: _encode(batches, tables), "own int, syms array<int>")
         return written(seqs.withColumn("part", F.monotonically_increasing_id()), "phrase-seqs")
     cut = texts.mapInArrow(_spelled, "lang string, own int, words array<string>")
     cut = written(cut.withColumn("part", F.monotonically_increasing_id()), "phrase-words")
@@ -327,12 +424,14 @@ def _joined(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
 def renamed(seqs: DataFrame, level: DataFrame, max_table_bytes: int = MAX_TABLE_BYTES) -> DataFrame:
     """(part, own, syms): sequences of pairs instead of their symbols."""
     spark, pairs = seqs.sparkSession, level.select("x", "y", "id")
-    if pairs.count() * 16 <= max_table_bytes:
-        found = pairs.toPandas()
-        keys = (found["x"].to_numpy() << 32) | found["y"].to_numpy()
-        order = np.argsort(keys)
-        symbols = spark.sparkContext.broadcast((keys[order], found["id"].to_numpy()[order].astype(np.int32)))
-        new = seqs.select("own", "syms").mapInArrow(lambda batches: _rename(batches, symbols), "own int, syms array<int>")
+    if n := _slices(pairs.count() * 16, max_table_bytes):
+        tables = []
+        for i in range(n):
+            found = pairs.filter(_slice_of(F.col("x"), F.col("y"), n) == i).toPandas()
+            keys = (found["x"].to_numpy() << 32) | found["y"].to_numpy()
+            order = np.argsort(keys)
+            tables.append(spark.sparkContext.broadcast((keys[order], found["id"].to_numpy()[order].astype(np.int32))))
+        new = seqs.select("own", "syms").mapInArrow(lambda batches: _rename(batches, tables), "own int, syms array<int>")
         return written(new.withColumn("part", F.monotonically_increasing_id()), "phrase-seqs")
     both = F.arrays_zip(F.col("syms").alias("x"), F.slice("syms", F.lit(2), F.size("syms")).alias("y"))
     rows = seqs.filter(F.size("syms") > 1).select("part", "own", F.posexplode(both).alias("pos", "p"))

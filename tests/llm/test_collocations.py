@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from jobreview.llm import collocations as C
@@ -60,6 +61,45 @@ def test_equals_plain_count(spark, monkeypatch, table_bytes, chunk):
     assert {tuple(r) for r in got.collect()} == brute(rows, 8, 40)
 
 
+def test_tables_in_slices_shuffle_no_places(spark, monkeypatch):
+    def joined(*_):
+        raise AssertionError("a row for each place")
+
+    monkeypatch.setattr(C, "_joined", joined)
+    rows = corpus(6)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    got = C.collocations(docs, min_count=8, top=40, max_table_bytes=1000)
+    assert {tuple(r) for r in got.collect()} == brute(rows, 8, 40)
+    assert C._slices(1000, 1000) == 1 and C._slices(1001, 1000) == 5 and C._slices(16_000, 1000) == 64
+    assert C._slices(16_001, 1000) == C._slices(1, 0) == 0
+
+
+class Table:
+    def __init__(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("held", [1, 64, C.HELD])
+def test_slices_give_the_ids_of_one_table(monkeypatch, held):
+    monkeypatch.setattr(C, "HELD", held)
+    rows = [(lang or "und", text or "") for lang, text in corpus(7)]
+    texts = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 50], strict=True)], names=["lang", "text"]) for i in range(0, len(rows), 50)]
+    known = {"en": [b"a", b"new", b"york", b"x-y"], "de": [b"a", b"b", b"stock"], "und": [b"z"]}
+    ids = {lang: {w: len(lang) * 10 + i for i, w in enumerate(ws)} for lang, ws in known.items()}
+    slices = [Table({lang: {w: i for w, i in own.items() if i % 3 == k} for lang, own in ids.items()}) for k in range(3)]
+
+    def flat(batches):
+        return [tuple(r.values()) for b in batches for r in b.select(["own", "syms"]).to_pylist()]
+
+    whole = list(C._encode(iter(texts), [Table(ids)]))
+    assert flat(C._encode(iter(texts), slices)) == flat(whole)
+    keys = np.unique(np.concatenate([C._pairs(b) for b in whole]))[1::2]
+    named = np.arange(len(keys), dtype=np.int32)
+    own = C._slice_of(keys >> 32, keys & 0xFFFFFFFF, 4)
+    parts = [Table((keys[own == k], named[own == k])) for k in range(4)]
+    assert flat(C._rename(iter(whole), parts)) == flat(C._rename(iter(whole), [Table((keys, named))])) != []
+
+
 def test_no_rows_and_no_phrases(spark):
     docs = spark.createDataFrame([("en", "a b. c d")], "lang string, text string")
     assert C.collocations(docs).count() == 0
