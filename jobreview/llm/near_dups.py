@@ -39,8 +39,11 @@ from pyspark.sql.window import Window
 from jobreview.llm.common import ascii_lower, words, written
 from jobreview.llm.components import components
 from jobreview.llm.sketch_pairs import RUN, RUN_SET, RUN_SKETCH, SKETCH, SMALL_SET, compared
+from jobreview.operators.keyfilter import key_filter, may_hold
 
 BLOCK = 512
+# The largest filter of keys, for eight million lists.
+MAX_FILTER_WORDS = 1 << 21
 
 
 def shingle_set(text: Column, n_words: int) -> Column:
@@ -93,6 +96,18 @@ def _keys(classes: DataFrame) -> DataFrame:
     return rows.select(key.alias("key"), at.alias("at"), "node", "n")
 
 
+def _members(keys: DataFrame) -> DataFrame:
+    """(key, at, node, n, first) of the lists with several nodes, stored. Most keys
+    occur once: they are counted alone, and go before whole rows are shuffled."""
+    often = written(keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "sketch-often")
+    kept = key_filter(often, ["key"], often.count(), MAX_FILTER_WORDS)
+    likely = keys if kept is None else may_hold(keys, ["key"], kept)
+    listed = written(likely.join(often.hint("merge"), "key"), "sketch-listed")
+    lists = listed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last"))
+    lists = lists.filter("first.node != last").select("key", "first")
+    return written(listed.join(lists, "key").select("key", "at", "node", "n", "first"), "sketch-lists")
+
+
 def _fits(n_a: Column, n_b: Column, percent: int) -> Column:
     """Sizes that allow the similarity."""
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
@@ -128,9 +143,15 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     """The pairs whose full sets are alike. Sets are made anew from one text
-    of each class that a pair names."""
+    of each class that a pair names; most other texts stay where they are."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = classes.join(named, "node").select("node", F.col("doc").alias("rep"), F.col("text_hash").alias("rep_hash"))
+    texts = written(texts, "sketch-texts")
+    hashed = F.xxhash64("rep", "rep_hash").alias("rep_key")  # never null
+    kept = key_filter(texts.select(hashed), ["rep_key"], texts.count(), MAX_FILTER_WORDS)
+    if kept is not None:
+        docs = docs.select("doc", "text", F.xxhash64("doc", F.xxhash64("text")).alias("rep_key"))
+        docs = may_hold(docs, ["rep_key"], kept)
     same = docs["doc"].eqNullSafe(texts["rep"]) & (F.xxhash64(docs["text"]) == texts["rep_hash"])
     sets = docs.join(texts, same).select("node", "text").dropDuplicates(["node"])
     sets = written(sets.select("node", shingle_set(F.col("text"), n_words).alias("s")), "shingle-sets")
@@ -158,12 +179,7 @@ def near_groups(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFra
         .select("node", "c.doc", "c.text_hash", "c.n", "c.sketch"),
         "sketch-classes",
     )
-    keys = written(_keys(classes), "sketch-keys")
-    lists = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last"))
-    members = written(
-        keys.join(lists.filter("first.node != last").select("key", "first"), "key").select("key", "at", "node", "n", "first"),
-        "sketch-lists",
-    )
+    members = _members(written(_keys(classes), "sketch-keys"))
     stars = (
         members.filter((F.col("node") != F.col("first.node")) & _fits(F.col("n"), F.col("first.n"), percent))
         .select(F.col("node").alias("a"), F.col("first.node").alias("b"))

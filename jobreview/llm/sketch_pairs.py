@@ -68,6 +68,10 @@ def list_pairs(
     """Index pairs of one ``group``, a list or two of its blocks (``side``: 0 where
     all are compared, 1 and 2 for the two blocks), that are not in one component,
     fit in size, meet in no earlier list, and may be alike."""
+    runs = _runs(sketches)
+    prefix = (sketches[:, : runs.shape[1]] < at[:, None]).sum(axis=1)
+    # Sets that are in lists of single values too have no earlier list of runs.
+    before = np.where(n > SMALL_SET, prefix, 0)
     for i, j in _pairs_of(group):
         kept = (root[i] != root[j]) & ((side[i] == 0) | (side[i] != side[j]))
         kept &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
@@ -75,11 +79,13 @@ def list_pairs(
         for start in range(0, len(i), SKETCH_PAIRS):
             x, y = i[start : start + SKETCH_PAIRS], j[start : start + SKETCH_PAIRS]
             # Runs that begin before this list's are other, earlier lists.
-            runs, others = _runs(sketches[x]), _runs(sketches[y])
-            earlier = (sketches[x, : runs.shape[1]] < at[x, None]) & (runs != 0) & (n[x, None] > SMALL_SET)
+            x, y = x[order := np.argsort(before[x], kind="stable")], y[order]
             met = np.zeros(len(x), bool)
-            for place in np.flatnonzero(earlier.any(axis=0)):
-                met |= earlier[:, place] & (others == runs[:, place, None]).any(axis=1)
+            for place in range(int(before[x].max(initial=0))):
+                # Only pairs from here on have a run at this place before the list's.
+                low = int(np.searchsorted(before[x], place, "right"))
+                own, others = runs[x[low:], place], runs[y[low:], : int(prefix[y[low:]].max())]
+                met[low:] |= (own != 0) & (others == own[:, None]).any(axis=1)
             x, y = x[~met], y[~met]
             alike = estimates(sketches[x], sketches[y]) >= least_estimates(n[x], n[y], percent)
             yield x[alike], y[alike]

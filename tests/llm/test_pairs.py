@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from jobreview.llm import near_dups, shard_cells, topk
+from jobreview.llm import sketch_pairs as P
 from jobreview.llm.components import components
 from jobreview.llm.kdtree import KDTree
 
@@ -211,3 +212,48 @@ def test_pairs_do_not_depend_on_batches(monkeypatch):
         monkeypatch.setattr(sketch_pairs, "PAIRS", pairs)
         out = pa.Table.from_batches(list(sketch_pairs.compared(iter(table.to_batches(size)), 80)))
         assert sorted(tuple(r.values()) for r in out.to_pylist()) == expected
+
+
+@pytest.mark.parametrize("filter_words", [near_dups.MAX_FILTER_WORDS, 0])
+def test_lists_of_several_nodes(spark, monkeypatch, filter_words):
+    monkeypatch.setattr(near_dups, "MAX_FILTER_WORDS", filter_words)
+    frames = {}
+    plain = near_dups.written
+    monkeypatch.setattr(near_dups, "written", lambda df, purpose: frames.setdefault(purpose, plain(df, purpose)))
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), 5, (i % 30, i % 30), 9) for i in range(60)] + [(100 + i, 6, (i, i), 7) for i in range(200)]
+    rows += [(99, 5, (1, 1), 9)] * 2
+    keys = spark.createDataFrame(rows, "key long, at int, node struct<a:long,b:long>, n long")
+    got = sorted(tuple(r) for r in near_dups._members(keys).select("key", "node.a", "first.node.a", "first.n").collect())
+    lists = {}
+    for key, _, node, n in rows:
+        lists.setdefault(key, []).append((*node, n))
+    expected = [(k, a, min(v)[0], min(v)[2]) for k, v in lists.items() if len({x[:2] for x in v}) > 1 for a, _, _ in v]
+    assert got == sorted(expected)
+    assert frames["sketch-listed"].filter("key >= 100").count() == 0, "keys that occur once are not shuffled as rows"
+
+
+def test_pairs_of_a_list_equal_the_definition():
+    rng = np.random.default_rng(8)
+    base = np.sort(rng.choice(1 << 20, 300, replace=False))
+    sketches, n = np.full((60, P.SKETCH), P.END, np.int64), np.zeros(60, np.int64)
+    for k in range(60):
+        own = base[rng.random(300) < rng.choice([0.5, 0.8, 0.95])][: rng.choice([5, 40, 256])]
+        sketches[k, : len(own)], n[k] = own, len(own)
+    group, root, side = np.repeat([0, 1], 30), rng.integers(0, 25, 60), np.zeros(60, np.int64)
+    at = np.repeat(base[[12, 40]], 30)
+    got = {(int(i), int(j)) for x, y in P.list_pairs(group, at, n, root, sketches, side, 80) for i, j in zip(x, y, strict=True)}
+
+    def runs(k):
+        own = sketches[k][: P.RUN_SKETCH]
+        return {tuple(own[i : i + 3]) for i in range(P.RUN_SKETCH - 2) if own[i + 2] < P.END}
+
+    expected = set()
+    for i in range(60):
+        for j in range(i + 1, 60):
+            earlier = n[i] > P.SMALL_SET and any(run[0] < at[i] for run in runs(i) & runs(j))
+            fits = group[i] == group[j] and root[i] != root[j] and min(n[i], n[j]) * 100 >= max(n[i], n[j]) * 80
+            if fits and not earlier:
+                estimate = P.estimates(sketches[[i]], sketches[[j]]) >= P.least_estimates(n[[i]], n[[j]], 80)
+                expected |= {(i, j)} if estimate[0] else set()
+    assert got == expected != set()
